@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,11 +34,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], fn: Callable[..., list], keep: list[str] | None = None) -> DataFrame:
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives `value` in every task; each Python worker unpacks it once."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get() -> object:
+        if not hasattr(shared, "unpacked"):
+            shared.unpacked = pickle.loads(shared.value)
+        return shared.unpacked
+
+    return get
+
+
+def map_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], fn: Callable[..., list], keep: list[str] | None = None, arrow: bool = False) -> DataFrame:
     """`df` with computed columns, one Arrow batch at a time.
 
-    fn takes one Python list for each of `inputs` and returns one list or Arrow array for each of
-    `fields`. Other columns pass through unchanged (`keep`: only those); a column whose name clashes
+    fn takes one Python list (`arrow`: one Arrow array) for each of `inputs` and returns one list or
+    Arrow array for each of `fields`. Other columns pass through unchanged (`keep`: only those); a column whose name clashes
     with a computed one (case-insensitively) is replaced.
     """
     new = {f.name.lower() for f in fields}
@@ -46,7 +60,7 @@ def map_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(*(batch.column(c).to_pylist() for c in inputs))
+            out = fn(*(batch.column(c) if arrow else batch.column(c).to_pylist() for c in inputs))
             made = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=kept + [f.name for f in fields])
 

@@ -9,9 +9,10 @@ from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe
+from . import bpe, decontam, html
 from .common import map_columns, table
 
 
@@ -29,16 +30,32 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vocabulary()
     encoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), v), v, out_col="decoded")
 
-    def digest(ids: list, texts: list) -> list:
-        raw = [np.array(x, "<u4").tobytes() for x in ids]
-        return [[len(x) // 4 for x in raw], [hashlib.sha256(x).hexdigest() for x in raw], [hashlib.sha256(x.encode()).hexdigest() for x in texts]]
+    def digest(ids, texts) -> list:
+        at, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
+        return [np.diff(at).tolist(), [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], [hashlib.sha256(x.encode()).hexdigest() for x in texts.to_pylist()]]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return map_columns(encoded, ["ids", "decoded"], fields, digest, keep=["doc_id"])
+    return map_columns(encoded, ["ids", "decoded"], fields, digest, keep=["doc_id"], arrow=True)
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html.main_text(pages, html.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.scan(docs, table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda a, x: x - a)
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_runs") > 0).alias("contaminated"),
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_bpe": op10_bpe}
+    return {"op2_html": op2_html, "op9_decontaminate": op9_decontaminate, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
