@@ -2,9 +2,9 @@
 
 Encoding splits texts into words (the vocabulary's own pre-tokenisation) and works on blocks: runs of
 documents of one partition with a bounded number of words. A block keeps each of its distinct words
-once; only those rows are shuffled, by word, so that every distinct word meets one task, which encodes
-it once. The ids return to the block and are put back by position. A frequent word has one row for
-each block, however often it occurs, so no word makes a large group.
+once; only those are shuffled, dealt by a hash of the word, so that every distinct word meets one task,
+which encodes it once. The ids return to the block and are put back by position. A frequent word
+counts once for each block, however often it occurs, so no word makes a large group.
 
 Decoding joins ids with the id-to-piece table. That table has one row for each id of the vocabulary
 file (50,257 here), a bound that does not depend on the data, so it is held by every task as an
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +38,7 @@ SPACES = r"\t\n\x0b\x0c\r \x85\xa0"
 #: The byte-level word pattern over Latin-1; other texts go through the tokenizer's own splitter.
 WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
-BLOCK_WORDS, BLOCK_TOKENS = 400_000, 6_000_000
+BLOCK_WORDS, BLOCK_TOKENS = 150_000, 2_000_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -93,15 +95,26 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tupl
             codes.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
             tokens += len(words)
             if len(numbers) > BLOCK_WORDS or tokens > BLOCK_TOKENS:
-                yield digest.intdigest() - (1 << 63), ids, codes, list(numbers)
+                yield digest.intdigest() - (1 << 63), ids, *_by_frequency(codes, list(numbers))
                 ids, codes, numbers = [], [], defaultdict(itertools.count().__next__)
                 digest, tokens = xxhash.xxh3_64(), 0
     if ids:
-        yield digest.intdigest() - (1 << 63), ids, codes, list(numbers)
+        yield digest.intdigest() - (1 << 63), ids, *_by_frequency(codes, list(numbers))
+
+
+def _by_frequency(codes: list[np.ndarray], table: list[str]) -> tuple[list[np.ndarray], list[str]]:
+    """Numbers the words anew, the most frequent first: small numbers compress well."""
+    counts = np.zeros(len(table), np.int64)
+    for c in codes:
+        np.add.at(counts, c, 1)
+    order = np.argsort(-counts, kind="stable")
+    new = np.empty(len(table), np.uint32)
+    new[order] = np.arange(len(table), dtype=np.uint32)
+    return [new[c] for c in codes], [table[k] for k in order]
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>): each row's whole text as BPE ids; null and empty texts have none.
+    """(id_col, ids binary): each row's whole text as BPE ids, little-endian 32-bit integers; null and empty texts have none.
 
     `vocabulary` is the tokenizer file's content. Rows stay one to one: repeated and null ids are
     kept, other columns are dropped. `df` has to give the same rows in the same order when read
@@ -110,91 +123,100 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     docs = df.select(F.col(id_col).alias(f"{TMP}id"), F.col(text_col).cast("string").alias(f"{TMP}text"))
     id_type = docs.schema[0].dataType
 
+    buckets = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, table in _blocks(batches, vocabulary):
-            for k in range(0, len(table), 20_000):
-                part = table[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string()), pa.array(np.arange(k, k + len(part), dtype=np.int32))], names=["block", "word", "n"])
+            deal: list[list[int]] = [[] for _ in range(buckets)]
+            for n, w in enumerate(table):
+                deal[xxhash.xxh3_64_intdigest(w) % buckets].append(n)
+            rows = [(b, block, packed(np.diff(part, prepend=0)), packed([len(table[n]) for n in part]), squeeze("".join(table[n] for n in part).encode())) for b, part in enumerate(deal) if part]
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "block", "n", "lengths", "words"])
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, codes, _ in _blocks(batches, vocabulary):
             for k in range(0, len(ids), 500):
-                part = [planes(c) for c in codes[k : k + 500]]
+                part = [packed(c) for c in codes[k : k + 500]]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([i.as_py() for i in ids[k : k + 500]], ids[0].type), pa.array(part, pa.binary())], names=["block", f"{TMP}id", "codes"])
 
-    found = docs.mapInArrow(words, "block long, word string, n int").repartition("word").mapInArrow(_encoder(vocabulary), "block long, n binary, sizes binary, ids binary")
+    found = docs.mapInArrow(words, "bucket int, block long, n binary, lengths binary, words binary").repartition("bucket").mapInArrow(_encoder(vocabulary), "block long, n binary, sizes binary, ids binary")
     coded = docs.mapInArrow(numbers, T.StructType([T.StructField("block", T.LongType()), T.StructField(f"{TMP}id", id_type), T.StructField("codes", T.BinaryType())]))
-    out = T.StructType([T.StructField(f"{TMP}id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    out = T.StructType([T.StructField(f"{TMP}id", id_type), T.StructField("ids", T.BinaryType())])
     return coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_join, out).withColumnRenamed(f"{TMP}id", id_col)
 
 
-def planes(codes: np.ndarray) -> bytes:
-    """Word numbers with their low bytes first, then their next bytes, and so on: they compress better."""
-    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + zstandard.compress(data, 1)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return zstandard.decompress(data[8:], int.from_bytes(data[:8], "little")) if data[:8].strip(b"\0") else b""
+
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 with all low bytes first, then the next bytes, and so on, compressed."""
+    return squeeze(np.asarray(numbers).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
-def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unsqueeze(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _encoder(vocabulary: str):
-    """Encodes the distinct words of a partition by word; rows go back packed by block."""
+    """Encodes the words of the buckets of a partition, each distinct word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        table: dict[str, np.ndarray] = {}
-        packed: defaultdict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(b, np.array(n, "<i4").tobytes(), np.array([len(x) for x in ids], "<i4").tobytes(), b"".join(x.tobytes() for x in ids)) for b, (n, ids) in packed.items()]
-            for k in range(0, len(rows), 2_000):
-                cols = list(zip(*rows[k : k + 2_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["block", "n", "sizes", "ids"])
-            packed.clear()
-
+        table: dict[str, bytes] = {}
         for batch in batches:
-            blocks, words, n = (c.to_pylist() for c in batch.columns)
-            new = [w for w in dict.fromkeys(words) if w not in table]
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                table[w] = np.array(e.ids, "<i4")
-            for b, w, k in zip(blocks, words, n, strict=True):
-                x = packed[b]
-                x[0].append(k)
-                x[1].append(table[w])
-            held += len(words)
-            if held > 400_000:
-                yield from flush()
-                held = 0
-            if len(table) > 1_000_000:
-                table.clear()
-        yield from flush()
+            for at in range(0, batch.num_rows, 200):
+                blocks, n, lengths, data = (batch.column(c)[at : at + 200] for c in (1, 2, 3, 4))
+                sizes, ids = [], []
+                for size, text in zip(lengths.to_pylist(), data.to_pylist(), strict=True):
+                    text, ends = unsqueeze(text).decode(), np.cumsum(unpacked(size), dtype=np.int64).tolist()
+                    words = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                    new = [w for w in words if w not in table]
+                    for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                        table[w] = np.array(e.ids, "<u4").tobytes()
+                    found = [table[w] for w in words]
+                    sizes.append(packed(np.fromiter(map(len, found), np.uint32, len(found)) // 4))
+                    ids.append(packed(np.frombuffer(b"".join(found), "<u4")))
+                    if len(table) > 300_000:
+                        table.clear()
+                yield pa.RecordBatch.from_arrays([blocks, n, pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["block", "n", "sizes", "ids"])
 
     return run
 
 
 def _join(docs: pa.Table, found: pa.Table) -> pa.Table:
     """Puts the ids of a block's words back at their positions in its documents."""
-    numbers, sizes, ids = (np.frombuffer(b"".join(found.column(c).to_pylist()), "<i4") for c in ("n", "sizes", "ids"))
     if docs.num_rows == 0:
-        raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
-    starts = np.zeros(len(sizes), np.int64)
-    np.cumsum(sizes[:-1], out=starts[1:]) if len(sizes) else None
-    size_of, start_of = np.full(len(numbers) + 1, -1, np.int64), np.zeros(len(numbers) + 1, np.int64)
-    known = numbers < len(numbers)
-    size_of[numbers[known]], start_of[numbers[known]] = sizes[known], starts[known]
+        raise RuntimeError(OTHER)
+    numbers = np.concatenate([np.zeros(0, np.uint32), *(np.cumsum(unpacked(x), dtype=np.uint32) for x in found.column("n").to_pylist())])
+    sizes, ids = (np.concatenate([np.zeros(0, np.uint32), *map(unpacked, found.column(c).to_pylist())]) for c in ("sizes", "ids"))
+    ends = np.cumsum(sizes, dtype=np.int64)
+    size_of, start_of = np.full(len(numbers), -1, np.int64), np.zeros(len(numbers), np.int64)
+    if len(numbers) and numbers.max() >= len(numbers):
+        # the same block twice (equal partitions): its words came twice, and one copy serves both
+        numbers, first = np.unique(numbers, return_index=True)
+        sizes, ends = sizes[first], ends[first]
+        size_of, start_of = np.full(int(numbers.max()) + 1, -1, np.int64), np.zeros(int(numbers.max()) + 1, np.int64)
+    size_of[numbers], start_of[numbers] = sizes, ends - sizes
     out = []
     for data in docs.column("codes").to_pylist():
-        words = unplanes(data)
-        if len(words) and (words.max() >= len(numbers) or (size_of[words] < 0).any()):
-            raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
-        out.append(ids[ragged(start_of[words], size_of[words])])
-    offsets = np.zeros(len(out) + 1, np.int32)
-    np.cumsum([len(x) for x in out], out=offsets[1:])
-    flat = np.concatenate([*out, np.zeros(0, "<i4")]).astype(np.int32)
-    return pa.Table.from_arrays([docs.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[docs.schema.names[1], "ids"])
+        words = unpacked(data)
+        if len(words) and (words.max() >= len(size_of) or (size_of[words] < 0).any()):
+            raise RuntimeError(OTHER)
+        out.append(ids[ragged(start_of[words], size_of[words])].astype("<u4").tobytes())
+    return pa.Table.from_arrays([docs.column(1), pa.array(out, pa.binary())], names=[docs.schema.names[1], "ids"])
+
+
+OTHER = "the input gave other rows when it was read again; write it to a table first"
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -220,19 +242,19 @@ class Decoder:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def text(self, ids: np.ndarray) -> str:
-        ids = ids[(ids >= 0) & (ids < len(self.sizes))]
+        ids = ids[ids < len(self.sizes)]
         return self.data[ragged(self.starts[ids], self.sizes[ids])].tobytes().decode("utf-8", "replace")
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """`df` with `out_col`, the text of `ids_col` (array<int>); null arrays give null, unknown ids nothing.
+    """`df` with `out_col`, the text of `ids_col` (binary as `encode` gives it); null gives null, unknown ids nothing.
 
     Bytes that are no UTF-8 become U+FFFD. Other columns pass through.
     """
     table = pieces(vocabulary)
 
-    def run(arrays: list) -> list:
+    def run(rows: list) -> list:
         d = Decoder(table)
-        return [[None if x is None else d.text(np.array([i for i in x if i is not None], np.int64)) for x in arrays]]
+        return [[None if x is None else d.text(np.frombuffer(x, "<u4")) for x in rows]]
 
     return map_columns(df, [ids_col], [T.StructField(out_col, T.StringType())], run)

@@ -59,7 +59,7 @@ def map_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], f
     kinds = [to_arrow(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = fn(*(batch.column(c) if arrow else batch.column(c).to_pylist() for c in inputs))
             made = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=kept + [f.name for f in fields])
@@ -67,6 +67,14 @@ def map_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], f
     return df.select(*dict.fromkeys([*kept, *inputs])).mapInArrow(run, schema)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `size` bytes, a row at least."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(size, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def to_arrow(kind: T.DataType) -> pa.DataType:
     simple = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
     return pa.list_(to_arrow(kind.elementType)) if isinstance(kind, T.ArrayType) else simple[type(kind)]
@@ -108,6 +116,17 @@ def hash_sample(df: DataFrame, group: str, id_col: str, bound: int) -> DataFrame
     return df.where(rank < share[F.col(group)])
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, text_col: str, id_col: str, bound: int) -> DataFrame:
+    """(id, y, t): about `bound` texts of each label 0 and 1, picked among the labels before any text is read.
+
+    The picked labels are at most about 2 x bound rows, whatever the tables hold, and are broadcast.
+    """
+    picked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
+    picked = hash_sample(picked, "y", "id", bound)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    return texts.join(F.broadcast(picked), "id")
+
+
 def local_forest(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Within each partition, the edges (long, long) as stars around each component's smallest node."""
 

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from functools import cache
 from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import bpe, decontam, html
-from .common import map_columns, table
+from . import bpe, decontam, html, lang, pii, quality, toxicity, vectors
+from .common import held_out, table
 
 
 @cache
@@ -28,14 +25,40 @@ def vocabulary(path: str | None = None) -> str:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vocabulary()
-    encoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), v), v, out_col="decoded")
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), v), v, out_col="decoded")
+    return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
-    def digest(ids, texts) -> list:
-        at, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-        return [np.diff(at).tolist(), [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], [hashlib.sha256(x.encode()).hexdigest() for x in texts.to_pylist()]]
 
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return map_columns(encoded, ["ids", "decoded"], fields, digest, keep=["doc_id"], arrow=True)
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id"), 3, 1).alias("held_out"))
+    filters = lang.train(docs.where("not held_out and lang is not null"))
+    return lang.identify(docs.drop("lang"), filters).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def _learning(labels: DataFrame) -> DataFrame:
+    return labels.where(~held_out(F.col("doc_id"), 5, 0))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.train(table(spark, sf_dir, "documents"), _learning(table(spark, sf_dir, "labels")), "quality")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 5, 0).alias("held_out"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.train(table(spark, sf_dir, "documents"), _learning(table(spark, sf_dir, "labels")), "toxic")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 5, 0).alias("held_out"))
+    return toxicity.severity(docs, model).select("doc_id", "held_out", "severity", "p_toxic", "toxic")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.links(table(spark, sf_dir, "embeddings"))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +78,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_html": op2_html, "op9_decontaminate": op9_decontaminate, "op10_bpe": op10_bpe}
+    return {"op1_language": op1_language, "op2_html": op2_html, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_vectors": op6_vectors, "op9_decontaminate": op9_decontaminate, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
