@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, lang, pii, quality, toxicity, vectors
+from . import bpe, decontam, html, jaccard, lang, pii, quality, toxicity, vectors
 from .common import held_out, table
 
 
@@ -61,6 +61,10 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.links(table(spark, sf_dir, "embeddings"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.links(table(spark, sf_dir, "documents"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = html.main_text(pages, html.train(pages))
@@ -78,7 +82,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_html": op2_html, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_vectors": op6_vectors, "op9_decontaminate": op9_decontaminate, "op10_bpe": op10_bpe}
+    return {"op1_language": op1_language, "op2_html": op2_html, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_vectors": op6_vectors, "op8_jaccard": op8_jaccard, "op9_decontaminate": op9_decontaminate, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
