@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, jaccard, lang, pii, quality, toxicity, vectors
+from . import bpe, decontam, html, jaccard, lang, lines, pii, quality, toxicity, vectors
 from .common import held_out, table
 
 
@@ -65,6 +65,11 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.links(table(spark, sf_dir, "documents"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = html.main_text(pages, html.train(pages))
@@ -82,7 +87,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_html": op2_html, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_vectors": op6_vectors, "op8_jaccard": op8_jaccard, "op9_decontaminate": op9_decontaminate, "op10_bpe": op10_bpe}
+    return {"op1_language": op1_language, "op2_html": op2_html, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_vectors": op6_vectors, "op7_lines": op7_lines, "op8_jaccard": op8_jaccard, "op9_decontaminate": op9_decontaminate, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
