@@ -213,3 +213,10 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     both = pairs.join(whole.select(F.col("sig").alias("a"), F.col("found").alias("x")), "a").join(whole.select(F.col("sig").alias("b"), F.col("found").alias("y")), "b")
     overlap = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("s"))
     return overlap.where(F.col("o") * 100 >= (F.col("s") - F.col("o")) * percent).select("a", "b")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `df` whose id is their component's smallest, exact repeats of a row's id and text once; columns stay as they are."""
+    keep = links(df, id_col, text_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_rl_id")).distinct()
+    kept = df.withColumn("_rl_t", F.xxhash64(F.col(text_col).cast("string"))).join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_rl_id")), "left_semi")
+    return kept.dropDuplicates([id_col, "_rl_t"]).select(*df.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, hash_sample, map_columns, mix, share
+from .common import TMP, chunks, hash_sample, map_columns, mix, share
 
 N, ROWS_LOG2, HASHES = 4, 20, 3
 UNKNOWN = "und"
@@ -139,7 +139,12 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", lang_out
     return map_columns(docs, [text_col], [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())], run)
 
 
-def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text", min_score: float = 0.15) -> DataFrame:
-    """The rows whose text is in a known language with a score of at least `min_score`; columns stay as they are."""
-    found = identify(docs, filters, text_col, "_rl_lang", "_rl_score")
-    return found.where((F.col("_rl_lang") != UNKNOWN) & (F.col("_rl_score") >= min_score)).select(*docs.columns)
+def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text", min_score: float = 0.05, short: int = 40) -> DataFrame:
+    """The rows whose text is in a known language: not `und`, and with a score of at least `min_score`.
+
+    Texts of fewer than `short` characters say too little for a score and stay if they have a letter.
+    Columns stay as they are.
+    """
+    found = identify(docs, filters, text_col, f"{TMP}lang", f"{TMP}score")
+    good = (F.col(f"{TMP}score") >= min_score) | (F.length(text_col) < short)
+    return found.where((F.col(f"{TMP}lang") != UNKNOWN) & good).select(*docs.columns)
