@@ -21,7 +21,9 @@ def read_pages(spark: SparkSession, path: str, kind: str = "parquet") -> DataFra
 def read_uploaded_table(spark: SparkSession, path: str) -> DataFrame:
     """CSV without a header; all cells are text, quoted cells may have newlines and doubled quotes; columns c0, c1, ..."""
     rows = spark.read.csv(path, header=False, inferSchema=False, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="", nullValue="\0")
-    return rows.select(*[blank(c).alias(f"c{k}") for k, c in enumerate(rows.columns)])
+    cells = [blank(c) for c in rows.columns]
+    cells[-1] = F.regexp_replace(cells[-1], r"\r\z", "")  # of lines that end with CRLF
+    return rows.select(*[c.alias(f"c{k}") for k, c in enumerate(cells)])
 
 
 def replace_relation(rows: DataFrame, path: str) -> None:
