@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import TMP, map_columns
+from .common import TMP, map_columns, release, tidy
 
 # Latin-1 letters, numbers and white space, as \p{L}, \p{N} and \s have them.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -141,8 +141,8 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 part = [packed(c) for c in codes[k : k + 500]]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([i.as_py() for i in ids[k : k + 500]], ids[0].type), pa.array(part, pa.binary())], names=["block", f"{TMP}id", "codes"])
 
-    found = docs.mapInArrow(words, "bucket int, block long, n binary, lengths binary, words binary").repartition("bucket").mapInArrow(_encoder(vocabulary), "block long, n binary, sizes binary, ids binary")
-    coded = docs.mapInArrow(numbers, T.StructType([T.StructField("block", T.LongType()), T.StructField(f"{TMP}id", id_type), T.StructField("codes", T.BinaryType())]))
+    found = docs.mapInArrow(tidy(words), "bucket int, block long, n binary, lengths binary, words binary").repartition("bucket").mapInArrow(tidy(_encoder(vocabulary)), "block long, n binary, sizes binary, ids binary")
+    coded = docs.mapInArrow(tidy(numbers), T.StructType([T.StructField("block", T.LongType()), T.StructField(f"{TMP}id", id_type), T.StructField("codes", T.BinaryType())]))
     out = T.StructType([T.StructField(f"{TMP}id", id_type), T.StructField("ids", T.BinaryType())])
     return coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_join, out).withColumnRenamed(f"{TMP}id", id_col)
 
@@ -213,6 +213,7 @@ def _join(docs: pa.Table, found: pa.Table) -> pa.Table:
         if len(words) and (words.max() >= len(size_of) or (size_of[words] < 0).any()):
             raise RuntimeError(OTHER)
         out.append(ids[ragged(start_of[words], size_of[words])].astype("<u4").tobytes())
+    release()
     return pa.Table.from_arrays([docs.column(1), pa.array(out, pa.binary())], names=[docs.schema.names[1], "ids"])
 
 

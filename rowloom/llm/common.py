@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +50,59 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
     return get
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks, and several of them share an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` over the batches of a task, with its memory given back at the end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
+def merged_pieces(parts: DataFrame, width: int, kind: type, join: Callable[[np.ndarray, np.ndarray], np.ndarray], finish: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """One array of `width` (fixed by the caller, so bounded) from the tasks' arrays: rows (piece, data) of zstd-packed pieces,
+    joined piece by piece on the executors."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                one = np.frombuffer(zstandard.decompress(data), kind)
+                sums[n] = join(sums[n], one) if n in sums else one
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zstandard.compress(finish(x).tobytes(), 1) for x in sums.values()], pa.binary())], names=["piece", "data"])
+
+    out = None
+    for r in parts.repartition("piece").mapInArrow(tidy(add), "piece int, data binary").collect():
+        one = np.frombuffer(zstandard.decompress(r.data), np.uint8)
+        out = np.zeros(width, np.uint8) if out is None else out
+        out[r.piece * len(one) : (r.piece + 1) * len(one)] = one
+    return np.zeros(width, np.uint8) if out is None else out
+
+
+def pieces_of(total: np.ndarray, piece: int) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(total), piece):
+        if total[k : k + piece].any():
+            yield pa.RecordBatch.from_arrays([pa.array([k // piece], pa.int32()), pa.array([zstandard.compress(total[k : k + piece].tobytes(), 1)], pa.binary())], names=["piece", "data"])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as a Parquet table in the shared checkpoint folder and read again: smaller than `cut` for wide rows."""
+    sc = df.sparkSession.sparkContext
+    cut(df.sparkSession.range(0))  # sets the folder where it is unset
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], fn: Callable[..., list], keep: list[str] | None = None, arrow: bool = False) -> DataFrame:
     """`df` with computed columns, one Arrow batch at a time.
 
@@ -64,7 +121,7 @@ def map_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], f
             made = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=kept + [f.name for f in fields])
 
-    return df.select(*dict.fromkeys([*kept, *inputs])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*kept, *inputs])).mapInArrow(tidy(run), schema)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -102,6 +159,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_P = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2^64 and their inverses; kept by the worker."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_P, pow(_P, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run values[start:end], that depends on the run's elements and order alone."""
+    up, down = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64, out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every word of bytes in which words are parted by spaces and newlines."""
+    b = np.frombuffer(data, np.uint8)
+    word = (b != 32) & (b != 10)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    return starts, run_hashes(b, starts, ends)
+
+
+def text_words(texts: list[str], table: bytes, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
+    """Runs of texts as bytes translated by `table` and joined by newlines: (first, last + 1, the bytes of each, word starts, word hashes)."""
+    first, held, size = 0, [], 0
+    for k, t in enumerate(texts):
+        held.append((t or "").encode("utf-8", "replace").translate(table))
+        size += len(held[-1]) + 1
+        if size >= limit or k == len(texts) - 1:
+            yield first, k + 1, held, *word_hashes(b"\n".join(held))
+            first, held, size = k + 1, [], 0
+
+
 def hash_sample(df: DataFrame, group: str, id_col: str, bound: int) -> DataFrame:
     """About `bound` rows of each value of `group`, picked by a hash of the id; groups below it stay whole.
 
@@ -127,6 +224,19 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, text_col: str,
     return texts.join(F.broadcast(picked), "id")
 
 
+def merge_sets(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the sets of all pairs (a, b); root holds each member's smallest position."""
+    while len(a):
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        if not len(a):
+            break
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def local_forest(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Within each partition, the edges (long, long) as stars around each component's smallest node."""
 

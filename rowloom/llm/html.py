@@ -4,8 +4,8 @@ A page is one sequence of words and tags. Words score positive, tags negative; t
 the contiguous run with the largest sum, found in one linear scan. The weights come from labelled
 pages: pages whose only <article> (or <main>) element marks the content. Each tag's weight is its
 log-odds of standing inside the content against outside, times a scale that is chosen on the same
-pages. Elements that are never content (menus, forms, scripts, notices and the like) score as
-non-words, and are left out of the region's text.
+pages. Words of elements that are never content (menus, forms, scripts, notices and the like) score
+a little below nothing, so that the region can reach across them, and are left out of its text.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ class Weights:
     """What training learns. `tags` has names like "p" and "/p"; `other` is for unseen tags."""
 
     word: float = 1.0
-    noise_word: float = -1.0
+    noise_word: float = -0.1
     other: float = -2.0
     scale: float = 16.0
     tags: dict[str, float] = field(default_factory=lambda: {t: -0.1 for x in ("p", "br", "b", "i", "em", "strong", "h1", "h2", "h3", "blockquote", "span", "li", "ul", "ol", "a") for t in (x, f"/{x}")})
@@ -174,7 +174,7 @@ def train(pages: DataFrame, html_col: str = "html", id_col: str = "url", sample:
         return Weights()
     odds = {k: math.log((counts.get((k, True), 0) + 0.5) / (counts.get((k, False), 0) + 0.5)) for k, _ in counts}
     tags = {k[1:]: min(-0.1, v) for k, v in odds.items() if k != "word"}
-    weights = Weights(word=max(0.1, odds.get("word", 1.0)), noise_word=-max(0.1, odds.get("word", 1.0)), tags=tags)
+    weights = Weights(word=max(0.1, odds.get("word", 1.0)), noise_word=-0.1, tags=tags)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = dict.fromkeys(SCALES, 0)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, mix, share
+from .common import connected_components, cut, merge_sets, mix, share
 
 
 @dataclass
@@ -216,7 +216,7 @@ def _comparer(d: int, cosine: float):
                 first = _first_shared(own[p], own[q]) == key
                 np.add.at(links, p[first], n[q[first]])
                 np.add.at(links, q[first], n[p[first]])
-            _merge(root, a, b)
+            merge_sets(root, a, b)
         some = (links > 0) | (root != np.arange(len(ids)))
         low = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(low, root, ids)
@@ -233,16 +233,3 @@ def _first_shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         hit = (p[:, k, None] == q).any(axis=1) & (p[:, k] != none)
         out = np.where(hit, np.minimum(out, p[:, k]), out)
     return out
-
-
-def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the sets of all pairs (a, b); root holds each member's smallest position."""
-    while len(a):
-        ra, rb = root[a], root[b]
-        apart = ra != rb
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        if not len(a):
-            break
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while (root[root] != root).any():
-            root[:] = root[root]
