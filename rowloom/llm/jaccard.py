@@ -10,7 +10,7 @@ The order comes from counts of all documents in a sketch (a table of hashed coun
 an imprecise count changes the cost, never the result.
 
 Equal sets are one node, whatever the number of copies. Within the documents that share a prefix
-shingle, each is first verified against one hub; documents that link to the same hub need no pair
+shingle, each is first verified against one hub. Documents that these links connect need no pair
 between themselves, so large groups of near copies stay linear. All other pairs are joined and
 verified, and connected components close the links.
 """
@@ -27,24 +27,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, mix, share
+from .common import connected_components, cut, merged_pieces, mix, pieces_of, run_hashes, share, stored, text_words, tidy
 
 LEVELS = 4
-#: Counters of the sketch: 2^22 bytes on their way to the tasks, whatever the input.
-WIDTH_LOG2, PIECE = 22, 1 << 16
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; of its whole sequence if it is shorter."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = min(size, len(words))
-    out = np.full(len(words) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)])
-    return np.unique(out)
+#: Counters of the sketch: 2^21 bytes on their way to the tasks, whatever the input.
+WIDTH_LOG2, PIECE = 21, 1 << 16
+
+
+#: A-Z as a-z; ASCII white space as spaces.
+_TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
+
+
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """For each text, the sorted distinct 64-bit hashes of its word shingles; of its whole sequence if it is shorter."""
+    out: list[np.ndarray] = []
+    for _, _, data, starts, words in text_words(texts, _TABLE):
+        ends = np.cumsum([len(d) + 1 for d in data])
+        at = np.searchsorted(starts, np.concatenate([[0], ends]))
+        span = np.arange(max(0, len(words) - size + 1))
+        grams = run_hashes(words, span, span + size)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if b - a >= size:
+                out.append(np.unique(grams[a : b - size + 1]))
+            else:
+                out.append(run_hashes(words[a:b], np.array([0]), np.array([b - a])) if b > a else np.zeros(0, np.uint64))
+    return out
 
 
 def digest(found: np.ndarray) -> int:
@@ -69,10 +76,10 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1).to_pylist(), size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "sig", "n"])
 
-    known = cut(docs.mapInArrow(signs, "id long, sig long, n long"))
+    known = cut(docs.mapInArrow(tidy(signs), "id long, sig long, n long"))
     edges = near(docs.select("t"), size, percent)
     roots = connected_components(edges)
     nodes = known.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"))
@@ -93,8 +100,7 @@ def near(texts: DataFrame, size: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             out: list[tuple] = []
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, size)
+            for found in shingle_sets(batch.column(0).to_pylist(), size):
                 if not len(found):
                     continue
                 sig = digest(found)
@@ -113,17 +119,17 @@ def near(texts: DataFrame, size: int, percent: int) -> DataFrame:
                     names=["token", "sig", "pos", "n", "level", "common"],
                 )
 
-    rows = texts.mapInArrow(prefixes, "token long, sig long, pos int, n int, level tinyint, common float")
-    # only tokens of two sets or more matter; the commonest set of each (the most typical of a group of near copies) is its hub
-    shared = rows.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.max(F.struct("common", "sig", "n")).alias("hub")).where("lo < hi").select("token", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n"))
-    rows = cut(rows.join(shared, "token").distinct())
+    rows = texts.mapInArrow(tidy(prefixes), "token long, sig long, pos int, n int, level tinyint, common float")
+    # only tokens of two sets or more matter
+    shared = rows.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("token")
+    rows = cut(rows.join(shared, "token", "left_semi").distinct())
+    # the commonest set of each token (the most typical of a group of near copies) is its hub
+    hubs = rows.groupBy("token").agg(F.max(F.struct("common", "sig", "n")).alias("hub")).select("token", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n"))
     close = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-    stars = rows.where("sig != hub").where(close("n", "hub_n")).select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
+    stars = rows.join(hubs, "token").where("sig != hub").where(close("n", "hub_n")).select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
     first = cut(verified(stars, texts, size, percent))
-    hubs = rows.select(F.col("hub").alias("node")).distinct()
-    # a label for each set that a hub accepted: the smallest hub that did; sets with one label are connected
-    to_hub = first.join(hubs, first.b == hubs.node, "left_semi").select(F.col("a").alias("sig"), F.col("b").alias("h")).union(first.join(hubs, first.a == hubs.node, "left_semi").select(F.col("b").alias("sig"), F.col("a").alias("h")))
-    labels = to_hub.groupBy("sig").agg(F.min("h").alias("label"))
+    # sets that are connected already need no pairs between themselves
+    labels = cut(connected_components(first)).select(F.col("node").alias("sig"), F.col("root").alias("label"))
     labelled = rows.join(labels, "sig", "left").select("token", "sig", "pos", "n", "level", F.coalesce("label", "sig").alias("label"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     rest = cut(labelled.join(mixed, "token", "left_semi"))
@@ -137,7 +143,8 @@ def near(texts: DataFrame, size: int, percent: int) -> DataFrame:
         .groupBy(F.col("x.sig").alias("p"), F.col("y.sig").alias("q")).agg(F.count("*").alias("hits"), F.first(F.col("x.level")).alias("level"))
         .where("hits >= level").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     )
-    return first.union(verified(pairs.join(first, ["a", "b"], "left_anti"), texts, size, percent))
+    tied = labels.select(F.col("sig").alias("a"), F.col("label").alias("b")).where("a != b")
+    return tied.union(verified(pairs, texts, size, percent))
 
 
 def _prefix(found: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int, int, float]:
@@ -164,41 +171,45 @@ def sketch(texts: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.uint32)
         for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(0).to_pylist()]
+            sets = shingle_sets(batch.column(0).to_pylist(), size)
             if sets:
                 total += np.bincount((np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint32)
-        if total.any():
-            # counters of one task are small: one byte each where they fit
-            few = total.max() < 256
-            for k in range(0, width, PIECE):
-                yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), pa.array([few]), pa.array([total[k : k + PIECE].astype(np.uint8 if few else "<u4").tobytes()], pa.binary())], names=["piece", "few", "data"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        yield from pieces_of(total, PIECE)
+
+    parts = texts.mapInArrow(tidy(count), "piece int, data binary")
+    return merged_pieces(parts, width, np.uint32, lambda a, b: a.astype(np.uint64) + b, lambda x: np.round(8 * np.log2(np.maximum(x, 1))).clip(0, 255).astype(np.uint8))
+
+
+def members(sigs: DataFrame) -> np.ndarray:
+    """A Bloom filter (one hash) of digests: 16 bits for each, 2^27 bits (16 MB) at most."""
+    n = max(1, sigs.count())
+    width = 1 << min(24, max(16, math.ceil(math.log2(2 * n))))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.uint8)
         for batch in batches:
-            for piece, few, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums.setdefault(piece, np.zeros(PIECE, np.uint64))[:] += np.frombuffer(data, np.uint8 if few else "<u4").astype(np.uint64)
-        if sums:
-            logs = [np.round(8 * np.log2(np.maximum(s, 1))).clip(0, 255).astype(np.uint8).tobytes() for s in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], names=["piece", "logs"])
-
-    parts = texts.mapInArrow(count, "piece int, few boolean, data binary").repartition("piece").mapInArrow(add, "piece int, logs binary").collect()
-    out = np.zeros(width, np.uint8)
-    for r in parts:
-        out[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.logs, np.uint8)
-    return out
+            x = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(8 * width - 1)
+            np.bitwise_or.at(total, (x >> np.uint64(3)).astype(np.int64), np.uint8(1) << (x & np.uint64(7)).astype(np.uint8))
+        yield from pieces_of(total, PIECE)
+
+    return merged_pieces(sigs.mapInArrow(tidy(mark), "piece int, data binary"), width, np.uint8, np.bitwise_or, lambda x: x)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set digests whose sets are similar enough, compared whole."""
 
+    pairs = cut(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    # most texts are in no pair; the filter spares their sets the exchange, the join below is exact
+    some = share(texts.sparkSession, members(wanted))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = some()
         seen: set[int] = set()
         for batch in batches:
             rows = []
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, size)
-                if len(found) and (sig := digest(found)) not in seen:
+            for found in shingle_sets(batch.column(0).to_pylist(), size):
+                if len(found) and (sig := digest(found)) not in seen and (bits[(x := int(mix(np.array([sig]).view(np.uint64))[0]) & (8 * len(bits) - 1)) >> 3] >> (x & 7)) & 1:
                     if len(seen) < 1_000_000:
                         seen.add(sig)
                     rows.append((sig, found.view(np.int64)))
@@ -207,9 +218,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 flat = pa.array(np.concatenate([s for _, s in part]))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s) for _, s in part)]), pa.int32()), flat)], names=["sig", "found"])
 
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    whole = cut(texts.mapInArrow(sets, "sig long, found array<long>").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("found").alias("found")))
+    whole = stored(texts.mapInArrow(tidy(sets), "sig long, found array<long>").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("found").alias("found")))
     both = pairs.join(whole.select(F.col("sig").alias("a"), F.col("found").alias("x")), "a").join(whole.select(F.col("sig").alias("b"), F.col("found").alias("y")), "b")
     overlap = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("s"))
     return overlap.where(F.col("o") * 100 >= (F.col("s") - F.col("o")) * percent).select("a", "b")
