@@ -179,13 +179,26 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of every word of bytes in which words are parted by spaces and newlines."""
-    b = np.frombuffer(data, np.uint8)
-    word = (b != 32) & (b != 10)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    return starts, run_hashes(b, starts, ends)
+def word_hashes(data: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every word of bytes in which words are parted by spaces and newlines.
+
+    Long data is taken in pieces that end between words, so memory follows the piece (or a longer word).
+    """
+    found_starts, found, at = [], [], 0
+    while at < len(data) or not found:
+        end = len(data)
+        if end - at > piece:
+            end = max(data.rfind(b" ", at, at + piece), data.rfind(b"\n", at, at + piece)) + 1
+            if not end:
+                after = [k for k in (data.find(b" ", at + piece), data.find(b"\n", at + piece)) if k >= 0]
+                end = min(after) + 1 if after else len(data)
+        b = np.frombuffer(data, np.uint8, end - at, at)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], ((b != 32) & (b != 10)).view(np.int8), [0]])))
+        starts, ends = edge[::2], edge[1::2]
+        found.append(run_hashes(b, starts, ends))
+        found_starts.append(starts + at)
+        at = end
+    return np.concatenate(found_starts), np.concatenate(found)
 
 
 def text_words(texts: list[str], table: bytes, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:

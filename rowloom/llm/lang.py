@@ -64,18 +64,26 @@ class Filters:
             found = found & self.masks[(hashes >> np.uint64(k * 64 // HASHES)) & cut]
         return found
 
-    def predict(self, texts: list[str], letters: np.ndarray) -> tuple[list[str], list[float]]:
-        hashes, grams, some = ngrams(texts, letters)
-        found = self.rows(hashes)
-        at = np.concatenate([[0], np.cumsum(grams)])
-        hits = np.zeros((len(texts), len(self.languages)))
-        for k in range(len(self.languages)):
-            total = np.concatenate([[0], np.cumsum((found >> found.dtype.type(k)) & found.dtype.type(1), dtype=np.int64)])
-            hits[:, k] = total[at[1:]] - total[at[:-1]]
+    def predict(self, texts: list[str | None], letters: np.ndarray, piece: int = 1_000_000) -> tuple[list[str], list[float]]:
+        """Languages and scores; a longer text is counted in pieces, and n-grams don't reach across their ends."""
+        parts = [(k, (t or "")[at : at + piece]) for k, t in enumerate(texts) for at in range(0, max(1, len(t or "")), piece)]
+        hits, grams, some = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        at = 0
+        for run in chunks((t for _, t in parts), piece):
+            of = np.array([k for k, _ in parts[at : at + len(run)]])
+            at += len(run)
+            hashes, n, letter = ngrams(run, letters)
+            found = self.rows(hashes)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            np.add.at(grams, of, n)
+            np.logical_or.at(some, of, letter)
+            for k in range(len(self.languages)):
+                total = np.concatenate([[0], np.cumsum((found >> found.dtype.type(k)) & found.dtype.type(1), dtype=np.int64)])
+                np.add.at(hits[:, k], of, total[ends[1:]] - total[ends[:-1]])
         real = (hits - grams[:, None] * self.false_positives) / (1 - self.false_positives)
         best = real.argmax(axis=1)
-        share_ = np.clip(real[np.arange(len(texts)), best] / np.maximum(grams, 1), 0, 1)
-        return [self.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], [float(x) if s else 0.0 for x, s in zip(share_, some, strict=True)]
+        part = np.clip(real[np.arange(len(texts)), best] / np.maximum(grams, 1), 0, 1)
+        return [self.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], [float(x) if s else 0.0 for x, s in zip(part, some, strict=True)]
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 4000, min_rate: float = 1e-5, min_share: float = 0.3) -> Filters:
@@ -129,12 +137,7 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", lang_out
     shared = share(docs.sparkSession, filters)
 
     def run(texts: list) -> list:
-        model, letters = shared(), _letters()
-        out: tuple[list, list] = ([], [])
-        for part in chunks(texts, 1_000_000):
-            for a, b in zip(out, model.predict(part, letters), strict=True):
-                a += b
-        return list(out)
+        return list(shared().predict(texts, _letters()))
 
     return map_columns(docs, [text_col], [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())], run)
 

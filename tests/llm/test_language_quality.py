@@ -47,6 +47,13 @@ def test_language_filters_hold_their_ngrams(spark):
     assert ((masks >> masks.dtype.type(filters.languages.index("en"))) & masks.dtype.type(1)).all()
 
 
+def test_long_text_in_pieces(spark):
+    filters = lang.train(corpus(spark))
+    text = " ".join(WORDS["de"] * 200)
+    whole, parts = (filters.predict([text, None, "the and"], lang._letters(), piece=p) for p in (1_000_000, 50))
+    assert whole[0] == parts[0] == ["de", "und", "en"] and abs(whole[1][0] - parts[1][0]) < 0.1
+
+
 def labelled(spark):
     docs = corpus(spark, 400)
     noisy = (F.col("doc_id") % 4 == 0).cast("int")

@@ -33,6 +33,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_words_in_pieces():
+    data = b"  ab cd\nef " + b"x" * 50 + b" " + b"gh " * 40 + b"y" * 30
+    for piece in (5, 16, 64, 1 << 20):
+        starts, hashes = word_hashes(data, piece)
+        want = [(m.start(), m[0]) for m in __import__("re").finditer(rb"[^ \n]+", data)]
+        assert starts.tolist() == [a for a, _ in want] and len(set(hashes.tolist())) == len({w for _, w in want})
+    assert len(word_hashes(b"")[0]) == len(word_hashes(b" \n")[0]) == 0
+
+
 def variants(rng, n, vocabulary=3000):
     """Texts with exact copies, near copies of all degrees, shared passages and odd cases."""
     base = [" ".join(f"w{x}" for x in rng.integers(0, vocabulary, rng.integers(1, 80))) for _ in range(n)]
