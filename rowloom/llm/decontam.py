@@ -131,7 +131,7 @@ def _add(runs: list[tuple[int, int]], start: int, end: int) -> None:
     runs.append((start, end))
 
 
-def scan(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = 1_000_000) -> DataFrame:
+def scan(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = 100_000) -> DataFrame:
     """`df` with n_words, hit_runs (array<long>: start, end, start, end ... in words) and items (sorted).
 
     A window is `window` consecutive words of an item; an item with fewer words, but not none, is one

@@ -64,7 +64,7 @@ def need(n, percent: int):
 
 
 def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """(id, n_shingles, component_id): the smallest id reachable by links, itself included, for each row.
+    """(id, n_shingles, component_id): the smallest id (an integer) reachable by links, itself included, for each row.
 
     Words are runs of characters other than ASCII white space, A-Z in lower case. Two rows link when
     100 * shared >= percent * united distinct shingles. Rows without words or text link with nothing.
