@@ -12,7 +12,8 @@ an imprecise count changes the cost, never the result.
 Equal sets are one node, whatever the number of copies. Within the documents that share a prefix
 shingle, each is first verified against one hub. Documents that these links connect need no pair
 between themselves, so large groups of near copies stay linear. All other pairs are joined and
-verified, and connected components close the links.
+verified, and connected components close the links. No side of these joins has a bound, so none is
+broadcast.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,6 +98,7 @@ def near(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order()
+        noise = float(np.median(2.0 ** (counts.astype(float) / 8)))
         seen: set[int] = set()
         for batch in batches:
             out: list[tuple] = []
@@ -108,7 +110,7 @@ def near(texts: DataFrame, size: int, percent: int) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(sig)
-                out.append((sig, *_prefix(found, counts, percent)))
+                out.append((sig, *_prefix(found, counts, percent, noise)))
             if out:
                 lens = np.array([len(k) for _, k, *_ in out])
                 yield pa.RecordBatch.from_arrays(
@@ -120,19 +122,20 @@ def near(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 )
 
     rows = texts.mapInArrow(tidy(prefixes), "token long, sig long, pos int, n int, level tinyint, common float")
-    # only tokens of two sets or more matter
-    shared = rows.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("token")
-    rows = cut(rows.join(shared, "token", "left_semi").distinct())
+    # only tokens of two sets or more matter; one exchange tells (a window's rows may spill, they are not collected)
+    token = Window.partitionBy("token")
+    rows = rows.withColumn("lo", F.min("sig").over(token)).withColumn("hi", F.max("sig").over(token)).where("lo < hi").drop("lo", "hi")
+    rows = cut(rows.dropDuplicates(["token", "sig"]))
     # the commonest set of each token (the most typical of a group of near copies) is its hub
     hubs = rows.groupBy("token").agg(F.max(F.struct("common", "sig", "n")).alias("hub")).select("token", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n"))
     close = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-    stars = rows.join(hubs, "token").where("sig != hub").where(close("n", "hub_n")).select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
+    stars = rows.join(hubs.hint("merge"), "token").where("sig != hub").where(close("n", "hub_n")).select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
     first = cut(verified(stars, texts, size, percent))
     # sets that are connected already need no pairs between themselves
     labels = cut(connected_components(first)).select(F.col("node").alias("sig"), F.col("root").alias("label"))
-    labelled = rows.join(labels, "sig", "left").select("token", "sig", "pos", "n", "level", F.coalesce("label", "sig").alias("label"))
+    labelled = rows.join(labels.hint("merge"), "sig", "left").select("token", "sig", "pos", "n", "level", F.coalesce("label", "sig").alias("label"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    rest = cut(labelled.join(mixed, "token", "left_semi"))
+    rest = cut(labelled.join(mixed.hint("merge"), "token", "left_semi"))
     x, y = rest.alias("x"), rest.alias("y")
     # x, the larger set (of equals the one with the larger digest), probes with its own level
     least = F.expr(f"cast(ceil({percent} * (x.n + y.n) / {100 + percent}.0) as int)")
@@ -147,11 +150,11 @@ def near(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return tied.union(verified(pairs, texts, size, percent))
 
 
-def _prefix(found: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int, int, float]:
+def _prefix(found: np.ndarray, counts: np.ndarray, percent: int, noise: float) -> tuple[np.ndarray, int, int, float]:
     """The longest prefix of a set, its size, its level and how common its shingles are.
 
     The estimate for level l: reading the lists of the l-prefix, and verifying the candidates; each
-    candidate uses up l list entries at least.
+    candidate uses up l list entries at least. `noise` is what a counter holds of other shingles.
     """
     n = len(found)
     c = counts[found & np.uint64(len(counts) - 1)]
@@ -159,7 +162,8 @@ def _prefix(found: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.nda
     found, c = found[by], 2.0 ** (c[by].astype(float) / 8)
     least = need(n, percent)
     base = n - least
-    cost = [c[: base + k].sum() * (1 + 50 / k) for k in range(1, min(LEVELS, least) + 1)]
+    lists = np.maximum(c - 1.5 * noise, 1.0)
+    cost = [lists[: base + k].sum() * (1 + 50 / k) for k in range(1, min(LEVELS, least) + 1)]
     level = int(np.argmin(cost)) + 1
     return found[: min(n, base + LEVELS)], n, level, float(np.log2(c).mean())
 
@@ -218,8 +222,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 flat = pa.array(np.concatenate([s for _, s in part]))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s) for _, s in part)]), pa.int32()), flat)], names=["sig", "found"])
 
-    whole = stored(texts.mapInArrow(tidy(sets), "sig long, found array<long>").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("found").alias("found")))
-    both = pairs.join(whole.select(F.col("sig").alias("a"), F.col("found").alias("x")), "a").join(whole.select(F.col("sig").alias("b"), F.col("found").alias("y")), "b")
+    whole = stored(texts.mapInArrow(tidy(sets), "sig long, found array<long>").join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.first("found").alias("found")))
+    both = pairs.join(whole.select(F.col("sig").alias("a"), F.col("found").alias("x")).hint("merge"), "a").join(whole.select(F.col("sig").alias("b"), F.col("found").alias("y")).hint("merge"), "b")
     overlap = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("s"))
     return overlap.where(F.col("o") * 100 >= (F.col("s") - F.col("o")) * percent).select("a", "b")
 
