@@ -38,7 +38,7 @@ SPACES = r"\t\n\x0b\x0c\r \x85\xa0"
 #: The byte-level word pattern over Latin-1; other texts go through the tokenizer's own splitter.
 WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
-BLOCK_WORDS, BLOCK_TOKENS = 150_000, 2_000_000
+BLOCK_WORDS, BLOCK_TOKENS = 100_000, 1_200_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -113,12 +113,13 @@ def _by_frequency(codes: list[np.ndarray], table: list[str]) -> tuple[list[np.nd
     return [new[c] for c in codes], [table[k] for k in order]
 
 
-def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
     """(id_col, ids binary): each row's whole text as BPE ids, little-endian 32-bit integers; null and empty texts have none.
 
     `vocabulary` is the tokenizer file's content. Rows stay one to one: repeated and null ids are
     kept, other columns are dropped. `df` has to give the same rows in the same order when read
-    twice (tables do); if it doesn't, the job fails rather than mixing blocks up.
+    twice (tables do); if it doesn't, the job fails rather than mixing blocks up. With `decoded_col` the
+    ids are decoded in the same pass, as `decode` does it.
     """
     docs = df.select(F.col(id_col).alias(f"{TMP}id"), F.col(text_col).cast("string").alias(f"{TMP}text"))
     id_type = docs.schema[0].dataType
@@ -143,8 +144,18 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     found = docs.mapInArrow(tidy(words), "bucket int, block long, n binary, lengths binary, words binary").repartition("bucket").mapInArrow(tidy(_encoder(vocabulary)), "block long, n binary, sizes binary, ids binary")
     coded = docs.mapInArrow(tidy(numbers), T.StructType([T.StructField("block", T.LongType()), T.StructField(f"{TMP}id", id_type), T.StructField("codes", T.BinaryType())]))
-    out = T.StructType([T.StructField(f"{TMP}id", id_type), T.StructField("ids", T.BinaryType())])
-    return coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_join, out).withColumnRenamed(f"{TMP}id", id_col)
+    out = T.StructType([T.StructField(f"{TMP}id", id_type), T.StructField("ids", T.BinaryType()), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
+    table = pieces(vocabulary) if decoded_col else None
+
+    def join(docs: pa.Table, found: pa.Table) -> pa.Table:
+        joined = _join(docs, found)
+        if table:
+            d = Decoder(table)
+            joined = joined.append_column(decoded_col, pa.array([d.text(np.frombuffer(x, "<u4")) for x in joined.column("ids").to_pylist()], pa.string()))
+        release()
+        return joined
+
+    return coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(join, out).withColumnRenamed(f"{TMP}id", id_col)
 
 
 def squeeze(data: bytes) -> bytes:
@@ -213,7 +224,6 @@ def _join(docs: pa.Table, found: pa.Table) -> pa.Table:
         if len(words) and (words.max() >= len(size_of) or (size_of[words] < 0).any()):
             raise RuntimeError(OTHER)
         out.append(ids[ragged(start_of[words], size_of[words])].astype("<u4").tobytes())
-    release()
     return pa.Table.from_arrays([docs.column(1), pa.array(out, pa.binary())], names=[docs.schema.names[1], "ids"])
 
 

@@ -24,8 +24,7 @@ def vocabulary(path: str | None = None) -> str:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vocabulary()
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), v), v, out_col="decoded")
+    found = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), decoded_col="decoded")
     return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -29,6 +29,8 @@ def test_bpe_round_trip(spark):
     assert {(r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in out} == want
     assert sorted(r.decoded for r in out) == sorted(x or "" for _, x, *_ in rows)
     assert bpe.encode(df.limit(0), v).count() == 0
+    both = bpe.encode(df, v, decoded_col="text").collect()
+    assert {(r.doc_id, r.ids, r.text) for r in both} == {(r.doc_id, r.ids, r.decoded) for r in out}
 
 
 def test_bpe_small_blocks(spark, monkeypatch):
