@@ -89,5 +89,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_language": op1_language, "op2_html": op2_html, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_vectors": op6_vectors, "op7_lines": op7_lines, "op8_jaccard": op8_jaccard, "op9_decontaminate": op9_decontaminate, "op10_bpe": op10_bpe}
 
 
+#: A-Z as a-z, then runs of letters, digits and all characters beyond ASCII.
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+_ORACLES = {
+    # the article that every page of these tables has, as SQL can cut it out of markup this regular
+    "op2_html": r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '</?(?:b|br)>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM a)
+SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text, length(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10))) AS n_chars FROM b
+""",
+    "op9_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS i, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT i, least(10, len(w)) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda k: array_to_string(w[k:k + 9], ' '))) AS s FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+p AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS k, w FROM d, sizes WHERE len(w) >= n),
+h AS (SELECT doc_id, k, n, i FROM (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM p) JOIN win USING (n, s)),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM h) GROUP BY doc_id),
+f AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, i FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)
+""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the two queries that it can express; the others are tested against brute force."""
+    return dict(_ORACLES)

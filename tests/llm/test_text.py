@@ -133,3 +133,23 @@ def test_pipeline(spark, tmp_path):
     assert all(np.frombuffer(kept["encode"][i].ids, "<u4").tolist() == t.encode(r.text, add_special_tokens=False).ids for i, r in kept["decontaminate"].items())
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {i: r.ids_sha256 for i, r in kept["encode"].items()}
     assert jaccard.need(40, 80) == 32 and lines.schemes(10) == (4, 1)
+
+
+@pytest.mark.parametrize("name", ["op2_html", "op9_decontaminate"])
+def test_sql(spark, name):
+    """The queries that SQL can express, on the driver's smallest tables."""
+    from pathlib import Path
+
+    import duckdb
+
+    from rowloom.llm import queries
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("needs the driver's tables")
+    con = duckdb.connect()
+    for t in ("pages", "documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    df = queries.queries()[name](spark, str(data))
+    cols = sorted(df.columns)
+    assert sorted(map(tuple, df.select(*cols).collect())) == sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").fetchall())
