@@ -65,7 +65,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    found = lines.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True, candidates="grams")
     return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
