@@ -52,8 +52,9 @@ def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WITHIN_SQL)
 def stream_skip_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equals skip_within."""
-    kept = streaming.stream_skip_within(_events(spark, sf_dir), ["user_id", "event_type"], 10 * DAY, lateness="40 days", order=["event_id"])
-    return _done(kept).select("event_id", "user_id", "event_type")
+    folder = _folder(spark)
+    streaming.stream_skip_within_to(_events(spark, sf_dir), ["user_id", "event_type"], 10 * DAY, ["ts", "event_id"], f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "event_type")
 
 
 @query("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")

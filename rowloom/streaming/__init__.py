@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.base import TMP, key
-from ..operators.skip import skip_ever
+from ..operators.base import TMP, blank, key
+from ..operators.base import seconds as seconds_of
+from ..operators.skip import skip_ever, skip_within
 
 
 def stream_rows(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -27,7 +28,8 @@ def rows_so_far(rows: DataFrame, run: str = "run_id") -> DataFrame:
 
 def stream_skip_within(rows: DataFrame, keys: Sequence[str], seconds: float, ts: str = "ts", lateness: str = "1 hour", order: Sequence[str] = ()) -> DataFrame:
     """The greedy rule of skip_within on a stream. The state of a key is the time of its last kept row; it goes when no
-    later row can be within the period. Rows of one batch are taken in order of time; rows behind the watermark are dropped."""
+    later row can be within the period. Rows of one batch are taken in order of time; rows behind the watermark are dropped. A key's rows of one batch meet
+    in memory: for large batches see stream_skip_within_to."""
     names, schema = rows.columns, rows.schema
 
     def decide(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,6 +52,26 @@ def stream_skip_within(rows: DataFrame, keys: Sequence[str], seconds: float, ts:
     return keyed.groupBy(f"{TMP}k").applyInPandasWithState(decide, schema, "kept double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stream_skip_within_to(rows: DataFrame, keys: Sequence[str], seconds: float, order: Sequence[str], out: str, checkpoint: str, ts: str = "ts"):
+    """T3 for batches of any size: each batch goes through the greedy rule of skip_within, which thins and streams sorted
+    rows and collects no key. The last kept time of each key comes from the rows that earlier batches wrote.
+
+    A batch writes to a folder of its own number, and reads only those of smaller numbers, so a batch that is run again
+    gives the same rows once. No row is dropped as late: one before the last kept row of its key is within the period.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = None
+        if number:
+            seen = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])).parquet(out).where(F.col("batch") < number)
+            last = seen.groupBy(*[blank(k).alias(k) for k in keys]).agg(F.max(seconds_of(ts)).alias("kept_at"))
+        kept = skip_within(batch, keys, seconds, order, ts, last_kept=last).withColumn("batch", F.lit(number).cast("long"))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+
+    return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+
+
 def stream_skip_ever(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, checkpoint: str):
     """T4: each batch against the keys kept by earlier batches, which grow in the table `out` and not in memory.
 
