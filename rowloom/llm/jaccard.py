@@ -228,8 +228,23 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return overlap.where(F.col("o") * 100 >= (F.col("s") - F.col("o")) * percent).select("a", "b")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `df` whose id is their component's smallest, exact repeats of a row's id and text once; columns stay as they are."""
-    keep = links(df, id_col, text_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_rl_id")).distinct()
-    kept = df.withColumn("_rl_t", F.xxhash64(F.col(text_col).cast("string"))).join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_rl_id")), "left_semi")
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """Of each component the row with the least (id, digest of its set, hash of its text), null ids last; columns stay as they are.
+
+    Exact repeats of a row's id and text stay once, and so do rows without words or text, which link with nothing.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("t"), "text")
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(2).to_pylist(), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], names=["id", "t", "sig"])
+
+    known = cut(docs.mapInArrow(tidy(signs), "id long, t long, sig long"))
+    roots = connected_components(near(docs.select(F.col("text").alias("t")), size, percent))
+    nodes = known.where("sig is not null").groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "sig", "t")).alias("least"))
+    grouped = nodes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("least").alias("least"))
+    keep = grouped.select("least.id", "least.t").union(known.where("sig is null").select("id", "t")).select(F.col("id").alias("_rl_id"), F.col("t").alias("_rl_u")).distinct()
+    marked = df.withColumn("_rl_t", F.xxhash64(F.col(text_col).cast("string")))
+    kept = marked.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_rl_id")) & (F.col("_rl_t") == F.col("_rl_u")), "left_semi")
     return kept.dropDuplicates([id_col, "_rl_t"]).select(*df.columns)
