@@ -37,8 +37,8 @@ _AT = re.compile(r"[ ]?[\[(][ ]?at[ ]?[\])][ ]?", re.I)
 _DOTTED = re.compile(r"[A-Za-z0-9-]+(?:[ ]?(?:[\[(][ ]?dot[ ]?[\])]|\.)[ ]?[A-Za-z0-9-]+)+", re.I)
 _NATIONAL = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_SECRET = re.compile(r"[=:][ ]{0,3}[\"']?([A-Za-z0-9+/_-]{16,256}={0,2})")
-_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,256}(?![0-9A-Za-z])")
+_SECRET = re.compile(r"[=:][ ]{0,3}[\"']?([A-Za-z0-9+/_-]{16,}={0,2})")
+_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])")
 _DIGIT = re.compile(r"[0-9]")
 #: Cue words in the context before a candidate, by kind.
 CUES = {
