@@ -5,18 +5,30 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Prefix of columns that exist only inside an operator.
 TMP = "_rl_"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that driver and executors share: Spark's checkpoint folder.
+
+    It is the one already set, or that of spark.checkpoint.dir. Only a local master, which has no other machine, may do without.
+    """
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rowloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` materialised in the shared checkpoint folder, its lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowloom-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

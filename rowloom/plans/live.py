@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import streaming
+from ..operators.base import shared_folder
 from .datasets import DAY, WITHIN_SQL
 from .registry import query, table
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='rowloom-stream-')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
