@@ -2,13 +2,14 @@
 
 Encoding splits texts into words (the vocabulary's own pre-tokenisation) and works on blocks: runs of
 documents of one partition with a bounded number of words. A block keeps each of its distinct words
-once; only those are shuffled, dealt by a hash of the word, so that every distinct word meets one task,
-which encodes it once. The ids return to the block and are put back by position. A frequent word
-counts once for each block, however often it occurs, so no word makes a large group.
-
-Decoding joins ids with the id-to-piece table. That table has one row for each id of the vocabulary
-file (50,257 here), a bound that does not depend on the data, so it is held by every task as an
-array indexed by id.
+once, and its documents as numbers of these words. One exchange deals both: words by their hash, so that
+every distinct word meets one task, which encodes it once; documents by block. The ids return to the block
+and are put back by position. A frequent word counts once for each block, however often it occurs, so no
+word makes a large group.
+
+Decoding takes runs of rows; the distinct ids of each run are joined with the id-to-piece table, and the pieces
+put in place of the ids. That table has one row for each id of the vocabulary file (50,257 here), a bound that
+does not depend on the data, so the join broadcasts it; an id counts once for each run, so none is hot.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import TMP, map_columns, release, tidy
+from .common import TMP, release, slices, tidy
 
 # Latin-1 letters, numbers and white space, as \p{L}, \p{N} and \s have them.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -79,18 +80,19 @@ class Splitter:
 def _blocks(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tuple[int, list, list[np.ndarray], list[str]]]:
     """(block id, document ids, each document's word numbers, the block's distinct words).
 
-    The block id is a digest of the block's texts in order, so both passes over the same rows give
-    the same blocks, and a difference between them cannot go unnoticed (see `_join`).
+    The block id is a digest of the block's texts in order, each with its length and whether it is null.
     """
     split = Splitter(vocabulary).words
     ids: list = []
     codes: list[np.ndarray] = []
     numbers: defaultdict[str, int] = defaultdict(itertools.count().__next__)
     digest, tokens = xxhash.xxh3_64(), 0
-    for batch in batches:
+    for batch in slices(batches):
         for doc, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             words = split(text or "")
-            digest.update((text or "").encode() + b"\0")
+            data = (text or "").encode()
+            digest.update(b"%d " % (-1 if text is None else len(data)))
+            digest.update(data)
             ids.append(doc)
             codes.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
             tokens += len(words)
@@ -117,45 +119,41 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """(id_col, ids binary): each row's whole text as BPE ids, little-endian 32-bit integers; null and empty texts have none.
 
     `vocabulary` is the tokenizer file's content. Rows stay one to one: repeated and null ids are
-    kept, other columns are dropped. `df` has to give the same rows in the same order when read
-    twice (tables do); if it doesn't, the job fails rather than mixing blocks up. With `decoded_col` the
-    ids are decoded in the same pass, as `decode` does it.
+    kept, other columns are dropped, an empty table gives no rows. Each partition is taken in order of id and text, so it gives
+    the same blocks when a lost part of it is computed again. With `decoded_col`, also the text that `decode` gives for the ids.
     """
     docs = df.select(F.col(id_col).alias(f"{TMP}id"), F.col(text_col).cast("string").alias(f"{TMP}text"))
+    docs = docs.sortWithinPartitions(F.xxhash64(f"{TMP}id", f"{TMP}text"), f"{TMP}text")
     id_type = docs.schema[0].dataType
-
     buckets = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names, kinds = ["key", "block", "n", "lengths", "words", "codes"], [pa.int64(), pa.int64(), *[pa.binary()] * 4]
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, table in _blocks(batches, vocabulary):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, codes, table in _blocks(batches, vocabulary):
             deal: list[list[int]] = [[] for _ in range(buckets)]
             for n, w in enumerate(table):
                 deal[xxhash.xxh3_64_intdigest(w) % buckets].append(n)
-            rows = [(b, block, packed(np.diff(part, prepend=0)), packed([len(table[n]) for n in part]), squeeze("".join(table[n] for n in part).encode())) for b, part in enumerate(deal) if part]
+            rows = [(b, block, packed(np.diff(part, prepend=0)), packed([len(table[n]) for n in part]), squeeze("".join(table[n] for n in part).encode()), None) for b, part in enumerate(deal) if part]
             if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "block", "n", "lengths", "words"])
-
-    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, codes, _ in _blocks(batches, vocabulary):
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), pa.nulls(len(rows), ids[0].type)], names=[*names, f"{TMP}id"])
             for k in range(0, len(ids), 500):
                 part = [packed(c) for c in codes[k : k + 500]]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([i.as_py() for i in ids[k : k + 500]], ids[0].type), pa.array(part, pa.binary())], names=["block", f"{TMP}id", "codes"])
+                rows = [[block] * len(part), [block] * len(part), *[[None] * len(part)] * 3, part]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(rows, kinds, strict=True)), pa.array([i.as_py() for i in ids[k : k + 500]], ids[0].type)], names=[*names, f"{TMP}id"])
 
-    found = docs.mapInArrow(tidy(words), "bucket int, block long, n binary, lengths binary, words binary").repartition("bucket").mapInArrow(tidy(_encoder(vocabulary)), "block long, n binary, sizes binary, ids binary")
-    coded = docs.mapInArrow(tidy(numbers), T.StructType([T.StructField("block", T.LongType()), T.StructField(f"{TMP}id", id_type), T.StructField("codes", T.BinaryType())]))
-    out = T.StructType([T.StructField(f"{TMP}id", id_type), T.StructField("ids", T.BinaryType()), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
-    table = pieces(vocabulary) if decoded_col else None
+    both = docs.mapInArrow(tidy(split), T.StructType([*(T.StructField(n, T.LongType() if k == pa.int64() else T.BinaryType()) for n, k in zip(names, kinds, strict=True)), T.StructField(f"{TMP}id", id_type)])).repartition("key")
+    # both readers take all columns and rows of the exchange, so it runs once
+    found = both.mapInArrow(tidy(_encoder(vocabulary)), "key long, n binary, sizes binary, ids binary")
 
     def join(docs: pa.Table, found: pa.Table) -> pa.Table:
+        docs = docs.select([f"{TMP}id", "codes"]).filter(docs.column("codes").is_valid())
         joined = _join(docs, found)
-        if table:
-            d = Decoder(table)
-            joined = joined.append_column(decoded_col, pa.array([d.text(np.frombuffer(x, "<u4")) for x in joined.column("ids").to_pylist()], pa.string()))
         release()
         return joined
 
-    return coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(join, out).withColumnRenamed(f"{TMP}id", id_col)
+    out = T.StructType([T.StructField(f"{TMP}id", id_type), T.StructField("ids", T.BinaryType())])
+    encoded = both.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(join, out).withColumnRenamed(f"{TMP}id", id_col)
+    return decode(encoded, vocabulary, "ids", decoded_col) if decoded_col else encoded
 
 
 def squeeze(data: bytes) -> bytes:
@@ -176,7 +174,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _encoder(vocabulary: str):
-    """Encodes the words of the buckets of a partition, each distinct word once."""
+    """Encodes the words of the buckets of a partition, each distinct word once; rows of documents are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -185,8 +183,9 @@ def _encoder(vocabulary: str):
         tokenizer.no_padding()
         table: dict[str, bytes] = {}
         for batch in batches:
+            batch = batch.filter(batch.column("codes").is_null())
             for at in range(0, batch.num_rows, 200):
-                blocks, n, lengths, data = (batch.column(c)[at : at + 200] for c in (1, 2, 3, 4))
+                blocks, n, lengths, data = (batch.column(c)[at : at + 200] for c in ("block", "n", "lengths", "words"))
                 sizes, ids = [], []
                 for size, text in zip(lengths.to_pylist(), data.to_pylist(), strict=True):
                     text, ends = unsqueeze(text).decode(), np.cumsum(unpacked(size), dtype=np.int64).tolist()
@@ -199,22 +198,28 @@ def _encoder(vocabulary: str):
                     ids.append(packed(np.frombuffer(b"".join(found), "<u4")))
                     if len(table) > 300_000:
                         table.clear()
-                yield pa.RecordBatch.from_arrays([blocks, n, pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["block", "n", "sizes", "ids"])
+                yield pa.RecordBatch.from_arrays([blocks, n, pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["key", "n", "sizes", "ids"])
 
     return run
 
 
 def _join(docs: pa.Table, found: pa.Table) -> pa.Table:
-    """Puts the ids of a block's words back at their positions in its documents."""
-    if docs.num_rows == 0:
+    """Puts the ids of a block's words back at their positions in its documents (id, codes)."""
+    if docs.num_rows == 0 and found.num_rows:
         raise RuntimeError(OTHER)
     numbers = np.concatenate([np.zeros(0, np.uint32), *(np.cumsum(unpacked(x), dtype=np.uint32) for x in found.column("n").to_pylist())])
     sizes, ids = (np.concatenate([np.zeros(0, np.uint32), *map(unpacked, found.column(c).to_pylist())]) for c in ("sizes", "ids"))
     ends = np.cumsum(sizes, dtype=np.int64)
+    if len(ids) != (ends[-1] if len(ends) else 0) or len(sizes) != len(numbers):
+        raise RuntimeError(OTHER)
     size_of, start_of = np.full(len(numbers), -1, np.int64), np.zeros(len(numbers), np.int64)
     if len(numbers) and numbers.max() >= len(numbers):
         # the same block twice (equal partitions): its words came twice, and one copy serves both
-        numbers, first = np.unique(numbers, return_index=True)
+        every = numbers
+        numbers, first, at = np.unique(numbers, return_index=True, return_inverse=True)
+        same = sizes == sizes[first][at]
+        if not same.all() or (ids[ragged(ends - sizes, sizes)] != ids[ragged((ends - sizes)[first][at], sizes)]).any() or len(every) % len(numbers):
+            raise RuntimeError(OTHER)
         sizes, ends = sizes[first], ends[first]
         size_of, start_of = np.full(int(numbers.max()) + 1, -1, np.int64), np.zeros(int(numbers.max()) + 1, np.int64)
     size_of[numbers], start_of[numbers] = sizes, ends - sizes
@@ -224,7 +229,7 @@ def _join(docs: pa.Table, found: pa.Table) -> pa.Table:
         if len(words) and (words.max() >= len(size_of) or (size_of[words] < 0).any()):
             raise RuntimeError(OTHER)
         out.append(ids[ragged(start_of[words], size_of[words])].astype("<u4").tobytes())
-    return pa.Table.from_arrays([docs.column(1), pa.array(out, pa.binary())], names=[docs.schema.names[1], "ids"])
+    return pa.Table.from_arrays([docs.column(0), pa.array(out, pa.binary())], names=[docs.schema.names[0], "ids"])
 
 
 OTHER = "the input gave other rows when it was read again; write it to a table first"
@@ -244,28 +249,67 @@ def pieces(vocabulary: str) -> list[bytes]:
     return [found.get(i, b"") for i in range(max(found) + 1)]
 
 
-class Decoder:
-    """Joins ids with their pieces: one gather over all ids of a batch."""
-
-    def __init__(self, table: list[bytes]):
-        self.data = np.frombuffer(b"".join(table), np.uint8)
-        self.sizes = np.array([len(p) for p in table], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def text(self, ids: np.ndarray) -> str:
-        ids = ids[ids < len(self.sizes)]
-        return self.data[ragged(self.starts[ids], self.sizes[ids])].tobytes().decode("utf-8", "replace")
-
-
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """`df` with `out_col`, the text of `ids_col` (binary as `encode` gives it); null gives null, unknown ids nothing.
 
-    Bytes that are no UTF-8 become U+FFFD. Other columns pass through.
+    Bytes that are no UTF-8 become U+FFFD. Other columns pass through, a clashing one is replaced; repeated rows stay,
+    an empty table gives no rows.
     """
-    table = pieces(vocabulary)
-
-    def run(rows: list) -> list:
-        d = Decoder(table)
-        return [[None if x is None else d.text(np.frombuffer(x, "<u4")) for x in rows]]
-
-    return map_columns(df, [ids_col], [T.StructField(out_col, T.StringType())], run)
+    spark = df.sparkSession
+    kept = [c for c in df.columns if c.lower() != out_col.lower()]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out_col, T.StringType())])
+    table = spark.createDataFrame(pa.table({"id": pa.array(range(len(p := pieces(vocabulary))), pa.int64()), "piece": pa.array(p, pa.binary())}))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each run of rows as one row (run, number of its distinct ids, the rows), and one for each of these ids."""
+        for run, batch in enumerate(slices(batches)):
+            column = batch.column(ids_col)
+            ids = np.unique(np.frombuffer(b"".join(x for x in column.to_pylist() if x), "<u4")).astype(np.int64)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+            held = [sink.getvalue().to_pybytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.nulls(1, pa.int64()), pa.array([len(ids)], pa.int64()), pa.array(held, pa.binary())], names=["run", "id", "n", "held"])
+            for k in range(0, len(ids), 10_000):
+                part = pa.array(ids[k : k + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), run)), part, pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())], names=["run", "id", "n", "held"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each run, once its ids and pieces are there (the join keeps a run's rows in their partition)."""
+        waiting: dict[int, list] = {}
+        for batch in batches:
+            run = batch.column("run").to_numpy()
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero(run[1:] != run[:-1]) + 1):
+                if not len(part):
+                    continue
+                rows = batch.slice(int(part[0]), len(part))
+                state = waiting.setdefault(int(run[part[0]]), [None, 0, []])
+                if rows.column("n").null_count < len(part):
+                    first = rows.filter(rows.column("n").is_valid())
+                    state[0] = (first.column("n")[0].as_py(), first.column("held")[0].as_py())
+                    rows = rows.filter(rows.column("n").is_null())
+                state[1] += rows.num_rows
+                state[2].append(rows.select(["id", "piece"]))
+                if state[0] and state[0][0] == state[1]:
+                    yield from _filled(*waiting.pop(int(run[part[0]])))
+        if waiting:
+            raise RuntimeError("a run of rows lost some of its ids")
+
+    def _filled(first: tuple, _: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate([x.column(0).to_numpy() for x in parts])
+        found = [x or b"" for p in parts for x in p.column(1).to_pylist()]
+        by = np.argsort(ids)
+        ids, sizes = ids[by], np.array([len(x) for x in found], np.int64)[by]
+        data, starts = np.frombuffer(b"".join(found[k] for k in by.tolist()), np.uint8), np.cumsum(sizes) - sizes
+        for batch in pa.ipc.open_stream(first[1]):
+            texts = []
+            for x in batch.column(ids_col).to_pylist():
+                if x is None:
+                    texts.append(None)
+                    continue
+                at = np.searchsorted(ids, np.frombuffer(x, "<u4"))
+                texts.append(data[ragged(starts[at], sizes[at])].tobytes().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, out_col])
+
+    joined = df.select(*dict.fromkeys([*kept, ids_col])).mapInArrow(tidy(runs), "run long, id long, n long, held binary").join(F.broadcast(table), "id", "left")
+    return joined.select("run", "id", "n", "held", "piece").mapInArrow(tidy(fill), schema)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.base import cut, shared_folder
+
 #: Prefix of columns that exist only inside an operator.
 TMP = "_rl_"
 
@@ -30,14 +31,6 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` materialised in the shared checkpoint folder, its lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowloom-checkpoint-"))
-    return df.checkpoint()
-
-
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
     """A function that gives `value` in every task; each Python worker unpacks it once."""
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -96,9 +89,7 @@ def pieces_of(total: np.ndarray, piece: int) -> Iterator[pa.RecordBatch]:
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as a Parquet table in the shared checkpoint folder and read again: smaller than `cut` for wide rows."""
-    sc = df.sparkSession.sparkContext
-    cut(df.sparkSession.range(0))  # sets the folder where it is unset
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -116,7 +107,7 @@ def map_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], f
     kinds = [to_arrow(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             out = fn(*(batch.column(c) if arrow else batch.column(c).to_pylist() for c in inputs))
             made = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=kept + [f.name for f in fields])
@@ -124,7 +115,7 @@ def map_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], f
     return df.select(*dict.fromkeys([*kept, *inputs])).mapInArrow(tidy(run), schema)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `size` bytes, a row at least."""
     for batch in batches:
         step = max(1, batch.num_rows * size // max(size, batch.nbytes))
@@ -160,23 +151,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _P = 0x9E3779B97F4A7C15
+_KEPT = 1 << 20
 _POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number modulo 2^64 and their inverses; kept by the worker."""
+    """The first n powers of an odd number modulo 2^64 and their inverses; the first 2^20 are kept by the worker."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_P, pow(_P, -1, 1 << 64))]
+        found = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, _KEPT) - 1, b, np.uint64)]), dtype=np.uint64) for b in (_P, pow(_P, -1, 1 << 64))]
+        if n > _KEPT:
+            return found[0], found[1]
+        _POWERS[:] = found
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run values[start:end], that depends on the run's elements and order alone."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each run values[start:end], that depends on the run's elements and order alone.
+
+    Runs come in order of their starts. They are taken by stretches of values, so memory follows the longest run.
+    """
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        first = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(starts, first + _KEPT // 2)))
+        while to > at + 1 and int(ends[at:to].max()) - first >= _KEPT:
+            to = at + (to - at) // 2
+        last = int(ends[at:to].max())
+        up, down = powers(last - first + 1)
+        total = np.zeros(last - first + 1, np.uint64)
+        np.cumsum((values[first:last].astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64, out=total[1:])
+        a, b = starts[at:to] - first, ends[at:to] - first
+        out[at:to] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        at = to
+    return out
 
 
 def word_hashes(data: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -250,58 +258,69 @@ def merge_sets(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def local_forest(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Within each partition, the edges (long, long) as stars around each component's smallest node."""
+def local_forest(edges: DataFrame, a: str = "a", b: str = "b", at_once: int = 200_000, most: int = 1_000_000) -> DataFrame:
+    """Within each partition, the edges (long, long) as stars around each component's smallest node; at most about `most` nodes are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            pairs = [(x, find(parent, x)) for x in parent]
-            pairs = [(x, r) for x, r in pairs if x != r]
-            if pairs:
-                left, right = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=[a, b])
-            parent.clear()
-
-        for batch in batches:
-            for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True):
-                union(parent, x, y)
-            if len(parent) > 2_000_000:
-                yield from flush()
-        yield from flush()
-
-    return edges.select(a, b).mapInArrow(run, f"{a} long, {b} long")
+        held: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        size = reduced = 0
 
+        def contract() -> np.ndarray:
+            x, y = np.concatenate(held, axis=1)
+            nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+            root = np.arange(len(nodes))
+            merge_sets(root, at[: len(x)], at[len(x) :])
+            moved = np.flatnonzero(root != np.arange(len(nodes)))
+            return np.stack([nodes[moved], nodes[root[moved]]])
 
-def find(parent: dict[int, int], x: int) -> int:
-    root = x
-    while (p := parent.setdefault(root, root)) != root:
-        root = p
-    while parent[x] != root:
-        parent[x], x = root, parent[x]
-    return root
+        def flush(stars: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if stars.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(stars[0]), pa.array(stars[1])], names=[a, b])
 
-
-def union(parent: dict[int, int], x: int, y: int) -> None:
-    x, y = find(parent, x), find(parent, y)
-    if x != y:
-        parent[max(x, y)] = min(x, y)
+        for batch in batches:
+            held.append(np.stack([batch.column(a).to_numpy(), batch.column(b).to_numpy()]))
+            size += batch.num_rows
+            if size - reduced >= at_once:
+                stars = contract()
+                size = reduced = stars.shape[1]
+                held[:] = [stars]
+                if size >= most:
+                    yield from flush(stars)
+                    size = reduced = 0
+                    held[:] = [stars[:, :0]]
+        yield from flush(contract())
+
+    return edges.select(a, b).mapInArrow(tidy(run), f"{a} long, {b} long")
+
+
+def attach(rows: DataFrame, key: str, aggregates: dict[str, Column], limit: int = 20_000) -> DataFrame:
+    """`rows` (key not null) with aggregates over all rows of their key.
+
+    Rows of a key with more than `limit` rows stay where they are and get the aggregates by a broadcast, so a hot key
+    meets in no task. The broadcast holds 50,000 keys at most: the limit rises with the rows.
+    """
+    n = f"{TMP}n"
+    limit = max(limit, (total := rows.count()) // 50_000)
+    per = rows.groupBy(key).agg(F.count("*").alias(n), *[c.alias(k) for k, c in aggregates.items()])
+    hot = cut(per.where(F.col(n) > limit).drop(n)) if total > limit else None
+    if hot is None or hot.isEmpty():
+        return rows.join(per.drop(n), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per.where(F.col(n) <= limit).drop(n), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 50, limit: int = 20_000) -> DataFrame:
     """(node, root): the smallest node reachable from each node of the undirected edges (a, b).
 
     Edges are contracted to stars inside each partition, then large-star and small-star rounds run
-    until no edge changes; a node's neighbourhood is only ever reduced to its minimum, so hubs are
-    joined, not collected. Nulls and self-loops are ignored.
+    until no edge changes. A node's neighbourhood is only ever reduced to its minimum, and the edges of a hub
+    don't meet in one task (`attach`). Nulls and self-loops are ignored.
     """
     edges = cut(local_forest(edges.where("a is not null and b is not null and a != b")))
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = attach(both, "a", {"m": F.min("b")}, limit).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, merged_pieces, mix, pieces_of, run_hashes, share, stored, text_words, tidy
+from .common import attach, connected_components, cut, merged_pieces, mix, pieces_of, run_hashes, share, slices, stored, text_words, tidy
 
 LEVELS = 4
 #: Counters of the sketch: 2^21 bytes on their way to the tasks, whatever the input.
@@ -70,88 +70,90 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     Words are runs of characters other than ASCII white space, A-Z in lower case. Two rows link when
     100 * shared >= percent * united distinct shingles. Rows without words or text link with nothing.
     Repeated rows stay; a null id reaches and is reached like any other and is never the smallest, and
-    is its own component only among nulls. Other columns are dropped.
+    is its own component only among nulls. An empty table gives no rows. Other columns are dropped.
     """
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-
-    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "sig", "n"])
-
-    known = cut(docs.mapInArrow(tidy(signs), "id long, sig long, n long"))
-    edges = near(docs.select("t"), size, percent)
-    roots = connected_components(edges)
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("t"), "text")
+    known = index(docs, size, percent)
+    roots = connected_components(near(known, docs, size, percent))
     nodes = known.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"))
-    grouped = nodes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_sig = grouped.join(least, "root").select("sig", "component_id")
-    out = known.join(by_sig, "sig", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    grouped = cut(nodes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "least"))
+    by_sig = attach(grouped, "root", {"component_id": F.min("least")}).select("sig", "component_id")
+    out = known.select("id", "sig", "n").join(by_sig, "sig", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def near(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links between the digests of different shingle sets, enough of them to connect all that link."""
-    spark = texts.sparkSession
-    order = share(spark, sketch(texts, size))
+def index(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, t, sig, n, level, common, last, tokens), stored: for each row of (id, t, text) the digest (null without words) and size
+    of its set, and its prefix. Of rows with one set in a partition only the first has the tokens."""
+    order = share(docs.sparkSession, sketch(docs.select("text"), size))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order()
         noise = float(np.median(2.0 ** (counts.astype(float) / 8)))
         seen: set[int] = set()
-        for batch in batches:
-            out: list[tuple] = []
-            for found in shingle_sets(batch.column(0).to_pylist(), size):
-                if not len(found):
-                    continue
-                sig = digest(found)
-                if sig in seen:  # copies in this partition have the same rows
-                    continue
-                if len(seen) < 1_000_000:
+        for batch in slices(batches):
+            cols: list[list] = [[] for _ in range(5)]
+            tokens: list[np.ndarray | None] = []
+            for found in shingle_sets(batch.column(2).to_pylist(), size):
+                sig = digest(found) if len(found) else None
+                new = sig is not None and sig not in seen
+                if new and len(seen) < 1_000_000:
                     seen.add(sig)
-                out.append((sig, *_prefix(found, counts, percent, noise)))
-            if out:
-                lens = np.array([len(k) for _, k, *_ in out])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([k for _, k, *_ in out]).view(np.int64)), pa.array(np.repeat([s for s, *_ in out], lens), pa.int64()), pa.array(np.concatenate([np.arange(x) for x in lens]).astype(np.int32)),
-                        pa.array(np.repeat([x[2] for x in out], lens).astype(np.int32)), pa.array(np.repeat([x[3] for x in out], lens).astype(np.int8)), pa.array(np.repeat([x[4] for x in out], lens).astype(np.float32)),
-                    ],
-                    names=["token", "sig", "pos", "n", "level", "common"],
-                )
-
-    rows = texts.mapInArrow(tidy(prefixes), "token long, sig long, pos int, n int, level tinyint, common float")
+                prefix, level, common, last = _prefix(found, counts, percent, noise) if new else (None, None, None, None)
+                for col, value in zip(cols, (sig, len(found), level, common, last), strict=True):
+                    col.append(value)
+                tokens.append(prefix)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in tokens if x is not None)]))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in tokens])]).astype(np.int32))
+            kinds = (pa.int64(), pa.int32(), pa.int8(), pa.int16(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.ListArray.from_arrays(offsets, flat)], names=["id", "t", "sig", "n", "level", "common", "last", "tokens"])
+
+    return stored(docs.mapInArrow(tidy(prefixes), "id long, t long, sig long, n int, level tinyint, common smallint, last long, tokens array<long>"))
+
+
+def near(known: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links between the digests of different shingle sets of `index`, enough of them to connect all that link."""
+    rows = known.where("level is not null").select("sig", F.posexplode("tokens").alias("pos", "token"))
     # only tokens of two sets or more matter; one exchange tells (a window's rows may spill, they are not collected)
     token = Window.partitionBy("token")
     rows = rows.withColumn("lo", F.min("sig").over(token)).withColumn("hi", F.max("sig").over(token)).where("lo < hi").drop("lo", "hi")
-    rows = cut(rows.dropDuplicates(["token", "sig"]))
+    # what a set can share at most: all but those tokens of its prefix that are in no other prefix (see `may`)
+    shared = rows.dropDuplicates(["token", "sig"]).withColumn("c", F.count("*").over(Window.partitionBy("sig")))
+    info = known.where("level is not null").select("sig", "n", "level", "common", "last").dropDuplicates(["sig"])
+    longest = F.least(F.col("n"), F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + LEVELS)
+    rows = shared.join(info.hint("merge"), "sig").withColumn("cap", (F.col("n") - longest + F.col("c")).cast("int"))
+    rows = cut(rows.where(F.col("cap") * 100 >= F.col("n") * percent).select("token", "sig", "pos", "n", "level", "common", "last", "cap"))
+
+    def may(x: str, y: str):
+        """Two sets that can be similar enough by their sizes and by what is unshared of the prefix that ends first:
+        each token of it that the other set has is in the other prefix too."""
+        c = lambda k: F.col(f"{x}{k}"), lambda k: F.col(f"{y}{k}")
+        least = F.ceil((c[0]("n") + c[1]("n")) * percent / (100.0 + percent))
+        capped = lambda p, q: (p("last") >= q("last")) | (p("cap") >= least)
+        return (c[0]("n") * 100 >= c[1]("n") * percent) & (c[1]("n") * 100 >= c[0]("n") * percent) & capped(*c) & capped(c[1], c[0])
+
     # the commonest set of each token (the most typical of a group of near copies) is its hub
-    hubs = rows.groupBy("token").agg(F.max(F.struct("common", "sig", "n")).alias("hub")).select("token", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n"))
-    close = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-    stars = rows.join(hubs.hint("merge"), "token").where("sig != hub").where(close("n", "hub_n")).select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
-    first = cut(verified(stars, texts, size, percent))
+    hub = rows.groupBy("token").agg(F.max(F.struct("common", "sig", "n", "last", "cap")).alias("h")).select("token", *[F.col(f"h.{k}").alias(f"h_{k}") for k in ("sig", "n", "last", "cap")])
+    stars = rows.join(hub.hint("merge"), "token").where("sig != h_sig").where(may("", "h_")).select(F.least("sig", "h_sig").alias("a"), F.greatest("sig", "h_sig").alias("b")).distinct()
+    first = cut(verified(stars, known, docs, size, percent))
     # sets that are connected already need no pairs between themselves
     labels = cut(connected_components(first)).select(F.col("node").alias("sig"), F.col("root").alias("label"))
-    labelled = rows.join(labels.hint("merge"), "sig", "left").select("token", "sig", "pos", "n", "level", F.coalesce("label", "sig").alias("label"))
+    labelled = rows.join(labels.hint("merge"), "sig", "left").withColumn("label", F.coalesce("label", "sig")).drop("common")
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     rest = cut(labelled.join(mixed.hint("merge"), "token", "left_semi"))
-    x, y = rest.alias("x"), rest.alias("y")
+    x, y = (rest.select(*[F.col(c).alias(f"{p}_{c}") for c in rest.columns]) for p in "xy")
     # x, the larger set (of equals the one with the larger digest), probes with its own level
-    least = F.expr(f"cast(ceil({percent} * (x.n + y.n) / {100 + percent}.0) as int)")
-    pairs = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-               & ((F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.sig") > F.col("y.sig"))))
-               & (F.col("x.pos") < F.col("x.n") - least + F.col("x.level")) & (F.col("y.pos") < F.col("y.n") - least + F.col("x.level")))
-        .groupBy(F.col("x.sig").alias("p"), F.col("y.sig").alias("q")).agg(F.count("*").alias("hits"), F.first(F.col("x.level")).alias("level"))
-        .where("hits >= level").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    )
+    least = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100.0 + percent))
+    larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sig") > F.col("y_sig")))
+    within = [F.col(f"{p}_pos") < F.col(f"{p}_n") - least + F.col("x_level") for p in "xy"]
+    joined = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_label") != F.col("y_label")) & larger & may("x_", "y_") & within[0] & within[1])
+    pairs = joined.groupBy("x_sig", "y_sig").agg(F.count("*").alias("hits"), F.first("x_level").alias("level")).where("hits >= level").select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b"))
     tied = labels.select(F.col("sig").alias("a"), F.col("label").alias("b")).where("a != b")
-    return tied.union(verified(pairs, texts, size, percent))
+    return tied.union(verified(pairs, known, docs, size, percent))
 
 
-def _prefix(found: np.ndarray, counts: np.ndarray, percent: int, noise: float) -> tuple[np.ndarray, int, int, float]:
-    """The longest prefix of a set, its size, its level and how common its shingles are.
+def _prefix(found: np.ndarray, counts: np.ndarray, percent: int, noise: float) -> tuple[np.ndarray, int, int, int]:
+    """The longest prefix of a set, its level, how common its shingles are, and where in the order of all shingles it ends.
 
     The estimate for level l: reading the lists of the l-prefix, and verifying the candidates; each
     candidate uses up l list entries at least. `noise` is what a counter holds of other shingles.
@@ -159,13 +161,16 @@ def _prefix(found: np.ndarray, counts: np.ndarray, percent: int, noise: float) -
     n = len(found)
     c = counts[found & np.uint64(len(counts) - 1)]
     by = np.lexsort((found, c))
-    found, c = found[by], 2.0 ** (c[by].astype(float) / 8)
+    found, code = found[by], c[by]
+    c = 2.0 ** (code.astype(float) / 8)
     least = need(n, percent)
     base = n - least
     lists = np.maximum(c - 1.5 * noise, 1.0)
     cost = [lists[: base + k].sum() * (1 + 50 / k) for k in range(1, min(LEVELS, least) + 1)]
     level = int(np.argmin(cost)) + 1
-    return found[: min(n, base + LEVELS)], n, level, float(np.log2(c).mean())
+    prefix = found[: min(n, base + LEVELS)]
+    last = (int(code[len(prefix) - 1]) << 55) | (int(prefix[-1]) >> 9)
+    return prefix, level, round(100 * float(np.log2(c).mean())), last
 
 
 def sketch(texts: DataFrame, size: int) -> np.ndarray:
@@ -174,7 +179,7 @@ def sketch(texts: DataFrame, size: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column(0).to_pylist(), size)
             if sets:
                 total += np.bincount((np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint32)
@@ -199,30 +204,32 @@ def members(sigs: DataFrame) -> np.ndarray:
     return merged_pieces(sigs.mapInArrow(tidy(mark), "piece int, data binary"), width, np.uint8, np.bitwise_or, lambda x: x)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set digests whose sets are similar enough, compared whole."""
-
     pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    # most texts are in no pair; the filter spares their sets the exchange, the join below is exact
-    some = share(texts.sparkSession, members(wanted))
+    # one text of each set; most texts are in no pair, the filter spares them the shingles, the join below is exact
+    texts = cut(known.select("sig", "t").join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.min("t").alias("t")))
+    some = share(docs.sparkSession, members(texts.select("t")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = some()
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
+            x = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(8 * len(bits) - 1)
+            hit = np.flatnonzero((bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1)
+            part = batch.take(pa.array(hit))
             rows = []
-            for found in shingle_sets(batch.column(0).to_pylist(), size):
-                if len(found) and (sig := digest(found)) not in seen and (bits[(x := int(mix(np.array([sig]).view(np.uint64))[0]) & (8 * len(bits) - 1)) >> 3] >> (x & 7)) & 1:
+            for found in shingle_sets(part.column(1).to_pylist(), size):
+                if len(found) and (sig := digest(found)) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(sig)
                     rows.append((sig, found.view(np.int64)))
-            for k in range(0, len(rows), 500):
-                part = rows[k : k + 500]
-                flat = pa.array(np.concatenate([s for _, s in part]))
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s) for _, s in part)]), pa.int32()), flat)], names=["sig", "found"])
+            if rows:
+                flat = pa.array(np.concatenate([s for _, s in rows]))
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s) for _, s in rows)]), pa.int32()), flat)], names=["sig", "found"])
 
-    whole = stored(texts.mapInArrow(tidy(sets), "sig long, found array<long>").join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.first("found").alias("found")))
+    whole = stored(docs.select("t", "text").mapInArrow(tidy(sets), "sig long, found array<long>").join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.first("found").alias("found")))
     both = pairs.join(whole.select(F.col("sig").alias("a"), F.col("found").alias("x")).hint("merge"), "a").join(whole.select(F.col("sig").alias("b"), F.col("found").alias("y")).hint("merge"), "b")
     overlap = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("s"))
     return overlap.where(F.col("o") * 100 >= (F.col("s") - F.col("o")) * percent).select("a", "b")
@@ -232,16 +239,11 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """Of each component the row with the least (id, digest of its set, hash of its text), null ids last; columns stay as they are.
 
     Exact repeats of a row's id and text stay once, and so do rows without words or text, which link with nothing.
+    An empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("t"), "text")
-
-    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(2).to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], names=["id", "t", "sig"])
-
-    known = cut(docs.mapInArrow(tidy(signs), "id long, t long, sig long"))
-    roots = connected_components(near(docs.select(F.col("text").alias("t")), size, percent))
+    known = index(docs, size, percent)
+    roots = connected_components(near(known, docs, size, percent))
     nodes = known.where("sig is not null").groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "sig", "t")).alias("least"))
     grouped = nodes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("least").alias("least"))
     keep = grouped.select("least.id", "least.t").union(known.where("sig is null").select("id", "t")).select(F.col("id").alias("_rl_id"), F.col("t").alias("_rl_u")).distinct()
