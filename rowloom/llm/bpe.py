@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import TMP, release, slices, tidy
+from .common import TMP, ragged, release, slices, tidy
 
 # Latin-1 letters, numbers and white space, as \p{L}, \p{N} and \s have them.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -235,12 +235,6 @@ def _join(docs: pa.Table, found: pa.Table) -> pa.Table:
 OTHER = "the input gave other rows when it was read again; write it to a table first"
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indexes of the runs [start, start + size), one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def pieces(vocabulary: str) -> list[bytes]:
     """The id-to-piece table: the bytes of each id; unused ids are empty."""
     kind, symbols = json.loads(vocabulary), byte_symbols()

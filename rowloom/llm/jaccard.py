@@ -18,7 +18,6 @@ broadcast.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, connected_components, cut, merged_pieces, mix, pieces_of, run_hashes, share, slices, stored, text_words, tidy
+from .common import attach, connected_components, cut, may_be_in, merged_pieces, pieces_of, run_hashes, share, slices, stored, text_words, tidy
 
 LEVELS = 4
 #: Counters of the sketch: 2^21 bytes on their way to the tasks, whatever the input.
@@ -189,38 +188,19 @@ def sketch(texts: DataFrame, size: int) -> np.ndarray:
     return merged_pieces(parts, width, np.uint32, lambda a, b: a.astype(np.uint64) + b, lambda x: np.round(8 * np.log2(np.maximum(x, 1))).clip(0, 255).astype(np.uint8))
 
 
-def members(sigs: DataFrame) -> np.ndarray:
-    """A Bloom filter (one hash) of digests: 16 bits for each, 2^27 bits (16 MB) at most."""
-    n = max(1, sigs.count())
-    width = 1 << min(24, max(16, math.ceil(math.log2(2 * n))))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.uint8)
-        for batch in batches:
-            x = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(8 * width - 1)
-            np.bitwise_or.at(total, (x >> np.uint64(3)).astype(np.int64), np.uint8(1) << (x & np.uint64(7)).astype(np.uint8))
-        yield from pieces_of(total, PIECE)
-
-    return merged_pieces(sigs.mapInArrow(tidy(mark), "piece int, data binary"), width, np.uint8, np.bitwise_or, lambda x: x)
-
-
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set digests whose sets are similar enough, compared whole."""
     pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     # one text of each set; most texts are in no pair, the filter spares them the shingles, the join below is exact
     texts = cut(known.select("sig", "t").join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.min("t").alias("t")))
-    some = share(docs.sparkSession, members(texts.select("t")))
+    some = may_be_in(docs.select("t", "text"), "t", texts.select("t"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = some()
         seen: set[int] = set()
         for batch in slices(batches):
-            x = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(8 * len(bits) - 1)
-            hit = np.flatnonzero((bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1)
-            part = batch.take(pa.array(hit))
             rows = []
-            for found in shingle_sets(part.column(1).to_pylist(), size):
+            for found in shingle_sets(batch.column(1).to_pylist(), size):
                 if len(found) and (sig := digest(found)) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(sig)
@@ -229,7 +209,7 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, size: int, per
                 flat = pa.array(np.concatenate([s for _, s in rows]))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s) for _, s in rows)]), pa.int32()), flat)], names=["sig", "found"])
 
-    whole = stored(docs.select("t", "text").mapInArrow(tidy(sets), "sig long, found array<long>").join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.first("found").alias("found")))
+    whole = stored(some.mapInArrow(tidy(sets), "sig long, found array<long>").join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.first("found").alias("found")))
     both = pairs.join(whole.select(F.col("sig").alias("a"), F.col("found").alias("x")).hint("merge"), "a").join(whole.select(F.col("sig").alias("b"), F.col("found").alias("y")).hint("merge"), "b")
     overlap = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("s"))
     return overlap.where(F.col("o") * 100 >= (F.col("s") - F.col("o")) * percent).select("a", "b")
