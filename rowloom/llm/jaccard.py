@@ -1,9 +1,9 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its word shingles. Shingles are put in one global order, rare ones first, and
-only a prefix of each document is indexed. Two documents whose sets overlap by `need` or more share at
-least l shingles among the first (size - need + l) of each: the l-prefixes. Each document chooses its
-own l: a longer prefix gives more rows, but asks for more shared shingles before a pair is verified;
+A document is the set of its word shingles. Shingles are put in one global order, rare ones first. Two
+documents whose sets overlap by `need` or more share at least l shingles among the first (size - need + l) of
+each: the l-prefixes. The shortest of them are indexed and find the pairs. Each document chooses its
+own l: a longer prefix costs more reading, but asks for more shared shingles before a pair is verified;
 it takes the l with the least estimated cost. Verification compares whole sets, so the result is exact.
 
 The order comes from counts of all documents in a sketch (a table of hashed counters of fixed size);
@@ -11,8 +11,8 @@ an imprecise count changes the cost, never the result.
 
 Equal sets are one node, whatever the number of copies. Within the documents that share a prefix
 shingle, each is first verified against one hub. Documents that these links connect need no pair
-between themselves, so large groups of near copies stay linear. All other pairs are joined and
-verified, and connected components close the links. No side of these joins has a bound, so none is
+between themselves, so large groups of near copies stay linear; a document with too much of its own has none of the group's
+shingles in its shortest prefix. All other pairs are joined and verified, and connected components close the links. No side of these joins has a bound, so none is
 broadcast.
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,7 +82,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
 
 
 def index(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, t, sig, n, level, common, last, tokens), stored: for each row of (id, t, text) the digest (null without words) and size
+    """(id, t, sig, n, level, common, tokens), stored: for each row of (id, t, text) the digest (null without words) and size
     of its set, and its prefix. Of rows with one set in a partition only the first has the tokens."""
     order = share(docs.sparkSession, sketch(docs.select("text"), size))
 
@@ -91,68 +91,73 @@ def index(docs: DataFrame, size: int, percent: int) -> DataFrame:
         noise = float(np.median(2.0 ** (counts.astype(float) / 8)))
         seen: set[int] = set()
         for batch in slices(batches):
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(4)]
             tokens: list[np.ndarray | None] = []
             for found in shingle_sets(batch.column(2).to_pylist(), size):
                 sig = digest(found) if len(found) else None
                 new = sig is not None and sig not in seen
                 if new and len(seen) < 1_000_000:
                     seen.add(sig)
-                prefix, level, common, last = _prefix(found, counts, percent, noise) if new else (None, None, None, None)
-                for col, value in zip(cols, (sig, len(found), level, common, last), strict=True):
+                prefix, level, common = _prefix(found, counts, percent, noise) if new else (None, None, None)
+                for col, value in zip(cols, (sig, len(found), level, common), strict=True):
                     col.append(value)
                 tokens.append(prefix)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in tokens if x is not None)]))
             offsets = pa.array(np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in tokens])]).astype(np.int32))
-            kinds = (pa.int64(), pa.int32(), pa.int8(), pa.int16(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.ListArray.from_arrays(offsets, flat)], names=["id", "t", "sig", "n", "level", "common", "last", "tokens"])
+            kinds = (pa.int64(), pa.int32(), pa.int8(), pa.int16())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.ListArray.from_arrays(offsets, flat)], names=["id", "t", "sig", "n", "level", "common", "tokens"])
 
-    return stored(docs.mapInArrow(tidy(prefixes), "id long, t long, sig long, n int, level tinyint, common smallint, last long, tokens array<long>"))
+    return stored(docs.mapInArrow(tidy(prefixes), "id long, t long, sig long, n int, level tinyint, common smallint, tokens array<long>"))
 
 
 def near(known: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): links between the digests of different shingle sets of `index`, enough of them to connect all that link."""
-    rows = known.where("level is not null").select("sig", F.posexplode("tokens").alias("pos", "token"))
+    sets = known.where("level is not null")
+    first = F.least(F.size("tokens"), F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1)
+    rows = sets.select("sig", "n", "common", F.posexplode(F.slice("tokens", F.lit(1), first)).alias("pos", "token"))
     # only tokens of two sets or more matter; one exchange tells (a window's rows may spill, they are not collected)
     token = Window.partitionBy("token")
     rows = rows.withColumn("lo", F.min("sig").over(token)).withColumn("hi", F.max("sig").over(token)).where("lo < hi").drop("lo", "hi")
-    # what a set can share at most: all but those tokens of its prefix that are in no other prefix (see `may`)
-    shared = rows.dropDuplicates(["token", "sig"]).withColumn("c", F.count("*").over(Window.partitionBy("sig")))
-    info = known.where("level is not null").select("sig", "n", "level", "common", "last").dropDuplicates(["sig"])
-    longest = F.least(F.col("n"), F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + LEVELS)
-    rows = shared.join(info.hint("merge"), "sig").withColumn("cap", (F.col("n") - longest + F.col("c")).cast("int"))
-    rows = cut(rows.where(F.col("cap") * 100 >= F.col("n") * percent).select("token", "sig", "pos", "n", "level", "common", "last", "cap"))
-
-    def may(x: str, y: str):
-        """Two sets that can be similar enough by their sizes and by what is unshared of the prefix that ends first:
-        each token of it that the other set has is in the other prefix too."""
-        c = lambda k: F.col(f"{x}{k}"), lambda k: F.col(f"{y}{k}")
-        least = F.ceil((c[0]("n") + c[1]("n")) * percent / (100.0 + percent))
-        capped = lambda p, q: (p("last") >= q("last")) | (p("cap") >= least)
-        return (c[0]("n") * 100 >= c[1]("n") * percent) & (c[1]("n") * 100 >= c[0]("n") * percent) & capped(*c) & capped(c[1], c[0])
+    rows = cut(rows.dropDuplicates(["token", "sig"]))
+
+    def least(x: str, y: str) -> Column:
+        """The overlap that two sets of these sizes need."""
+        return F.ceil((F.col(f"{x}n") + F.col(f"{y}n")) * percent / (100.0 + percent))
+
+    def meet(x: str, y: str) -> Column:
+        """Sets of like sizes that share a token of both shortest prefixes."""
+        like = (F.col(f"{x}n") * 100 >= F.col(f"{y}n") * percent) & (F.col(f"{y}n") * 100 >= F.col(f"{x}n") * percent)
+        return like & (F.col(f"{x}pos") <= F.col(f"{x}n") - least(x, y)) & (F.col(f"{y}pos") <= F.col(f"{y}n") - least(x, y))
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that share as many tokens as the level of the larger set asks for (of equals that with the larger digest)
+        in prefixes that are as much longer."""
+        pairs = cut(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        some = may_be_in(sets.select("sig", "n", "level", "tokens"), "sig", wanted).join(wanted.hint("merge"), "sig", "left_semi").dropDuplicates(["sig"])
+        x, y = (some.select(F.col("sig").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("n", "level", "tokens")]).hint("merge") for c in "ab")
+        level = F.when((F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") > F.col("b"))), F.col("a_level")).otherwise(F.col("b_level")).cast("int")
+        of = lambda c: F.slice(f"{c}_tokens", F.lit(1), (F.col(f"{c}_n") - least("a_", "b_")).cast("int") + level)
+        return pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect(of("a"), of("b"))) >= level).select("a", "b")
 
     # the commonest set of each token (the most typical of a group of near copies) is its hub
-    hub = rows.groupBy("token").agg(F.max(F.struct("common", "sig", "n", "last", "cap")).alias("h")).select("token", *[F.col(f"h.{k}").alias(f"h_{k}") for k in ("sig", "n", "last", "cap")])
-    stars = rows.join(hub.hint("merge"), "token").where("sig != h_sig").where(may("", "h_")).select(F.least("sig", "h_sig").alias("a"), F.greatest("sig", "h_sig").alias("b")).distinct()
-    first = cut(verified(stars, known, docs, size, percent))
+    hub = rows.groupBy("token").agg(F.max(F.struct("common", "sig", "n", "pos")).alias("h")).select("token", *[F.col(f"h.{k}").alias(f"h_{k}") for k in ("sig", "n", "pos")])
+    stars = rows.join(hub.hint("merge"), "token").where("sig != h_sig").where(meet("", "h_")).select(F.least("sig", "h_sig").alias("a"), F.greatest("sig", "h_sig").alias("b")).distinct()
+    linked = cut(verified(enough(stars), known, docs, size, percent))
     # sets that are connected already need no pairs between themselves
-    labels = cut(connected_components(first)).select(F.col("node").alias("sig"), F.col("root").alias("label"))
+    labels = cut(connected_components(linked)).select(F.col("node").alias("sig"), F.col("root").alias("label"))
     labelled = rows.join(labels.hint("merge"), "sig", "left").withColumn("label", F.coalesce("label", "sig")).drop("common")
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     rest = cut(labelled.join(mixed.hint("merge"), "token", "left_semi"))
     x, y = (rest.select(*[F.col(c).alias(f"{p}_{c}") for c in rest.columns]) for p in "xy")
-    # x, the larger set (of equals the one with the larger digest), probes with its own level
-    least = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100.0 + percent))
-    larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sig") > F.col("y_sig")))
-    within = [F.col(f"{p}_pos") < F.col(f"{p}_n") - least + F.col("x_level") for p in "xy"]
-    joined = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_label") != F.col("y_label")) & larger & may("x_", "y_") & within[0] & within[1])
-    pairs = joined.groupBy("x_sig", "y_sig").agg(F.count("*").alias("hits"), F.first("x_level").alias("level")).where("hits >= level").select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b"))
+    joined = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_label") != F.col("y_label")) & (F.col("x_sig") < F.col("y_sig")) & meet("x_", "y_"))
+    pairs = joined.select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b")).distinct()
     tied = labels.select(F.col("sig").alias("a"), F.col("label").alias("b")).where("a != b")
-    return tied.union(verified(pairs, known, docs, size, percent))
+    return tied.union(verified(enough(pairs), known, docs, size, percent))
 
 
-def _prefix(found: np.ndarray, counts: np.ndarray, percent: int, noise: float) -> tuple[np.ndarray, int, int, int]:
-    """The longest prefix of a set, its level, how common its shingles are, and where in the order of all shingles it ends.
+def _prefix(found: np.ndarray, counts: np.ndarray, percent: int, noise: float) -> tuple[np.ndarray, int, int]:
+    """The longest prefix of a set, its level, and how common its shingles are.
 
     The estimate for level l: reading the lists of the l-prefix, and verifying the candidates; each
     candidate uses up l list entries at least. `noise` is what a counter holds of other shingles.
@@ -160,16 +165,13 @@ def _prefix(found: np.ndarray, counts: np.ndarray, percent: int, noise: float) -
     n = len(found)
     c = counts[found & np.uint64(len(counts) - 1)]
     by = np.lexsort((found, c))
-    found, code = found[by], c[by]
-    c = 2.0 ** (code.astype(float) / 8)
+    found, c = found[by], 2.0 ** (c[by].astype(float) / 8)
     least = need(n, percent)
     base = n - least
     lists = np.maximum(c - 1.5 * noise, 1.0)
     cost = [lists[: base + k].sum() * (1 + 50 / k) for k in range(1, min(LEVELS, least) + 1)]
     level = int(np.argmin(cost)) + 1
-    prefix = found[: min(n, base + LEVELS)]
-    last = (int(code[len(prefix) - 1]) << 55) | (int(prefix[-1]) >> 9)
-    return prefix, level, round(100 * float(np.log2(c).mean())), last
+    return found[: min(n, base + LEVELS)], level, round(100 * float(np.log2(c).mean()))
 
 
 def sketch(texts: DataFrame, size: int) -> np.ndarray:
