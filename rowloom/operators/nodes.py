@@ -27,6 +27,7 @@ class _Parser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        self.top: dict = {"children": 0, "counts": {}, "xpath": ""}
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -35,15 +36,12 @@ class _Parser(HTMLParser):
             self._close(*CLOSES[tag])
         parent = self.open[-1] if self.open else None
         a = {k: v or "" for k, v in reversed(attrs)}
-        siblings = self.nodes[parent]["children"] if parent is not None else [k for k, n in enumerate(self.nodes) if n["parent"] is None]
-        same = sum(self.nodes[c]["tag"] == tag for c in siblings) if len(siblings) < 8 else None
-        counts = self.nodes[parent]["counts"] if parent is not None else {}
-        counts[tag] = counts.get(tag, 0) + 1
-        nth = counts[tag] if parent is not None else (same or 0) + 1
-        node = {"tag": tag, "parent": parent, "attrs": a, "children": [], "counts": {}, "parts": [], "own": [], "sib": len(siblings) + 1, "xpath": (self.nodes[parent]["xpath"] if parent is not None else "") + f"/{tag}[{nth}]"}
+        above = self.nodes[parent] if parent is not None else self.top
+        above["children"] += 1
+        nth = above["counts"][tag] = above["counts"].get(tag, 0) + 1
+        node = {"tag": tag, "parent": parent, "attrs": a, "children": 0, "counts": {}, "parts": [], "own": [], "sib": above["children"], "xpath": f"{above['xpath']}/{tag}[{nth}]"}
         if parent is not None:
-            self.nodes[parent]["children"].append(len(self.nodes))
-            self.nodes[parent]["parts"].append(len(self.nodes))
+            above["parts"].append(len(self.nodes))
         self.nodes.append(node)
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,14 +42,35 @@ def row_selectors(cells: Sequence[str]) -> list[RelationSpec]:
 
 
 def infer_row_selector(nodes: DataFrame, cells: Sequence[str]) -> DataFrame:
-    """R2: candidates from a demonstrated first row (cell xpaths): selector, seq and n_rows, the rows that have every cell."""
-    counted = []
-    for seq, spec in enumerate(row_selectors(cells)):
-        found = _cells(nodes, spec).groupBy("page_id", "row_no").agg(F.count_distinct("column").alias("n")).where(F.col("n") == len(spec.columns))
-        counted.append(found.agg(F.count("*").alias("n_rows")).select(F.lit(spec.row_selector).alias("selector"), F.lit(seq).alias("seq"), "n_rows"))
-    if not counted:
+    """R2: candidates from a demonstrated first row (cell xpaths): selector, seq and n_rows, the rows that have every cell.
+
+    All candidates are counted in one pass over the nodes: each node is a cell of the candidates that select it.
+    """
+    specs = row_selectors(cells)
+    if not specs:
         return nodes.sparkSession.createDataFrame([], "selector string, seq int, n_rows long")
-    return reduce(DataFrame.unionByName, counted)
+    none = F.lit(None).cast("struct<seq:int,row_no:int,cell:string>")
+    hits = F.array(*[F.when((row := _row_no(s)).isNotNull(), F.struct(F.lit(k).alias("seq"), row.alias("row_no"), _below(s).alias("cell"))).otherwise(none) for k, s in enumerate(specs)])
+    paths = F.create_map(*[x for k, s in enumerate(specs) for x in (F.lit(k), F.array(*[F.lit(p) for p in s.columns.values()]))])
+    found = nodes.select("page_id", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("page_id", "h.*").where(F.array_contains(paths[F.col("seq")], F.col("cell")))
+    rows = found.groupBy("seq", "page_id", "row_no").agg(F.count_distinct("cell").alias("n"))
+    need = F.create_map(*[F.lit(x) for k, s in enumerate(specs) for x in (k, len(set(s.columns.values())))])
+    counts = rows.where(F.col("n") == need[F.col("seq")]).groupBy("seq").agg(F.count("*").alias("n_rows"))
+    every = nodes.sparkSession.createDataFrame([(s.row_selector, k) for k, s in enumerate(specs)], "selector string, seq int")
+    return every.join(F.broadcast(counts), "seq", "left").select("selector", "seq", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
+
+
+def _row_no(spec: RelationSpec) -> Column:
+    """The number of the row that a node is in; null outside the table."""
+    head, _, tail = spec.row_selector.partition("[*]")
+    row = F.regexp_extract("xpath", "^" + re.escape(head) + r"\[(\d+)\]" + re.escape(tail) + r"(?=/|$)", 1)
+    return F.when(F.startswith("xpath", F.lit(head + "[")), row).try_cast("int")
+
+
+def _below(spec: RelationSpec) -> Column:
+    """A node's path below its row."""
+    head, _, tail = spec.row_selector.partition("[*]")
+    return F.regexp_replace("xpath", "^" + re.escape(head) + r"\[\d+\]" + re.escape(tail), "")
 
 
 def best_candidate(candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -62,12 +82,9 @@ def best_candidate(candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def _cells(nodes: DataFrame, spec: RelationSpec) -> DataFrame:
     """(page_id, row_no, column, text, link) of every cell that the spec selects."""
-    head, _, tail = spec.row_selector.partition("[*]")
-    found = nodes.where(F.startswith("xpath", F.lit(head + "[")))
-    row = F.regexp_extract("xpath", "^" + re.escape(head) + r"\[(\d+)\]" + re.escape(tail), 1)
-    rest = F.regexp_replace("xpath", "^" + re.escape(head) + r"\[\d+\]" + re.escape(tail), "")
     names = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c")) for c, p in spec.columns.items()])
-    placed = found.select("page_id", row.cast("int").alias("row_no"), rest.alias("rest"), "text", "link").where("row_no is not null")
+    head = spec.row_selector.partition("[*]")[0]
+    placed = nodes.where(F.startswith("xpath", F.lit(head + "["))).select("page_id", _row_no(spec).alias("row_no"), _below(spec).alias("rest"), "text", "link").where("row_no is not null")
     return placed.select("page_id", "row_no", F.explode(F.filter(names, lambda n: n.p == F.col("rest"))).alias("n"), "text", "link").select("page_id", "row_no", F.col("n.c").alias("column"), "text", "link")
 
 

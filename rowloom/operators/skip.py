@@ -6,7 +6,6 @@ A key is a list of cells; missing and empty cells are equal. The earliest occurr
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -125,14 +124,18 @@ def changed_rows(rows: DataFrame, ids: Sequence[str], values: Sequence[str], ord
 
 
 def key_report(rows: DataFrame, key_sets: Mapping[str, Sequence[str]]) -> DataFrame:
-    """For each candidate key: rows, distinct keys, rows dropped, keys with only empty cells, largest group."""
-    found = []
-    for name, keys in key_sets.items():
-        groups = rows.groupBy(key(keys).alias("k")).agg(F.count("*").alias("n"))
-        empty = reduce(lambda a, b: a & b, [F.col(f"k.k{i}") == "" for i in range(len(keys))])
-        total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_keys"), F.coalesce(F.sum(F.when(empty, F.col("n"))), F.lit(0)).alias("n_empty"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
-        found.append(total.select(F.lit(name).alias("key_name"), "n_rows", "n_keys", (F.col("n_rows") - F.col("n_keys")).alias("n_dropped"), "n_empty", "largest"))
-    return reduce(DataFrame.unionByName, found)
+    """For each candidate key: rows, distinct keys, rows dropped, keys with only empty cells, largest group. One scan for all keys."""
+    names = list(key_sets)
+    cells = sorted({c for keys in key_sets.values() for c in keys})
+    as_text = rows.select(*[blank(c).alias(f"{TMP}{k}") for k, c in enumerate(cells)])
+    of = [[F.col(f"{TMP}{cells.index(c)}") for c in key_sets[n]] for n in names]
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*cols).alias("key")) for k, cols in enumerate(of)])
+    groups = as_text.select(F.explode(each).alias("e")).groupBy("e.k", "e.key").agg(F.count("*").alias("n"))
+    empty = F.forall("key", lambda c: c == "")
+    total = groups.groupBy("k").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), F.coalesce(F.sum(F.when(empty, F.col("n"))), F.lit(0)).alias("n_empty"), F.max("n").alias("largest"))
+    every = rows.sparkSession.createDataFrame(list(enumerate(names)), "k int, key_name string").join(F.broadcast(total), "k", "left")
+    n = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_rows", "n_keys", "n_empty", "largest")}
+    return every.select("key_name", n["n_rows"].alias("n_rows"), n["n_keys"].alias("n_keys"), (n["n_rows"] - n["n_keys"]).alias("n_dropped"), n["n_empty"].alias("n_empty"), n["largest"].alias("largest"))
 
 
 def key_quality(rows: DataFrame, keys: Sequence[str], truth: str) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, datasets, live, pages, workers
+from . import cells, datasets, live, pages, programs, workers
 from .registry import ORACLES, QUERIES
 
-__all__ = ["cells", "datasets", "live", "pages", "workers"]
+__all__ = ["cells", "datasets", "live", "pages", "programs", "workers"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

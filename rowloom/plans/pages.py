@@ -93,12 +93,12 @@ _W = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x:
 @query(f"""
 SELECT doc_id, array_to_string({_W}[1:1], ' ') AS first_word, array_to_string({_W}[1:3], ' ') AS first_three, coalesce({_W}[-1], '') AS last_word,
   CASE WHEN contains(text, ':') THEN split_part(text, ':', 1) END AS pre_colon, CAST(length(text) AS INTEGER) AS n
-FROM documents WHERE text IS NOT NULL
+FROM documents
 """)
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N4 N5 F2."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", nodes.first_words(t, 1).alias("first_word"), nodes.first_words(t, 3).alias("first_three"), nodes.last_word(t).alias("last_word"), nodes.pre_colon_text(t).alias("pre_colon"), F.length(t).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", nodes.first_words(t, 1).alias("first_word"), nodes.first_words(t, 3).alias("first_three"), nodes.last_word(t).alias("last_word"), nodes.pre_colon_text(t).alias("pre_colon"), F.length(t).alias("n"))
 
 
 @query("""
