@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import math
 import pickle
 import uuid
@@ -92,7 +93,23 @@ def stored(df: DataFrame) -> DataFrame:
     """`df` written as a Parquet table in the shared checkpoint folder and read again: smaller than `cut` for wide rows."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._rl_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `stored` that nothing will read again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._rl_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does so when the driver collects garbage, which may be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def map_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], fn: Callable[..., list], keep: list[str] | None = None, arrow: bool = False) -> DataFrame:
@@ -258,13 +275,16 @@ def text_words(texts: list[str], table: bytes, limit: int = 1 << 20) -> Iterator
             first, held, size = k + 1, [], 0
 
 
-def hash_sample(df: DataFrame, group: str, id_col: str, bound: int) -> DataFrame:
+def hash_sample(df: DataFrame, group: str, id_col: str, bound: int, most: int = 10_000) -> DataFrame:
     """About `bound` rows of each value of `group`, picked by a hash of the id; groups below it stay whole.
 
     The counts come from one aggregate over all rows; the picking is a filter, so no group has to
-    meet in one task. The number of groups has to be small (class labels, languages).
+    meet in one task. Groups are class labels or languages; more than `most` of them are an error.
     """
-    shares = {r[0]: min(1.0, bound / r[1]) for r in df.groupBy(group).count().collect() if r[0] is not None}
+    counts = df.where(F.col(group).isNotNull()).groupBy(group).count().limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"{group} has more than {most} values")
+    shares = {r[0]: min(1.0, bound / r[1]) for r in counts}
     if not shares:
         return df.limit(0)
     share = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, v)])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, connected_components, cut, may_be_in, merged_pieces, pieces_of, run_hashes, share, slices, stored, text_words, tidy
+from .common import attach, connected_components, cut, may_be_in, merged_pieces, pieces_of, reclaim, run_hashes, share, slices, stored, text_words, tidy
 
 LEVELS = 4
 #: Counters of the sketch: 2^21 bytes on their way to the tasks, whatever the input.
@@ -119,6 +119,7 @@ def near(known: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFram
     token = Window.partitionBy("token")
     rows = rows.withColumn("lo", F.min("sig").over(token)).withColumn("hi", F.max("sig").over(token)).where("lo < hi").drop("lo", "hi")
     rows = cut(rows.dropDuplicates(["token", "sig"]))
+    reclaim(docs.sparkSession)
 
     def least(x: str, y: str) -> Column:
         """The overlap that two sets of these sizes need."""

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns, share
+from .common import map_columns, share, stored
 from .quality import logistic
 
 #: Order of kinds among spans with one start.
@@ -207,12 +209,13 @@ def fit(x: np.ndarray, y: np.ndarray, kinds: list[str], rounds: int = 40, depth:
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = 5000, candidates: int = 100_000) -> Trees:
-    """Trees from the candidates of about `sample` texts picked by a hash of their ids; at most `candidates` come to the driver."""
+    """Trees from the candidates of about `sample` texts picked by a hash of their ids; about `candidates` of them, picked by
+    a hash of text and place for each kind and verdict alike, come to the driver. Without candidates, or of one verdict only, there are no trees."""
     n = docs.count()
     if not n:
         return Trees()
     rank = F.pmod(F.xxhash64(F.col(id_col), F.lit("pii")), F.lit(1_000_000)) / 1e6
-    some = docs.where(F.col(text_col).isNotNull() & (rank < min(1.0, sample / n))).select(F.col(text_col).cast("string").alias("t"))
+    some = docs.where(F.col(text_col).isNotNull() & (rank < min(1.0, sample / n))).select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("t"))
 
     def run(texts: list) -> list:
         out = []
@@ -222,10 +225,17 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sampl
             out.append([[float(y), *describe(t, k, a, b)] for k, a, b, y in found])
         return [out]
 
-    rows = map_columns(some, ["t"], [T.StructField("x", T.ArrayType(T.ArrayType(T.DoubleType())))], run, keep=[]).select(F.explode("x").alias("x")).orderBy("x").limit(candidates).collect()
-    if not rows:
+    rows = stored(map_columns(some, ["t"], [T.StructField("x", T.ArrayType(T.ArrayType(T.DoubleType())))], run, keep=["h"]).select("h", F.posexplode("x").alias("at", "x")))
+    counts = {(r.y, r.k): r.n for r in rows.groupBy(F.col("x")[0].alias("y"), F.col("x")[1].alias("k")).agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return Trees()
-    data = np.array([r.x for r in rows])
+    share_of = min(1.0, candidates / sum(counts.values()))
+    least = {yk: max(share_of, min(1.0, candidates / (20 * len(counts) * n))) for yk, n in counts.items()}  # rare ones are not thinned out
+    shares = F.create_map(*[F.lit(x) for (y, k), v in least.items() for x in (f"{y:.0f} {k:.0f}", v)])[F.concat_ws(" ", F.col("x")[0].cast("int"), F.col("x")[1].cast("int"))]
+    picked = rows.where(F.pmod(F.xxhash64("h", "at"), F.lit(1_000_000)) / 1e6 < shares).orderBy("x").select("x").collect()
+    if not picked:
+        return Trees()
+    data = np.array([r.x for r in picked])
     return fit(data[:, 1:], data[:, 0].astype(int), [KINDS[int(k)] for k in data[:, 1]])
 
 
@@ -236,31 +246,48 @@ def choose(text: str, model: Trees) -> tuple[list[tuple[str, int, int]], list[tu
     chosen: list[tuple[str, int, int]] = []
     if more and model.trees:
         p = model.probability(np.array([describe(text, k, a, b) for k, a, b, _ in more]))
-        taken = sorted((a, b) for _, a, b in base)
+        starts, ends = _united((a, b) for _, a, b in base)
         for score, (k, a, b, _) in sorted(zip(p.tolist(), more, strict=True), key=lambda x: (-x[0], x[1][1], x[1][2])):
-            if score >= model.thresholds.get(k, 0.95) and not any(a < e and s < b for s, e in taken):
+            at = bisect_left(ends, a + 1)  # the first taken span that ends after this one starts
+            if score >= model.thresholds.get(k, 0.95) and (at == len(starts) or starts[at] >= b):
                 chosen.append((k, a, b))
-                taken.append((a, b))
+                starts.insert(at, a)
+                ends.insert(at, b)
     return sorted(base, key=order), sorted(base + chosen, key=order)
 
 
+def _united(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans, those that overlap as one."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def find(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
-    """`docs` with base (spans by rules) and spans (all), as kind:start:end joined by commas, and n_<kind> of the base.
+    """`docs` with base (spans by rules) and spans (all), as kind:start:end joined by commas, n_<kind> of the base spans,
+    n_account and n_secret (which only the trees add) and n_spans, the number of all spans.
 
-    Positions are code points of the whole text, ends exclusive; null counts as empty. Other columns
-    pass through, clashing ones are replaced.
+    Positions are code points of the whole text, ends exclusive; null counts as empty. Rows stay one to one, repeated ones too; an
+    empty table gives no rows. Other columns pass through, clashing ones are replaced.
     """
     shared = share(docs.sparkSession, model)
 
     def run(texts: list) -> list:
-        m, out = shared(), ([], [], [], [], [], [])
+        m, out = shared(), tuple([] for _ in range(3 + len(KINDS)))
         for t in texts:
             base, spans = choose(t or "", m)
-            for rows, value in zip(out, (",".join(f"{k}:{a}:{b}" for k, a, b in base), ",".join(f"{k}:{a}:{b}" for k, a, b in spans), *(sum(s[0] == k for s in base) for k in KINDS[:4])), strict=True):
+            counts = [sum(s[0] == k for s in (base if k in KINDS[:4] else spans)) for k in KINDS]
+            for rows, value in zip(out, (",".join(f"{k}:{a}:{b}" for k, a, b in base), ",".join(f"{k}:{a}:{b}" for k, a, b in spans), *counts, len(spans)), strict=True):
                 rows.append(value)
         return list(out)
 
-    fields = [T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())] + [T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]]
+    fields = [T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())] + [T.StructField(f"n_{k}", T.LongType()) for k in (*KINDS, "spans")]
     return map_columns(docs, [text_col], fields, run)
 
 
