@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import TMP, ragged, release, slices, tidy
+from .common import TMP, mix, ragged, release, slices, tidy
 
 # Latin-1 letters, numbers and white space, as \p{L}, \p{N} and \s have them.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -146,14 +146,21 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     found = both.mapInArrow(tidy(_encoder(vocabulary)), "key long, n binary, sizes binary, ids binary")
 
     def join(docs: pa.Table, found: pa.Table) -> pa.Table:
-        docs = docs.select([f"{TMP}id", "codes"]).filter(docs.column("codes").is_valid())
-        joined = _join(docs, found)
+        joined = _join(docs.select([f"{TMP}id", "codes"]).filter(docs.column("codes").is_valid()), found).rename_columns([id_col, "ids"])
+        if decoded_col and joined.num_rows:  # as rows of runs, for decoding
+            key = np.array([docs.column("key")[0].as_py()]).view(np.uint64)
+            parts = list(slices(joined.combine_chunks().to_batches()))
+            joined = pa.Table.from_batches([r for k, part in enumerate(parts) for r in _run_rows(int(mix(key + np.uint64(k)).view(np.int64)[0]), part, "ids")])
+        elif decoded_col:
+            joined = RUNS.empty_table()
         release()
         return joined
 
-    out = T.StructType([T.StructField(f"{TMP}id", id_type), T.StructField("ids", T.BinaryType())])
-    encoded = both.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(join, out).withColumnRenamed(f"{TMP}id", id_col)
-    return decode(encoded, vocabulary, "ids", decoded_col) if decoded_col else encoded
+    out = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.BinaryType())])
+    if not decoded_col:
+        return both.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(join, out)
+    runs = both.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(join, RUN_FIELDS)
+    return _with_pieces(runs, vocabulary, out, "ids", decoded_col)
 
 
 def squeeze(data: bytes) -> bytes:
@@ -249,24 +256,39 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str =
     Bytes that are no UTF-8 become U+FFFD. Other columns pass through, a clashing one is replaced; repeated rows stay,
     an empty table gives no rows.
     """
-    spark = df.sparkSession
     kept = [c for c in df.columns if c.lower() != out_col.lower()]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out_col, T.StringType())])
-    table = spark.createDataFrame(pa.table({"id": pa.array(range(len(p := pieces(vocabulary))), pa.int64()), "piece": pa.array(p, pa.binary())}))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each run of rows as one row (run, number of its distinct ids, the rows), and one for each of these ids."""
         for run, batch in enumerate(slices(batches)):
-            column = batch.column(ids_col)
-            ids = np.unique(np.frombuffer(b"".join(x for x in column.to_pylist() if x), "<u4")).astype(np.int64)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as stream:
-                stream.write_batch(batch)
-            held = [sink.getvalue().to_pybytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.nulls(1, pa.int64()), pa.array([len(ids)], pa.int64()), pa.array(held, pa.binary())], names=["run", "id", "n", "held"])
-            for k in range(0, len(ids), 10_000):
-                part = pa.array(ids[k : k + 10_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), run)), part, pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())], names=["run", "id", "n", "held"])
+            yield from _run_rows(run, batch, ids_col)
+
+    rows = df.select(*dict.fromkeys([*kept, ids_col]))
+    return _with_pieces(rows.mapInArrow(tidy(runs), RUN_FIELDS), vocabulary, rows.schema, ids_col, out_col)
+
+
+#: A run of rows as one row (run, number of its distinct ids, the rows themselves), and one row for each of these ids.
+RUN_FIELDS = "run long, id long, n long, held binary"
+RUNS = pa.schema([("run", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("held", pa.binary())])
+
+
+def _run_rows(run: int, batch: pa.RecordBatch, ids_col: str) -> Iterator[pa.RecordBatch]:
+    ids = np.unique(np.frombuffer(b"".join(x for x in batch.column(ids_col).to_pylist() if x), "<u4")).astype(np.int64)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    held = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.nulls(1, pa.int64()), pa.array([len(ids)], pa.int64()), held], schema=RUNS)
+    for k in range(0, len(ids), 10_000):
+        part = pa.array(ids[k : k + 10_000])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), run, np.int64)), part, pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())], schema=RUNS)
+
+
+def _with_pieces(runs: DataFrame, vocabulary: str, schema: T.StructType, ids_col: str, out_col: str) -> DataFrame:
+    """The rows of the runs, of this schema, with the text of their ids, through a join of the runs' ids with the id-to-piece table."""
+    kept = [f for f in schema.fields if f.name.lower() != out_col.lower()]
+    names = [f.name for f in kept]
+    p = pieces(vocabulary)
+    table = runs.sparkSession.createDataFrame(pa.table({"id": pa.array(range(len(p)), pa.int64()), "piece": pa.array(p, pa.binary())}))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of each run, once its ids and pieces are there (the join keeps a run's rows in their partition)."""
@@ -285,17 +307,18 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str =
                 state[1] += rows.num_rows
                 state[2].append(rows.select(["id", "piece"]))
                 if state[0] and state[0][0] == state[1]:
-                    yield from _filled(*waiting.pop(int(run[part[0]])))
+                    yield from _filled(state[0][1], state[2])
+                    del waiting[int(run[part[0]])]
         if waiting:
             raise RuntimeError("a run of rows lost some of its ids")
 
-    def _filled(first: tuple, _: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _filled(held: bytes, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([x.column(0).to_numpy() for x in parts])
         found = [x or b"" for p in parts for x in p.column(1).to_pylist()]
         by = np.argsort(ids)
         ids, sizes = ids[by], np.array([len(x) for x in found], np.int64)[by]
         data, starts = np.frombuffer(b"".join(found[k] for k in by.tolist()), np.uint8), np.cumsum(sizes) - sizes
-        for batch in pa.ipc.open_stream(first[1]):
+        for batch in pa.ipc.open_stream(held):
             texts = []
             for x in batch.column(ids_col).to_pylist():
                 if x is None:
@@ -303,7 +326,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str =
                     continue
                 at = np.searchsorted(ids, np.frombuffer(x, "<u4"))
                 texts.append(data[ragged(starts[at], sizes[at])].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, out_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, out_col])
 
-    joined = df.select(*dict.fromkeys([*kept, ids_col])).mapInArrow(tidy(runs), "run long, id long, n long, held binary").join(F.broadcast(table), "id", "left")
-    return joined.select("run", "id", "n", "held", "piece").mapInArrow(tidy(fill), schema)
+    joined = runs.join(F.broadcast(table), "id", "left").select("run", "id", "n", "held", "piece")
+    return joined.mapInArrow(tidy(fill), T.StructType([*kept, T.StructField(out_col, T.StringType())]))

@@ -134,12 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, text_col: str = "t
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """`docs` with the probability (0 to 1) that each whole text has label 1; null counts as empty.
 
-    Other columns pass through; one that clashes with `out_col` is replaced.
+    Rows stay one to one, repeated ones too; an empty table gives no rows. Other columns pass through; one that clashes with `out_col` is replaced.
     """
-    shared = share(docs.sparkSession, model)
+    shared, cache = share(docs.sparkSession, model), {}
 
     def run(texts: list) -> list:
-        m, cache = shared(), {}
+        m = shared()
         return [[m.score(features(t or "", cache)) for t in texts]]
 
     return map_columns(docs, [text_col], [T.StructField(out_col, T.DoubleType())], run)

@@ -1,8 +1,8 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse text features.
 
 Features are words, and beginnings of words, that tell toxic from clean texts in the training rows;
-their value is log(1 + number of distinct words of the text that have them). One weight vector serves all thresholds: P(grade <= k) = sigmoid(threshold_k - w x), with
-ordered thresholds. The output is the expected grade.
+their value is log(1 + number of distinct words of the text that have them). One weight vector serves all
+thresholds: P(grade <= k) = sigmoid(threshold_k - w x), with ordered thresholds. The output is the expected grade.
 
 Labels that only say toxic or not are graded by how many different words of a toxic text have a marker
 (the features most tied to toxic texts): none or one 1, two or three 2, more 3. Clean texts have grade 0.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled, map_columns, share
+from .common import labelled, map_columns, share, stored
 
 GRADES = 4
 _WORD = re.compile(r"[^\W\d_]+")
@@ -33,13 +33,16 @@ def features(word: str) -> list[str]:
     return [f"^{word}$", *(f"^{word[:k]}" for k in STEMS if len(word) >= k)]
 
 
-def known(text: str, vocabulary: dict[str, int]) -> Counter:
-    """How many distinct words of a text have each feature of the vocabulary."""
+def known(text: str, vocabulary: dict[str, int], seen: dict[str, list[int]]) -> Counter:
+    """How many distinct words of a text have each feature of the vocabulary; `seen` keeps words met before."""
     found: Counter = Counter()
+    if len(seen) > 500_000:
+        seen.clear()
     for w in set(_WORD.findall(text.lower())):
-        for f in features(w):
-            if (k := vocabulary.get(f)) is not None:
-                found[k] += 1
+        if (ks := seen.get(w)) is None:
+            ks = seen[w] = [vocabulary[f] for f in features(w) if f in vocabulary]
+        if ks:
+            found.update(ks)
     return found
 
 
@@ -49,9 +52,9 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def grades(self, text: str) -> np.ndarray:
+    def grades(self, text: str, seen: dict[str, list[int]] | None = None) -> np.ndarray:
         """The probability of each grade."""
-        z = sum(self.weights[k] * np.log1p(n) for k, n in known(text, self.vocabulary).items())
+        z = sum(self.weights[k] * np.log1p(n) for k, n in known(text, self.vocabulary, {} if seen is None else seen).items())
         below = 1 / (1 + np.exp(-np.clip(self.thresholds - z, -50, 50)))
         return np.diff(np.concatenate([[0.0], below, [1.0]]))
 
@@ -92,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, text_col: str = "t
     The vocabulary is at most `words` features, each in `min_docs` toxic texts or more and at least four
     times as frequent in toxic as in clean ones; they and the rows' counts of them come to the driver.
     """
-    some = labelled(docs, labels, label_col, text_col, id_col, sample)
+    some = stored(labelled(docs, labels, label_col, text_col, id_col, sample))
     n = {r.y: r.n for r in some.groupBy("y").agg(F.count("*").alias("n")).collect()}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, text_col: str = "t
 
     def run(texts: list) -> list:
         marked = [sum(any(vocabulary.get(f) in markers for f in features(w)) for w in set(_WORD.findall(t.lower()))) for t in texts]
-        return [["".join(f"{k}:{n} " for k, n in sorted(known(t, vocabulary).items())) for t in texts], marked]
+        seen: dict[str, list[int]] = {}
+        return [["".join(f"{k}:{n} " for k, n in sorted(known(t, vocabulary, seen).items())) for t in texts], marked]
 
     rows = map_columns(some, ["t"], [T.StructField("x", T.StringType()), T.StructField("marked", T.IntegerType())], run, keep=["y", "id"]).orderBy(F.xxhash64("id"), "id", "y", "x").select("y", "x", "marked").collect()
     counts = [{int(k): int(v) for k, v in (e.split(":") for e in r.x.split())} for r in rows]
@@ -126,13 +130,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, text_col: str = "t
 def severity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` with severity (expected grade, 0 to 3), p_toxic (of grade 1 or more) and toxic (p_toxic >= 0.5).
 
-    Whole texts; null counts as empty. Other columns pass through, clashing ones are replaced.
+    Whole texts; null counts as empty. Rows stay one to one, repeated ones too; an empty table gives no rows.
+    Other columns pass through, clashing ones are replaced.
     """
     shared = share(docs.sparkSession, model)
+    seen: dict[str, list[int]] = {}
 
     def run(texts: list) -> list:
         m = shared()
-        p = np.array([m.grades(t or "") for t in texts]).reshape(-1, GRADES)
+        p = np.array([m.grades(t or "", seen) for t in texts]).reshape(-1, GRADES)
         toxic = 1 - p[:, 0]
         return [(p @ np.arange(GRADES)).tolist(), toxic.tolist(), (toxic >= 0.5).tolist()]
 

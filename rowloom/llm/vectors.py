@@ -7,8 +7,8 @@ every vector is indexed and compared.
 
 A pair that meets in several leaves counts in the first of them only (each row carries all its
 leaves), so a leaf gives its members' link counts and a spanning forest of its links, never its pairs.
-Equal vectors are one row with a number of copies. Leaves that are too large for a task are dealt out
-as pairs of chunks, so they are compared whole, by many tasks.
+Equal vectors are one row with a number of copies. Leaves of more than `max_leaf` vectors are dealt out
+as pairs of chunks of about that size, so they are compared whole, by many tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, merge_sets, mix, share
+from .common import connected_components, cut, merge_sets, mix, release, share, tidy
 
 
 @dataclass
@@ -156,35 +156,30 @@ def _found(firsts: DataFrame, d: int, total: int, cosine: float, trees: int, lea
                 keys, n = np.unique(leaves(_matrix(batch.column(0), d))[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], names=["key", "n"])
 
-    counts = firsts.select("v").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    # at most 50,000 leaves are dealt out in chunks, whatever the input: the limit rises with the rows
-    limit = max(max_leaf, total * trees * 4 // 50_000)
-    hot = share(spark, {r.key: math.ceil(r.n / limit) for r in counts.where(F.col("n") > limit).collect()})
+    counts = firsts.select("v").mapInArrow(tidy(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    hot = cut(counts.where(F.col("n") > max_leaf).select("key", F.ceil(F.col("n") / max_leaf).cast("int").alias("chunks")))
+    n_hot = hot.count()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunked = hot()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids = part.column(0).to_numpy()
                 rows, keys = leaves(_matrix(part.column(1), d))
-                starts = np.searchsorted(rows, np.arange(len(ids) + 1))
-                lists = [keys[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                out = []
-                for r, k in zip(rows.tolist(), keys.tolist(), strict=True):
-                    if (c := chunked.get(k)) is None:
-                        out.append((r, k, 0, 0))
-                    else:
-                        mine = int(mix(np.array([ids[r]], np.int64).view(np.uint64))[0] % np.uint64(c))
-                        out += [(r, k, min(mine, o), max(mine, o)) for o in range(c)]
-                r, k, i, j = (np.array(c) for c in zip(*out, strict=True))
-                take = pa.array(r)
-                chunk = np.array([0 if x == y else int(mix(np.array([ids[q]], np.int64).view(np.uint64))[0] % np.uint64(chunked[z])) for q, z, x, y in zip(r.tolist(), k.tolist(), i.tolist(), j.tolist(), strict=True)], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(chunk), part.column(0).take(take), part.column(2).take(take), part.column(1).take(take), pa.array([lists[q] for q in r.tolist()], pa.binary())], names=["key", "i", "j", "chunk", "id", "n", "v", "keys"])
-
-    schema = "key long, i int, j int, chunk int, id long, n long, v array<double>, keys binary"
+                starts = np.searchsorted(rows, np.arange(part.num_rows + 1))
+                lists = pa.array([keys[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), part.column(0).take(take), part.column(2).take(take), part.column(1).take(take), lists.take(take)], names=["key", "id", "n", "v", "keys"])
+
+    rows = firsts.select("id", "v", "n").mapInArrow(tidy(deal), "key long, id long, n long, v array<double>, keys binary")
+    if n_hot:
+        # a leaf of k chunks becomes the pairs of its chunks, each compared by a task of its own
+        rows = rows.join(F.broadcast(hot) if n_hot <= 50_000 else hot, "key", "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).otherwise(0))
+        pair = F.explode(F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j"))))
+        rows = rows.select("key", pair.alias("p"), "chunk", "id", "n", "v", "keys").select("key", "p.i", "p.j", "chunk", "id", "n", "v", "keys")
+    else:
+        rows = rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("chunk"), "id", "n", "v", "keys")
     compare = _comparer(d, cosine)
-    return firsts.select("id", "v", "n").mapInArrow(deal, schema).groupBy("key", "i", "j").applyInArrow(compare, T.StructType([T.StructField(c, T.LongType()) for c in ("id", "links", "root")]))
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, T.StructType([T.StructField(c, T.LongType()) for c in ("id", "links", "root")]))
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -220,7 +215,9 @@ def _comparer(d: int, cosine: float):
         some = (links > 0) | (root != np.arange(len(ids)))
         low = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(low, root, ids)
-        return pa.table({"id": ids[some], "links": links[some], "root": low[root][some]})
+        out = pa.table({"id": ids[some], "links": links[some], "root": low[root][some]})
+        release()
+        return out
 
     return compare
 

@@ -145,7 +145,7 @@ def test_chunked_lines(spark, monkeypatch):
         return union(links, range(len(sims)))
 
     want = roots()
-    monkeypatch.setattr(lines, "max", lambda *a: 25 if a[0] == 20_000 else __builtins__["max"](*a), raising=False)
+    monkeypatch.setattr(lines, "CHUNK", 25)
     assert roots() == want == union([(i, j) for i, j in itertools.combinations(range(len(sims)), 2) if (sims[i] ^ sims[j]).bit_count() <= 3], range(len(sims)))
 
 
