@@ -202,6 +202,6 @@ def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text", min_sc
     if not filters.languages:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
     found = identify(docs, filters, text_col, f"{TMP}lang", f"{TMP}score")
-    s, n = F.col(f"{TMP}score"), F.greatest(F.length(text_col), F.lit(1))
+    s, n = F.col(f"{TMP}score"), F.greatest(F.length(text_col), F.lit(1)).cast("double")
     upper = (s + 2 / n + 2 * F.sqrt(s * (1 - s) / n + 1 / (n * n))) / (1 + 4 / n)
     return found.where((F.col(f"{TMP}lang") != UNKNOWN) & (upper >= min_score)).select(*docs.columns)
