@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -52,40 +52,51 @@ def stream_skip_within(rows: DataFrame, keys: Sequence[str], seconds: float, ts:
     return keyed.groupBy(f"{TMP}k").applyInPandasWithState(decide, schema, "kept double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_skip_within_to(rows: DataFrame, keys: Sequence[str], seconds: float, order: Sequence[str], out: str, checkpoint: str, ts: str = "ts"):
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    """The part of the history that a key is in."""
+    return F.pmod(F.xxhash64(*[blank(k) for k in keys]), F.lit(buckets)).cast("int")
+
+
+def _history(batch: DataFrame, number: int, keys: Sequence[str], out: str, buckets: int) -> DataFrame | None:
+    """The rows that earlier batches wrote to those buckets that this batch has keys of."""
+    if not number:
+        return None
+    some = [r[0] for r in batch.select(_bucket(keys, buckets)).distinct().collect()]  # at most `buckets` numbers
+    schema = T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+    return batch.sparkSession.read.schema(schema).parquet(out).where(F.col("bucket").isin(some) & (F.col("batch") < number))
+
+
+def _append(kept: DataFrame, number: int, keys: Sequence[str], out: str, buckets: int) -> None:
+    tagged = kept.withColumns({"bucket": _bucket(keys, buckets), "batch": F.lit(number).cast("long")})
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(out)
+
+
+def stream_skip_within_to(rows: DataFrame, keys: Sequence[str], seconds: float, order: Sequence[str], out: str, checkpoint: str, ts: str = "ts", buckets: int = 64):
     """T3 for batches of any size: each batch goes through the greedy rule of skip_within, which thins and streams sorted
     rows and collects no key. The last kept time of each key comes from the rows that earlier batches wrote.
 
-    A batch writes to a folder of its own number, and reads only those of smaller numbers, so a batch that is run again
+    Rows are kept by bucket of their key and by batch, so a batch reads the history of its own buckets only; it writes
+    under its own number and reads only smaller ones, so a batch that is run again
     gives the same rows once. No row is dropped as late: one before the last kept row of its key is within the period.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = None
-        if number:
-            seen = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])).parquet(out).where(F.col("batch") < number)
-            last = seen.groupBy(*[blank(k).alias(k) for k in keys]).agg(F.max(seconds_of(ts)).alias("kept_at"))
-        kept = skip_within(batch, keys, seconds, order, ts, last_kept=last).withColumn("batch", F.lit(number).cast("long"))
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        seen = _history(batch, number, keys, out, buckets)
+        last = None if seen is None else seen.groupBy(*[blank(k).alias(k) for k in keys]).agg(F.max(seconds_of(ts)).alias("kept_at"))
+        _append(skip_within(batch, keys, seconds, order, ts, last_kept=last), number, keys, out, buckets)
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 
 
-def stream_skip_ever(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, checkpoint: str):
+def stream_skip_ever(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, checkpoint: str, buckets: int = 64):
     """T4: each batch against the keys kept by earlier batches, which grow in the table `out` and not in memory.
 
-    A batch writes to a folder of its own number, and reads only those of smaller numbers, so a batch that
-    is run again gives the same rows once.
+    The table has one row for each key, by bucket of the key and by batch: a batch reads the keys of its own buckets only. It
+    writes under its own number and reads only smaller ones, so a batch that is run again gives the same rows once.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = None
-        if number:
-            seen = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])).parquet(out).where(F.col("batch") < number)
-        kept = skip_ever(batch, seen, keys, order).withColumn("batch", F.lit(number).cast("long"))
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        _append(skip_ever(batch, _history(batch, number, keys, out, buckets), keys, order), number, keys, out, buckets)
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 

@@ -49,3 +49,32 @@ def test_skip_ever_and_counts(spark, files):
     counts = run(spark, streaming.rows_so_far(streaming.stream_rows(spark, path, SCHEMA, files_per_trigger=1), "k"), f"{folder}/c", "update")
     want = {r.k: r["count"] for r in spark.read.parquet(path).groupBy("k").count().collect()}
     assert {r.k: r.n for r in counts.groupBy("k").agg(F.max("n_rows").alias("n")).collect()} == want
+
+
+def test_watermark_timer_and_late_rows(spark, tmp_path):
+    """Rows behind the watermark are dropped; the state of a key goes when its period and the watermark are over."""
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    slices = [[("a", at(0))], [("a", at(0, 30)), ("a", at(2))], [("a", at(2, 20)), ("b", at(6))], [("a", at(1)), ("b", at(6, 10))], [("a", at(7)), ("b", at(6, 50))]]
+    live = streaming.stream_rows(spark, str(tmp_path / "in"), "k string, ts timestamp", files_per_trigger=1)
+    sizes, query = [], None
+    for part in slices:
+        spark.createDataFrame(part, "k string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = streaming.stream_skip_within(live, ["k"], 3600, lateness="10 minutes").writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r.k, r.ts) for r in spark.read.schema("k string, ts timestamp").parquet(str(tmp_path / "out")).collect())
+    # 1:00 came behind the watermark of 5:50, else it would be within the period of no kept row; 7:00 is kept anew
+    assert got == [("a", at(0)), ("a", at(2)), ("a", at(7)), ("b", at(6))]
+    assert sizes[0] == 1 and min(sizes[2:4]) == 1  # only b's state is left once a's period is over
+
+
+def test_history_by_buckets(spark, files):
+    """Several batches give what one pass over all rows gives, whatever the number of buckets."""
+    path, folder = files
+    for buckets in (1, 7):
+        live = streaming.stream_rows(spark, path, SCHEMA, files_per_trigger=1)
+        streaming.stream_skip_within_to(live, ["k"], 3600, ["ts", "n"], f"{folder}/w{buckets}", f"{folder}/cw{buckets}", buckets=buckets).trigger(availableNow=True).start().awaitTermination()
+        out = spark.read.parquet(f"{folder}/w{buckets}")
+        keys = sorted((r.k or "", r.ts) for r in out.collect())
+        assert all((b[1] - a[1]).total_seconds() > 3600 for a, b in zip(keys, keys[1:], strict=False) if a[0] == b[0])
+        assert {k for k, _ in keys} == {"", "a", "b", "c"} and {"bucket", "batch"} <= set(out.columns)
