@@ -55,8 +55,9 @@ def test_watermark_timer_and_late_rows(spark, tmp_path):
     """Rows behind the watermark are dropped; the state of a key goes when its period and the watermark are over."""
     at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
     slices = [[("a", at(0))], [("a", at(0, 30)), ("a", at(2))], [("a", at(2, 20)), ("b", at(6))], [("a", at(1)), ("b", at(6, 10))], [("a", at(7)), ("b", at(6, 50))]]
+    (tmp_path / "in").mkdir()
     live = streaming.stream_rows(spark, str(tmp_path / "in"), "k string, ts timestamp", files_per_trigger=1)
-    sizes, query = [], None
+    sizes = []
     for part in slices:
         spark.createDataFrame(part, "k string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         query = streaming.stream_skip_within(live, ["k"], 3600, lateness="10 minutes").writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
