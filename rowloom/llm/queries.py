@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, jaccard, lang, lines, pii, quality, toxicity, vectors
+from . import bpe, decontam, html, jaccard, lang, lines, merkle, periods, pii, quality, sentpiece, toxicity, vectors
 from .common import held_out, table
 
 
@@ -85,13 +85,44 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periods.detect(docs, repeat=F.crc32(F.col("doc_id").cast("string")))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"], {"text": lower})
+
+
+@cache
+def piece_model(path: str | None = None) -> bytes:
+    """The content of a model file, read where the job is planned and sent to the tasks."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return Path(path).read_bytes()
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sentpiece.encode(docs, piece_model(), decoded_col="decoded")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_html": op2_html, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_vectors": op6_vectors, "op7_lines": op7_lines, "op8_jaccard": op8_jaccard, "op9_decontaminate": op9_decontaminate, "op10_bpe": op10_bpe}
+    return {"op1_language": op1_language, "op2_html": op2_html, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_vectors": op6_vectors, "op7_lines": op7_lines, "op8_jaccard": op8_jaccard, "op9_decontaminate": op9_decontaminate, "op10_bpe": op10_bpe, "op11_periods": op11_periods, "op12_merkle": op12_merkle, "op13_pieces": op13_pieces}
 
 
 #: A-Z as a-z, then runs of letters, digits and all characters beyond ASCII.
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
+#: Unsigned crc32 of the id as text, bit by bit.
+_CRC = "xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])), lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295), 4294967295)"
+_IDS = "CAST(doc_id AS VARCHAR) AS s"
+
 _ORACLES = {
     # the article that every page of these tables has, as SQL can cut it out of markup this regular
     "op2_html": r"""
@@ -113,7 +144,46 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)
 """,
 }
 
+_ORACLES |= {
+    # stretches of equal 16-grams at one distance are the diagonals of all runs; of one stretch's periods the smallest counts
+    "op11_periods": rf"""
+WITH i AS (SELECT row_number() OVER () AS r, doc_id, {_IDS}, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT r, doc_id, w, len(w) AS n, {_CRC} AS h FROM i),
+a AS (SELECT r, doc_id, w, n, h % 10 = 0 AND n > 0 AS planted, (h // 10) % greatest(n, 1) AS a, (h // 10) % 8 AS m FROM h),
+d AS (SELECT r, doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda k: w[1 + CASE WHEN k < a THEN k ELSE a + (k - a) % (1 + (n - a) // (3 + m)) END]) ELSE w END AS w FROM a),
+g AS (SELECT r, n, k, array_to_string(w[k + 1:k + 16], ' ') AS g FROM (SELECT r, n, w, unnest(range(n - 15)) AS k FROM d WHERE n >= 24)),
+p AS (SELECT x.r, x.k, y.k - x.k AS q FROM g x JOIN g y ON x.r = y.r AND x.g = y.g AND y.k > x.k AND 3 * (y.k - x.k) <= x.n),
+s AS (SELECT r, q, min(k) AS a, max(k) + 16 + q - min(k) AS n FROM (SELECT r, q, k, k - row_number() OVER (PARTITION BY r, q ORDER BY k) AS island FROM p) GROUP BY r, q, island),
+u AS (SELECT r, a, n, min(q) AS q FROM s WHERE n >= greatest(24, 3 * q) GROUP BY r, a, n),
+o AS (SELECT r, count(*) AS n_runs, list({{'a': a, 'n': n, 'q': q}} ORDER BY n / q DESC, a, q) AS runs, string_agg(a || ',' || n || ',' || q || chr(10), '' ORDER BY a, q) AS listed FROM u GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, runs[1].a AS start, runs[1].n AS length, runs[1].q AS period, 1000 * runs[1].n // runs[1].q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN n_runs > 0 THEN list_filter(w, lambda x, k: len(list_filter(runs, lambda z: k - 1 >= z.a + z.q AND k - 1 < z.a + z.n)) = 0) ELSE w END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN o USING (r)
+""",
+    # both trees level by level, then each leaf's climb past its siblings
+    "op12_merkle": f"""
+WITH RECURSIVE f AS (SELECT *, {_IDS} FROM documents),
+t AS (SELECT *, CASE WHEN {_CRC} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS low FROM f),
+e AS (SELECT doc_id, source, text, low, {" || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars"))} AS head FROM t),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS folded FROM e),
+n AS (SELECT *, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+low AS (SELECT tree, pos, 0 AS lev, leaf AS h, n FROM n UNION ALL SELECT tree, pos // 16, lev + 1, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 15) // 16) FROM low WHERE n > 1 GROUP BY tree, pos // 16, lev),
+subroots AS (SELECT tree, h FROM low WHERE n = 1),
+top AS (SELECT tree AS pos, 0 AS lev, h, (SELECT count(*) FROM subroots) AS n FROM subroots UNION ALL SELECT pos // 16, lev + 1, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 15) // 16) FROM top WHERE n > 1 GROUP BY pos // 16, lev),
+nodes AS (SELECT tree, lev, pos, h, n FROM low UNION ALL SELECT -1, lev, pos, h, n FROM top),
+sib AS (SELECT x.tree, x.lev, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS a, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS b
+  FROM nodes x JOIN nodes y ON x.tree = y.tree AND x.lev = y.lev AND x.pos // 16 = y.pos // 16 WHERE x.n > 1 GROUP BY x.tree, x.lev, x.pos),
+r AS (SELECT row_number() OVER () AS r, * FROM n),
+c AS (SELECT r, tree, 0 AS lev, pos, folded, '' AS proof FROM r UNION ALL SELECT r, c.tree, c.lev + 1, c.pos // 16, sha256(a || folded || b), proof || a || b FROM c JOIN sib ON sib.tree = c.tree AND sib.lev = c.lev AND sib.pos = c.pos),
+m AS (SELECT r, max(lev) AS lev FROM c GROUP BY r),
+c2 AS (SELECT r, 0 AS lev, tree AS pos, folded, proof FROM c JOIN m USING (r, lev) UNION ALL SELECT r, c2.lev + 1, c2.pos // 16, sha256(a || folded || b), proof || a || b FROM c2 JOIN sib ON sib.tree = -1 AND sib.lev = c2.lev AND sib.pos = c2.pos),
+m2 AS (SELECT r, max(lev) AS lev FROM c2 GROUP BY r)
+SELECT doc_id, leaf, subroots.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256, c2.folded AS folded_root, c2.folded = top.h AS verified
+FROM r JOIN m2 USING (r) JOIN c2 USING (r, lev) JOIN subroots ON subroots.tree = r.tree, top WHERE top.n = 1
+""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the two queries that it can express; the others are tested against brute force."""
+    """SQL for the four queries that it can express; the others are tested against brute force."""
     return dict(_ORACLES)
