@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nodes import COLUMNS, NODE_COLUMNS, at_xpath, element, select_nodes
+
 # How readable a property is for people.
 READABLE = {
     "textContent": 12, "preColonText": 11, "preceding-text": 10, "previousElementSiblingText": 10, "firstWord": 10, "firstTwoWords": 10, "firstThreeWords": 10, "lastWord": 10, "possibleHeading": 10,
@@ -23,12 +25,24 @@ def require_features(nodes: DataFrame, required: Mapping[str, object]) -> DataFr
 
 
 def find_by_xpath(nodes: DataFrame, xpath: str | DataFrame) -> DataFrame:
-    """The nodes at one xpath, or at the (page_id, xpath) pairs of a table."""
+    """The nodes at one xpath, or at the (page_id, xpath) pairs of a table. At one xpath, `nodes` may be a layout of pages."""
+    if isinstance(xpath, str) and "nodes" in nodes.columns:
+        return select_nodes(nodes, at_xpath(xpath))
     return nodes.where(F.col("xpath") == xpath) if isinstance(xpath, str) else nodes.join(xpath.select("page_id", "xpath").distinct(), ["page_id", "xpath"], "left_semi")
 
 
 def find_by_similarity(nodes: DataFrame, snapshot: Mapping[str, object], required: Mapping[str, object] | None = None) -> DataFrame:
-    """Each page's node with the most properties equal to the snapshot, among those with all required ones; ties go to the first."""
+    """Each page's node with the most properties equal to the snapshot, among those with all required ones; ties go to the first.
+
+    `nodes` is a layout of pages (no shuffle: scores are compared page by page, texts and paths made for the best ones and compared properties only) or rows of elements.
+    """
+    if "nodes" in nodes.columns:
+        equal = lambda n, props: [COLUMNS[p](n).eqNullSafe(F.lit(v)) for p, v in props.items()]
+        good = F.filter("nodes", lambda n: reduce(and_, equal(n, required or {}), F.lit(True)))
+        best = F.array_max(F.transform(good, lambda n: F.struct(reduce(add, [e.cast("int") for e in equal(n, snapshot)], F.lit(0)).alias("score"), (-n["n"]).alias("back"))))
+        chosen = nodes.withColumn("_rl_best", best).where("_rl_best is not null")
+        node = element(-F.col("_rl_best.back"))
+        return chosen.select("page_id", "url", *[COLUMNS[c](node).alias(c) for c in NODE_COLUMNS], F.col("_rl_best.score").alias("score"))
     score = reduce(add, [F.col(p).eqNullSafe(F.lit(v)).cast("int") for p, v in snapshot.items()], F.lit(0))
     scored = require_features(nodes, required or {}).withColumn("score", score)
     best = scored.groupBy("page_id").agg(F.max_by(F.struct(*[c for c in scored.columns if c != "page_id"]), F.struct(F.col("score"), -F.col("doc_order"))).alias("n"))

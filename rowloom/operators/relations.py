@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import nodes as pages
 from .base import blank, first_by
 
 
@@ -23,7 +24,11 @@ class RelationSpec:
 
 
 def find_relations(nodes: DataFrame, least: int = 2) -> DataFrame:
-    """Groups of sibling elements of one kind: page_id, parent_xpath, tag, n_rows."""
+    """Groups of sibling elements of one kind: page_id, parent_xpath, tag, n_rows. `nodes` is a layout of pages (no shuffle) or rows of elements."""
+    if "nodes" in nodes.columns:
+        found = F.filter("nodes", lambda n: n["parent"].isNotNull() & (n["nth"] == 1) & (n["alike"] >= least))
+        groups = F.transform(found, lambda n: F.struct(pages.xpath_of(pages.element(n["parent"])).alias("parent_xpath"), n["tag"].alias("tag"), n["alike"].cast("long").alias("n_rows")))
+        return nodes.select("page_id", F.inline(groups))
     parent = F.regexp_replace("xpath", r"/[^/]*$", "")
     return nodes.where("parent_id is not null").groupBy("page_id", parent.alias("parent_xpath"), "tag").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= least)
 
@@ -47,6 +52,11 @@ def infer_row_selector(nodes: DataFrame, cells: Sequence[str]) -> DataFrame:
     All candidates are counted in one pass over the nodes: each node is a cell of the candidates that select it.
     """
     specs = row_selectors(cells)
+    if specs and "nodes" in nodes.columns:
+        counted = nodes.select(*_with_base(specs)[1]).select(*[F.size(F.filter(_rows_at(s, F.col(f"_rl_base{k}")), _whole)).alias(f"n{k}") for k, s in enumerate(specs)])
+        total = counted.agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(specs))])
+        each = F.array(*[F.struct(F.lit(s.row_selector).alias("selector"), F.lit(k).alias("seq"), F.coalesce(F.col(f"n{k}"), F.lit(0)).cast("long").alias("n_rows")) for k, s in enumerate(specs)])
+        return total.select(F.inline(each))
     if not specs:
         return nodes.sparkSession.createDataFrame([], "selector string, seq int, n_rows long")
     none = F.lit(None).cast("struct<seq:int,row_no:int,cell:string>")
@@ -80,6 +90,36 @@ def best_candidate(candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return best.where("best is not null").select(*by, "best.*")
 
 
+def _with_base(specs: Sequence[RelationSpec]) -> tuple[list[str], list[str | Column]]:
+    """A layout's columns, with the element above the rows of each table."""
+    names = [f"_rl_base{k}" for k in range(len(specs))]
+    base = []
+    for s in specs:
+        head = s.row_selector.partition("[*]")[0].rpartition("/")[0]
+        base.append(F.get(F.filter("nodes", pages.at_xpath(head)), F.lit(0)) if head else F.lit(None))
+    return names, ["page_id", "page_text", "page_paths", "nodes", *[b.alias(n) for b, n in zip(base, names, strict=True)]]
+
+
+def _rows_at(spec: RelationSpec, base: Column) -> Column:
+    """The numbered elements of a page's table, in order: struct(row_no, cells), a cell for each column, null where it is missing."""
+    head, _, tail = spec.row_selector.partition("[*]")
+    tag, below = head.rpartition("/")[2], pages.steps_of(tail)
+
+    def row(n: Column) -> Column:
+        top = pages.child_at(n, below)
+        return F.struct(n["nth"].alias("row_no"), F.array(*[pages.child_at(top, pages.steps_of(p)) for p in spec.columns.values()]).alias("cells"))
+
+    if head.rpartition("/")[0]:
+        rows = F.filter(F.slice(F.col("nodes"), base["n"] + 2, base["last"] - base["n"]), lambda n: (n["parent"] == base["n"]) & (n["tag"] == tag))
+    else:
+        rows = F.filter("nodes", lambda n: n["parent"].isNull() & (n["tag"] == tag))
+    return F.transform(rows, row)
+
+
+def _whole(row: Column) -> Column:
+    return F.forall(row["cells"], lambda c: c.isNotNull())
+
+
 def _cells(nodes: DataFrame, spec: RelationSpec) -> DataFrame:
     """(page_id, row_no, column, text, link) of every cell that the spec selects."""
     names = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c")) for c, p in spec.columns.items()])
@@ -91,8 +131,15 @@ def _cells(nodes: DataFrame, spec: RelationSpec) -> DataFrame:
 def extract_rows(nodes: DataFrame, spec: RelationSpec) -> DataFrame:
     """page_id, row_idx (from 1) and <column>_text, <column>_link for each row of the table; missing cells are empty.
 
-    The columns are known, so there is no pivot job; one exchange by page and row.
+    `nodes` is a layout of pages or rows of elements. In a layout a table's rows stand side by side below one element, so rows come out page by page
+    without a shuffle, and texts and links are made for their cells only; of rows of elements, one exchange by page and row (no pivot job) puts the cells together.
     """
+    if "nodes" in nodes.columns:
+        found = F.filter(_rows_at(spec, F.col("_rl_base0")), lambda r: F.exists(r["cells"], lambda c: c.isNotNull()))
+        get = lambda r, k, f: F.coalesce(f(F.get(r["cells"], F.lit(k))), F.lit(""))
+        rows = F.transform(found, lambda r: F.struct(*[get(r, k, f).alias(f"{c}_{what}") for k, c in enumerate(spec.columns) for what, f in (("text", pages.text_of), ("link", pages.link_of))]))
+        numbered = nodes.select(*_with_base([spec])[1]).select("page_id", F.posexplode(rows).alias("_rl_i", "_rl_r")).select("page_id", (F.col("_rl_i") + 1).cast("long").alias("row_idx"), "_rl_r.*")
+        return exclude_first(numbered, spec.exclude_first) if spec.exclude_first else numbered
     values = [f(F.when(F.col("column") == c, F.col(k))).alias(f"{c}_{k}") for c in spec.columns for k, f in (("text", F.max), ("link", F.max))]
     rows = _cells(nodes, spec).groupBy("page_id", "row_no").agg(*values)
     cells = [blank(f"{c}_{k}").alias(f"{c}_{k}") for c in spec.columns for k in ("text", "link")]

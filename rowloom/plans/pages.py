@@ -30,14 +30,14 @@ SELECT page_id, row_idx, item_text, item_link FROM c QUALIFY row_number() OVER (
 """)
 def nav_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The navigation table of every page, each item once a page."""
-    rows = relations.extract_rows(nodes.parse_nodes(read_pages(spark, f"{sf_dir}/pages.parquet")), NAV)
+    rows = relations.extract_rows(nodes.page_layout(read_pages(spark, f"{sf_dir}/pages.parquet")), NAV)
     return skip.skip_this_run(rows, ["item_text", "item_link"], ["row_idx"], run="page_id")
 
 
 @query(f"""SELECT page_id, trim(regexp_replace({_plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '\\s+', ' ', 'g')) AS title FROM pages""")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N1 P2."""
-    found = nodes.parse_nodes(read_pages(spark, f"{sf_dir}/pages.parquet"))
+    found = nodes.page_layout(read_pages(spark, f"{sf_dir}/pages.parquet"))
     return predicates.find_by_xpath(found, "/html[1]/head[1]/title[1]").select("page_id", F.col("text").alias("title"))
 
 
@@ -46,13 +46,13 @@ SELECT page_id, '/html[1]/body[1]/nav[1]/ul[1]' AS parent_xpath, 'li' AS tag, le
 """)
 def nav_tables_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all tables found on the pages, those whose rows are list items."""
-    return relations.find_relations(nodes.parse_nodes(read_pages(spark, f"{sf_dir}/pages.parquet"))).where("tag = 'li'")
+    return relations.find_relations(nodes.page_layout(read_pages(spark, f"{sf_dir}/pages.parquet"))).where("tag = 'li'")
 
 
 @query()
 def find_relations_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repeated group of elements."""
-    return relations.find_relations(nodes.parse_nodes(read_pages(spark, f"{sf_dir}/pages.parquet")))
+    return relations.find_relations(nodes.page_layout(read_pages(spark, f"{sf_dir}/pages.parquet")))
 
 
 @query("""
@@ -60,21 +60,21 @@ SELECT '/html[1]/body[1]/nav[1]/ul[1]/li[*]' AS selector, CAST(4 AS INTEGER) AS
 """)
 def best_row_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest table that a demonstrated navigation link generalises to."""
-    found = nodes.parse_nodes(read_pages(spark, f"{sf_dir}/pages.parquet"))
+    found = nodes.page_layout(read_pages(spark, f"{sf_dir}/pages.parquet"))
     return relations.best_candidate(relations.infer_row_selector(found, ["/html[1]/body[1]/nav[1]/ul[1]/li[1]/a[1]"])).select("selector", "seq", "n_rows")
 
 
 @query()
 def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N4-N10."""
-    found = nodes.child_features(nodes.context_features(nodes.parse_nodes(read_pages(spark, f"{sf_dir}/pages.parquet"))))
+    found = nodes.parse_nodes(read_pages(spark, f"{sf_dir}/pages.parquet"), columns=list(nodes.COLUMNS))
     return nodes.text_features(found).withColumn("background", nodes.style_value(F.col("style"), "background-color"))
 
 
 @query()
 def similar_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On each page the node most like a recorded heading."""
-    found = nodes.parse_nodes(read_pages(spark, f"{sf_dir}/pages.parquet"))
+    found = nodes.page_layout(read_pages(spark, f"{sf_dir}/pages.parquet"))
     return predicates.find_by_similarity(found, {"tag": "h1", "xpath": "/html[1]/body[1]/article[1]/h1[1]", "depth": 3}, {"link": None}).select("page_id", "node_id", "xpath", "text", "score")
 
 

@@ -19,8 +19,8 @@ def _new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.parse_nodes(sources.read_pages(spark, f"{sf_dir}/pages.parquet"))
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.page_layout(sources.read_pages(spark, f"{sf_dir}/pages.parquet"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS c0, coalesce(text, '') AS c1, coalesce(lang, '') AS c2 FROM documents")
@@ -105,20 +105,20 @@ c AS (SELECT page_id, i, trim({_plain("texts[i]")}) AS item_text, host || regexp
 def nav_without_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first row is a heading."""
     spec = relations.RelationSpec(NAV.name, NAV.row_selector, NAV.columns, exclude_first=1)
-    return relations.extract_rows(_nodes(spark, sf_dir), spec)
+    return relations.extract_rows(_layout(spark, sf_dir), spec)
 
 
 @query(f"WITH {_NAV} SELECT 'nav' AS relation, page_id, i AS row_idx, item_text AS text FROM c UNION ALL SELECT 'rows', page_id, i, item_text FROM c")
 def two_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tables of the same pages: the links, and their rows as a whole."""
-    found = relations.extract_relations(_nodes(spark, sf_dir), [NAV, relations.RelationSpec("rows", NAV.row_selector, {"item": ""})])
+    found = relations.extract_relations(_layout(spark, sf_dir), [NAV, relations.RelationSpec("rows", NAV.row_selector, {"item": ""})])
     return found["nav"].select(F.lit("nav").alias("relation"), "page_id", "row_idx", F.col("item_text").alias("text")).unionByName(found["rows"].select(F.lit("rows").alias("relation"), "page_id", "row_idx", F.col("item_text").alias("text")))
 
 
 @query(f"WITH {_NAV} SELECT page_id, i AS row_idx, item_text AS relation_1_item_1_text, item_link AS relation_1_item_1_link FROM c")
 def renamed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default names for the columns of a table."""
-    rows = relations.extract_rows(_nodes(spark, sf_dir), NAV)
+    rows = relations.extract_rows(_layout(spark, sf_dir), NAV)
     return relations.rename(rows, dict(zip(NAV.columns, relations.default_names(1, len(NAV.columns)), strict=True)))
 
 
@@ -129,8 +129,8 @@ UNION ALL SELECT page_id, '/html[1]/head[1]/title[1]', trim(regexp_replace({_pla
 """)
 def edited_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The column of navigation links without each page's first one, with its title."""
-    found = _nodes(spark, sf_dir)
-    links = found.where(F.col("xpath").rlike(r"^/html\[1\]/body\[1\]/nav\[1\]/ul\[1\]/li\[\d+\]/a\[1\]$"))
+    found = _layout(spark, sf_dir)
+    links = nodes.select_nodes(found, lambda n: (n["tag"] == "a") & (n["depth"] == 5)).where(F.col("xpath").rlike(r"^/html\[1\]/body\[1\]/nav\[1\]/ul\[1\]/li\[\d+\]/a\[1\]$"))
     first = predicates.find_by_xpath(found, "/html[1]/body[1]/nav[1]/ul[1]/li[1]/a[1]")
     return relations.edit_cells(links, add=predicates.find_by_xpath(found, "/html[1]/head[1]/title[1]"), remove=first).select("page_id", "xpath", "text")
 
@@ -206,8 +206,7 @@ FROM c JOIN t USING (page_id)
 """)
 def nav_item_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each navigation item: the item before, the text before, no heading yet, its children."""
-    found = nodes.child_features(nodes.context_features(_nodes(spark, sf_dir)))
-    items = found.where(F.col("xpath").rlike(r"^/html\[1\]/body\[1\]/nav\[1\]/ul\[1\]/li\[\d+\]$"))
+    items = nodes.select_nodes(_layout(spark, sf_dir), lambda n: (n["tag"] == "li") & (n["depth"] == 4), list(nodes.COLUMNS)).where(F.col("xpath").rlike(r"^/html\[1\]/body\[1\]/nav\[1\]/ul\[1\]/li\[\d+\]$"))
     names = {"previousElementSiblingText": "previous", "precedingText": "preceding", "possibleHeading": "heading", "childTag": "child_tag", "childText": "child_text", "lastChildTag": "last_child_tag", "lastChildText": "last_child_text"}
     return items.select("page_id", F.col("sib_index").cast("long").alias("sib_index"), "text", *[F.col(a).alias(b) for a, b in names.items()])
 
@@ -218,7 +217,7 @@ _H1 = f"trim(regexp_replace(regexp_replace({_plain("regexp_extract(html, '(?s)<h
 @query(f"SELECT page_id, {_H1} AS heading, CAST(len(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '', 'g'), '<p[ >]')) AS BIGINT) AS n_paragraphs FROM pages WHERE regexp_matches(html, '<p[ >]')")
 def paragraph_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs by the heading before them."""
-    found = nodes.context_features(_nodes(spark, sf_dir)).where("tag = 'p'")
+    found = nodes.select_nodes(_layout(spark, sf_dir), lambda n: n["tag"] == "p", ["possibleHeading"])
     return found.groupBy("page_id", F.col("possibleHeading").alias("heading")).agg(F.count("*").alias("n_paragraphs"))
 
 
@@ -226,7 +225,7 @@ def paragraph_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the nodes outside links, on each page the one most like a recorded heading."""
     snapshot = {"tag": "h1", "sib_index": 1, "depth": 3}
-    return predicates.find_by_similarity(_nodes(spark, sf_dir), snapshot, {"link": None}).select("page_id", "text", "score")
+    return predicates.find_by_similarity(_layout(spark, sf_dir), snapshot, {"link": None}).select("page_id", "text", "score")
 
 
 @query("""
