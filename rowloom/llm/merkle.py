@@ -2,8 +2,8 @@
 
 Levels are built bottom up, 16 nodes at a time, and stored as node rows that name their parent. One recursive query then climbs from the
 leaves to the root: it appends the siblings of each level to the proof, and folds the (possibly tampered) digest with them. The 16 leaves of a
-node differ in their own digests and in their siblings of the first level only, so they climb as one row with an array of folded
-digests; each leaf's first siblings are put in front at the end.
+node differ in their own digests and in their siblings of the first level only, so they climb as one row with their folded digests
+side by side; each leaf's first siblings are put in front at the end.
 
 Nothing is gathered by source: leaves are numbered by ranges, a node has 16 parts at most, and a node row is copied to each block of
 65,536 leaves below it (and each 16 sources), so that no join key has more rows than a block has runs. All of it is Spark's own expressions.
@@ -91,16 +91,16 @@ def _copied(nodes: DataFrame, sources: DataFrame) -> DataFrame:
 
 _CLIMB = """
 WITH RECURSIVE climb AS (
-  SELECT tree, part, ids, leaves, kids, folded, above, hash, subroot, up_tree, up_of, up_level, up_pos, place FROM {start}
+  SELECT tree, part, ids, kids, folded, above, hash, subroot, up_tree, up_of, up_level, up_pos, place FROM {start}
   UNION ALL
-  SELECT c.tree, c.part, c.ids, c.leaves, c.kids,
-    transform(c.folded, f -> unhex(sha2(lower(hex(concat(substring(n.kids, 1, 32 * c.place), f, substring(n.kids, 32 * c.place + 33)))), 256))),
+  SELECT c.tree, c.part, c.ids, c.kids,
+    unhex(array_join(transform(sequence(0, size(c.ids) - 1), i -> sha2(lower(hex(concat(substring(n.kids, 1, 32 * c.place), substring(c.folded, 32 * i + 1, 32), substring(n.kids, 32 * c.place + 33)))), 256)), '')),
     concat(c.above, substring(n.kids, 1, 32 * c.place), substring(n.kids, 32 * c.place + 33)),
     n.hash, CASE WHEN n.ends THEN n.hash ELSE c.subroot END,
     n.up_tree, CASE WHEN n.up_tree = -1 THEN c.tree div 16 ELSE CAST(0 AS BIGINT) END, n.up_level, n.up_pos, n.place
   FROM climb c JOIN {nodes} n ON n.tree = c.up_tree AND n.level = c.up_level AND n.pos = c.up_pos AND n.of = c.up_of AND n.part = c.part
 )
-SELECT ids, leaves, kids, folded, above, subroot, hash FROM climb WHERE up_tree IS NULL
+SELECT ids, kids, folded, above, subroot, hash FROM climb WHERE up_tree IS NULL
 """
 
 
@@ -163,18 +163,19 @@ def manifest(df: DataFrame, id_col: str, source_col: str, fields: list[str], tam
     linked = _linked(runs.select("tree", "pos", "n", "kids", "hash").where("n > 1"), 1, size).unionByName(_linked(runs.where("n = 1").select("tree", "pos", "n", "kids", "hash"), 0, size))
     at = F.col("tree").alias("t"), F.col("pos").alias("p")
     start = runs.join(linked.select(*at, "ends", "up_tree", "up_level", "up_pos", "place"), (F.col("tree") == F.col("t")) & (F.col("pos") == F.col("p")))
-    folded = F.transform("l", lambda x, i: _fold(F.col("kids"), i, F.coalesce(x.folded, x.leaf), F.col("n")))
+    folded = F.unhex(F.array_join(F.transform("l", lambda x, i: F.hex(_fold(F.col("kids"), i, F.coalesce(x.folded, x.leaf), F.col("n")))), ""))
     start = start.select(
-        "tree", F.floor(F.col("pos") * WIDTH / BLOCK).alias("part"), F.col("l.id").alias("ids"), F.col("l.leaf").alias("leaves"), "kids", folded.alias("folded"), F.lit(b"").alias("above"), "hash",
+        "tree", F.floor(F.col("pos") * WIDTH / BLOCK).alias("part"), F.col("l.id").alias("ids"), "kids", folded.alias("folded"), F.lit(b"").alias("above"), "hash",
         F.when(F.col("ends"), F.col("hash")).alias("subroot"), "up_tree", F.when(F.col("up_tree") == TOP, F.floor(F.col("tree") / WIDTH)).otherwise(F.lit(0).cast("long")).alias("up_of"), "up_level", "up_pos", "place",
     )
     nodes = stored(_copied(reduce(DataFrame.unionByName, levels), sources)) if levels else None
     done = _climbed(start, nodes) if nodes is not None else start.where("up_tree is null")
     text = lambda c: F.lower(F.hex(c))
-    rows = done.select("kids", "above", "subroot", "hash", F.posexplode(F.arrays_zip("ids", "leaves", "folded")).alias("i", "x"))
+    rows = done.select("kids", "folded", "above", "subroot", "hash", F.posexplode("ids").alias("i", "id"))
+    one = lambda c: F.substring(c, 32 * F.col("i") + 1, F.lit(32))
     out = rows.select(
-        F.col("x.ids").alias(id_col), text("x.leaves").alias("leaf"), text("subroot").alias("subroot"), text("hash").alias("root"),
-        F.sha2(text(F.concat(_others(F.col("kids"), F.col("i")), "above")), 256).alias("proof_sha256"), text("x.folded").alias("folded_root"), (F.col("x.folded") == F.col("hash")).alias("verified"),
+        F.col("id").alias(id_col), text(one("kids")).alias("leaf"), text("subroot").alias("subroot"), text("hash").alias("root"),
+        F.sha2(text(F.concat(_others(F.col("kids"), F.col("i")), "above")), 256).alias("proof_sha256"), text(one("folded")).alias("folded_root"), (one("folded") == F.col("hash")).alias("verified"),
     )
     if nodes is not None:
         discard(leaves, runs, nodes, *made)
