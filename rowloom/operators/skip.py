@@ -5,14 +5,16 @@ A key is a list of cells; missing and empty cells are equal. The earliest occurr
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import TMP, blank, first_by, key
+from .base import TMP, blank, cut, first_by, key, micros
 from .base import seconds as seconds_of
 
 
@@ -46,33 +48,46 @@ def skip_this_run(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ru
     return first_by(rows, [F.col(run), *[blank(k) for k in keys]], order)
 
 
-def greedy(rows: DataFrame, keys: Sequence[str], at: Column, limit: float, order: Sequence[str], last_kept: DataFrame | None = None) -> DataFrame:
+def greedy(rows: DataFrame, keys: Sequence[str], at: Column, limit: float, order: Sequence[str], last_kept: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """The rows that have no kept row of their key within `limit` before them (at equal distance: skipped).
 
-    Kept rows reset the clock, skipped ones do not, so this is no window function: rows are sorted by key
-    and order inside their partitions and streamed past one number, the last kept position. Nothing is
-    collected, whatever a key's number of rows; equal positions of a key are thinned out before the
-    exchange. `last_kept` (keys and `kept_at`, a number) is where earlier runs left off.
+    Kept rows reset the clock, skipped ones do not, so this is no window function. Rows are dealt out by ranges of key and position and
+    streamed past one number, the last kept position, within each part; equal positions of a key are thinned out
+    before the exchange. A key that several parts share needs to know where the part before left off: see `_entries`, which finds that for
+    all parts at once, so a key with most of the rows spreads over all tasks. `last_kept` (keys and `kept_at`, a number) is where
+    earlier runs left off; `parts` sets the number of ranges. Rows without a position are skipped.
     """
-    marked = rows.withColumns({f"{TMP}k": F.to_json(key(keys)), f"{TMP}at": at.cast("double")})
+    k, t, last, part = f"{TMP}k", f"{TMP}at", f"{TMP}last", f"{TMP}part"
+    marked = rows.withColumns({k: F.to_json(key(keys)), t: at.cast("double")}).where(F.col(t).isNotNull())
     # of a key's rows at one position only the first can be kept: a partial aggregate instead of a sort of them all
-    marked = first_by(marked, [f"{TMP}k", f"{TMP}at"], order)
+    marked = first_by(marked, [k, t], order)
+    dealt = marked.repartitionByRange(parts, k, t) if parts else marked.repartitionByRange(k, t)
+    # a checkpoint keeps the parts and their order
+    dealt = cut(dealt.withColumn(part, F.spark_partition_id()).sortWithinPartitions(k, t))
+    before = None
     if last_kept is not None:
-        before = last_kept.select(F.to_json(key(keys)).alias(f"{TMP}k"), F.col("kept_at").cast("double").alias(f"{TMP}last")).groupBy(f"{TMP}k").agg(F.max(f"{TMP}last").alias(f"{TMP}last"))
-        marked = marked.join(before, f"{TMP}k", "left")
+        before = last_kept.select(F.to_json(key(keys)).alias(k), F.col("kept_at").cast("double").alias(last)).groupBy(k).agg(F.max(last).alias(last))
+    entries = _entries(dealt.select(k, t, part), limit, before)
+    if before is not None:
+        dealt = dealt.join(before, k, "left")
     else:
-        marked = marked.withColumn(f"{TMP}last", F.lit(None).cast("double"))
-    dealt = marked.repartition(f"{TMP}k").sortWithinPartitions(f"{TMP}k", f"{TMP}at")
+        dealt = dealt.withColumn(last, F.lit(None).cast("double"))
+    if entries:
+        # of the keys that parts share, as many as there are parts at most
+        found = F.broadcast(rows.sparkSession.createDataFrame(entries, f"{TMP}ek string, {TMP}ep int, {TMP}el double"))
+        dealt = dealt.join(found, (F.col(k) == F.col(f"{TMP}ek")) & (F.col(part) == F.col(f"{TMP}ep")), "left").withColumn(last, F.coalesce(f"{TMP}el", last))
+    if before is not None:
+        dealt = dealt.repartition(part).sortWithinPartitions(part, k, t)
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kept = None, None
         for batch in batches:
             keep = []
-            for n, (k, t, last) in enumerate(zip(*(batch.column(f"{TMP}{c}").to_pylist() for c in ("k", "at", "last")), strict=True)):
-                if k != now:
-                    now, kept = k, last
-                if t is not None and (kept is None or t - kept > limit):
+            for n, (*at_key, t, last) in enumerate(zip(*(batch.column(f"{TMP}{c}").to_pylist() for c in ("part", "k", "at", "last")), strict=True)):
+                if at_key != now:
+                    now, kept = at_key, last
+                if kept is None or t - kept > limit:
                     keep.append(n)
                     kept = t
             yield batch.select(names).take(pa.array(keep, pa.int64()))
@@ -80,18 +95,148 @@ def greedy(rows: DataFrame, keys: Sequence[str], at: Column, limit: float, order
     return dealt.mapInArrow(run, T.StructType([rows.schema[c] for c in names]))
 
 
-def skip_last_runs(rows: DataFrame, keys: Sequence[str], n: int, order: Sequence[str], run_no: str = "run_no", since: str = "commit") -> DataFrame:
+def _entries(dealt: DataFrame, limit: float, before: DataFrame | None) -> list[tuple[str, int, float]]:
+    """(key, part, last kept position before the part) of the keys that several parts share; infinity where nothing of the part is kept.
+
+    Within a part every row leads to a next kept row, and so to the last one kept there (pointer doubling). Neighbouring rows with the same last one form a group: a
+    part's map from entry to exit. An exit leads to one group of the part that holds the first position beyond the limit, so all groups
+    form a forest, and doubling of its pointers marks the groups that each key's first row leads to in log2(parts) rounds of joins. Shared keys are fewer
+    than parts, and only their parts' bounds and entries come to the driver: both are bounded by the number of partitions.
+    """
+    k, t, part = (f"{TMP}{c}" for c in ("k", "at", "part"))
+    spans = dealt.groupBy(k, part).agg(F.min(t).alias("low"), F.max(t).alias("high"))
+    shared = spans.groupBy(k).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(part, "low", "high"))).alias("of")).where("n > 1")
+    starts = shared if before is None else shared.join(before, k, "left")
+    found = starts.select(k, "of", (F.lit(None) if before is None else F.col(f"{TMP}last")).cast("double").alias("last")).collect()
+    if not found:
+        return []
+    spark = dealt.sparkSession
+    bounds = {r[0]: ([x[0] for x in r["of"]], [x["high"] for x in r["of"]]) for r in found}
+
+    def target(name: str, last: float) -> int | None:
+        """The part that holds the key's first position beyond the limit."""
+        parts, highs = bounds[name]
+        n = bisect.bisect_left(highs, True, key=lambda h: h - last > limit)
+        return parts[n] if n < len(parts) else None
+
+    first = {name: (parts[0] if last is None else target(name, last), float("-inf") if last is None else last) for name, last, parts in ((r[0], r["last"], bounds[r[0]][0]) for r in found)}
+    # which parts' exits may lead to a part: ranges in order, so fewer than twice the parts
+    leads: dict[tuple[str, int], list[int]] = {}
+    for r in found:
+        parts, highs = bounds[r[0]]
+        for x in r["of"]:
+            a, b = (bisect.bisect_left(highs, True, key=lambda h, v=v: h - v > limit) for v in (x["low"], x["high"]))
+            for to in parts[a : b + 1]:
+                if to > x[0]:
+                    leads.setdefault((r[0], to), []).append(x[0])
+
+    groups_schema = "k string, part int, g int, high double, leaves double"
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (name, p), pieces in held.items():
+                at = np.concatenate(pieces)
+                follow = _next(at, limit)
+                while True:
+                    further = follow[follow]
+                    if (further == follow).all():
+                        break
+                    follow = further
+                ends = np.flatnonzero(np.append(follow[1:] != follow[:-1], True))
+                n = len(ends)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.full(n, p, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(at[ends]), pa.array(at[follow[ends]])], names=["k", "part", "g", "high", "leaves"])
+            held.clear()
+
+        for batch in batches:
+            names, at, p = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            change = [0, *(n for n in range(1, len(names)) if names[n] != names[n - 1] or p[n] != p[n - 1]), len(names)]
+            for a, b in zip(change, change[1:], strict=False):
+                if a < b and names[a] in bounds:
+                    if (names[a], p[a]) not in held:
+                        yield from flush()
+                    held.setdefault((names[a], p[a]), []).append(at[a:b])
+        yield from flush()
+
+    groups = cut(dealt.where(F.col(k).isin(list(bounds))).mapInArrow(maps, groups_schema))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups to the pairs (part they are left from, part they are entered in): as exits where they lead, as entries from wherever exits may come."""
+        for batch in batches:
+            out = []
+            for name, p, g, high, leaves in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                to = target(name, leaves)
+                if to is not None:
+                    out.append((name, p, to, False, g, leaves))
+                out += [(name, i, p, True, g, high) for i in leads.get((name, p), [])]
+                if first[name][0] == p:
+                    out.append((name, -1, p, True, g, high))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.float64()], strict=True)], names=["k", "a", "b", "entry", "g", "v"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        """Each exit of part a with the group of part b that it leads to: the first whose last position is beyond the limit."""
+        name, a, b = table.column("k")[0].as_py(), table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        entry = table.column("entry").to_numpy()
+        g, v = table.column("g").to_numpy(), table.column("v").to_numpy()
+        by = np.argsort(v[entry])
+        high, into = v[entry][by], g[entry][by]
+        leaves, own = (np.array([first[name][1]]), np.array([-1], np.int32)) if a == -1 else (v[~entry], g[~entry])
+        at = _first_beyond(high, leaves, limit)
+        ok = at < len(high)
+        n = int(ok.sum())
+        return pa.table({"k": pa.array([name] * n, pa.string()), "a": pa.array(np.full(n, a, np.int32)), "g": pa.array(own[ok].astype(np.int32)), "leaves": pa.array(leaves[ok]), "b": pa.array(np.full(n, b, np.int32)), "into": pa.array(into[at[ok]].astype(np.int32))})
+
+    dealt_groups = groups.mapInArrow(deal, "k string, a int, b int, entry boolean, g int, v double")
+    edges = cut(dealt_groups.groupBy("k", "a", "b").applyInArrow(meet, "k string, a int, g int, leaves double, b int, into int"))
+    reached = cut(edges.where("a = -1").select("k", F.col("b").alias("part"), F.col("into").alias("g")))
+    jumps = edges.where("a >= 0").select("k", F.col("a").alias("part"), "g", F.col("b").alias("to_part"), F.col("into").alias("to_g"))
+    span = 1
+    while span < max(len(parts) for parts, _ in bounds.values()):
+        there = reached.join(jumps, ["k", "part", "g"]).select("k", F.col("to_part").alias("part"), F.col("to_g").alias("g"))
+        reached = cut(reached.union(there).distinct())
+        span *= 2
+        if span < max(len(parts) for parts, _ in bounds.values()):
+            on = jumps.select("k", F.col("part").alias("to_part"), F.col("g").alias("to_g"), F.col("to_part").alias("far_part"), F.col("to_g").alias("far_g"))
+            jumps = cut(jumps.join(on, ["k", "to_part", "to_g"]).select("k", "part", "g", F.col("far_part").alias("to_part"), F.col("far_g").alias("to_g")))
+    # the exits on each key's way, each the entry of the part that it leads to
+    way = edges.where("a >= 0").join(reached.select("k", F.col("part").alias("a"), "g"), ["k", "a", "g"]).select("k", "b", "leaves").union(edges.where("a = -1").select("k", "b", "leaves"))
+    last = {(r.k, r.b): r.leaves for r in way.collect()}  # one for each part of a shared key at most
+    none = float("inf")
+    return [(name, p, last.get((name, p), none)) for name, (parts, _) in bounds.items() for p in parts]
+
+
+def _first_beyond(at: np.ndarray, v: np.ndarray, limit: float) -> np.ndarray:
+    """For each v the number of the first of the sorted positions that is more than `limit` after it."""
+    n = np.searchsorted(at, v + limit, side="right")
+    # where v + limit is rounded: the rule is a difference beyond the limit
+    while (less := (n > 0) & (at[np.maximum(n, 1) - 1] - v > limit)).any():
+        n = n - less
+    while (more := (n < len(at)) & ~(at[np.minimum(n, len(at) - 1)] - v > limit)).any():
+        n = n + more
+    return n
+
+
+def _next(at: np.ndarray, limit: float) -> np.ndarray:
+    """The row kept after each row, itself where there is none."""
+    n = _first_beyond(at, at, limit)
+    return np.where(n < len(at), n, np.arange(len(at)))
+
+
+def skip_last_runs(rows: DataFrame, keys: Sequence[str], n: int, order: Sequence[str], run_no: str = "run_no", since: str = "commit", parts: int | None = None) -> DataFrame:
     """K4: skipped if the key was committed in this run or the n runs before; `since="sighting"` counts mere sightings."""
     if since == "sighting":
         return _since_sighting(rows, keys, F.col(run_no).cast("double"), n, order)
-    return greedy(rows, keys, F.col(run_no), n, order)
+    return greedy(rows, keys, F.col(run_no), n, order, parts=parts)
 
 
-def skip_within(rows: DataFrame, keys: Sequence[str], seconds: float, order: Sequence[str], ts: str = "ts", since: str = "commit", last_kept: DataFrame | None = None) -> DataFrame:
-    """K5: skipped if the key was committed within the period before; `since="sighting"` counts mere sightings."""
+def skip_within(rows: DataFrame, keys: Sequence[str], seconds: float, order: Sequence[str], ts: str = "ts", since: str = "commit", last_kept: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """K5: skipped if the key was committed within the period before; `since="sighting"` counts mere sightings. `kept_at` of `last_kept` is in seconds."""
     if since == "sighting":
         return _since_sighting(rows, keys, seconds_of(ts), seconds, order)
-    return greedy(rows, keys, seconds_of(ts), seconds, order, last_kept)
+    before = None if last_kept is None else last_kept.withColumn("kept_at", F.round(F.col("kept_at") * 1e6))
+    return greedy(rows, keys, micros(ts), round(seconds * 1e6), order, before, parts)  # whole microseconds are exact
 
 
 def _since_sighting(rows: DataFrame, keys: Sequence[str], at: Column, limit: float, order: Sequence[str]) -> DataFrame:

@@ -99,10 +99,10 @@ def skip_this_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skip.skip_this_run(rows, ["user_id", "event_type"], ["ts", "event_id"], run="day").select("event_id", "user_id", "event_type", "day")
 
 
-def _greedy(at: str, limit: str) -> str:
+def _greedy(at: str, limit: str, user: str = "user_id") -> str:
     """SQL of the greedy rule: from each kept position to the first one beyond the limit."""
     return f"""
-WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, {at} AS t, ts FROM events),
+WITH RECURSIVE e AS (SELECT event_id, {user} AS user_id, event_type, {at} AS t, ts FROM events),
 k AS (
   SELECT user_id, event_type, min(t) AS t FROM e GROUP BY ALL
   UNION ALL
@@ -127,6 +127,12 @@ def skip_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skip.skip_within(_events(spark, sf_dir), ["user_id", "event_type"], 10 * DAY, ["ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
+@query(f"SELECT event_id, event_type FROM ({_greedy('epoch_us(ts)', '5400000000', '0')})")
+def skip_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 with few keys: a kind of event counts as seen for an hour and a half; each kind's events spread over several parts."""
+    return skip.skip_within(table(spark, sf_dir, "events"), ["event_type"], 5400, ["ts", "event_id"], parts=16).select("event_id", "event_type")
+
+
 @query("""
 WITH g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM events)
 SELECT event_id, user_id, event_type FROM g WHERE gap IS NULL OR gap > 86400000000
