@@ -149,3 +149,60 @@ def test_pii_trees(spark):
     text = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
     assert text[200] is None and "[PHONE]" in text[100] and "555" not in text[100]
     assert pii.train(docs.limit(0)).trees == []
+
+
+def test_each_name_is_defined_once():
+    """No function of the package is replaced by a later copy of it."""
+    import ast
+    from pathlib import Path
+
+    for path in Path(quality.__file__).parents[1].rglob("*.py"):
+        for scope in (n for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, ast.Module | ast.ClassDef)):
+            names = [n.name for n in scope.body if isinstance(n, ast.FunctionDef | ast.ClassDef)]
+            assert len(names) == len(set(names)), path
+
+
+def test_bound_of_the_quality_fit(spark, monkeypatch):
+    """The driver holds no more indicators than allowed, whatever the sampled texts' length; long words differ to their ends."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" + ("!" if k % 2 else "?") * (1 + j % 3) + "ab"[k % 2] * (j % 9) for j in range(400))) for k in range(200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as good")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, y: seen.append((len(rows), sum(map(len, rows)))) or "model")
+    assert quality.train(docs, labels, "good") == "model" and quality.train(docs, labels, "good", indicators=seen[0][1] // 4) == "model"
+    assert seen[0][0] == 200 and 0 < seen[1][1] < 0.4 * seen[0][1]
+    assert quality.shape("ab1-" * 20 + "X") != quality.shape("ab1-" * 20 + "y")
+
+
+def test_quality_fit_against_a_plain_solver():
+    """The dual coordinate descent reaches the minimum of the hinge loss that small steps down its gradient find."""
+    rng = np.random.default_rng(3)
+    rows, y = [], []
+    for k in range(40):
+        y.append(k % 2)
+        rows.append(np.unique(np.concatenate([rng.choice(np.arange(30), 6), rng.choice(np.arange(30, 36) if k % 2 else np.arange(36, 42), 2)])).astype(np.int32))
+    y = np.array(y)
+    model = quality.fit(rows, y, rounds=2000)
+    counts = [np.full(1 << quality.BITS, 1.0) for _ in range(2)]
+    for x, t in zip(rows, y, strict=True):
+        counts[t][x] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    sign = np.where(y > 0, 1.0, -1.0)
+    a = np.zeros((40, 43))
+    for k, x in enumerate(rows):
+        a[k, x] = ratio[x]
+        a[k, 42] = 1
+    loss = lambda w: 0.5 * (w**2).sum() + 0.1 * np.maximum(0, 1 - sign * (a @ w)).sum()
+    w = np.zeros(43)
+    best = loss(w)
+    for n in range(60_000):
+        w = w - (w - 0.1 * a.T @ (sign * (sign * (a @ w) < 1))) / (n + 10)
+        best = min(best, loss(w))
+    own = np.append(np.where(ratio[:42] != 0, model.weights[:42] / np.where(ratio[:42] != 0, ratio[:42], 1), 0), model.bias)
+    assert loss(own) <= best * 1.01 + 1e-6
+
+
+def test_quality_of_very_long_texts(spark):
+    docs = spark.createDataFrame([(k, ("good words of prose here. " if k % 2 else "!!! ### $$$ %%% ") * (40_000 if k < 4 else 5)) for k in range(60)], "doc_id long, text string")
+    model = quality.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as good"), "good")
+    out = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert all((out[k] > 0.5) == bool(k % 2) for k in range(4))
