@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,29 +28,41 @@ def rows_so_far(rows: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def stream_skip_within(rows: DataFrame, keys: Sequence[str], seconds: float, ts: str = "ts", lateness: str = "1 hour", order: Sequence[str] = ()) -> DataFrame:
-    """The greedy rule of skip_within on a stream. The state of a key is the time of its last kept row; it goes when no
-    later row can be within the period. Rows of one batch are taken in order of time; rows behind the watermark are dropped. A key's rows of one batch meet
-    in memory: for large batches see stream_skip_within_to."""
-    names, schema = rows.columns, rows.schema
+    """The greedy rule of skip_within on a stream. The state of a key is one number, the time of its last kept row in microseconds; an event-time timer
+    evicts it when no later row can be within the period, so there are as many states as keys kept within the period and the lateness.
 
-    def decide(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    A key's rows stream past that number frame by frame (spark.sql.execution.arrow.maxRecordsPerBatch rows each, in order of time within the
+    frame): none are collected, and a batch costs as much as its own rows. Rows behind the watermark and rows without a time are dropped; a row before
+    the last kept one of its key counts as within its period. For batches that bring a key's rows in no order at all see stream_skip_within_to.
+    """
+    schema, limit = rows.schema, round(seconds * 1_000_000)
+
+    def decide(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         kept = state.get[0] if state.exists else None
-        found = pd.concat(list(parts)).sort_values([ts, *order], kind="stable")
-        at = found[ts].astype("int64") / {"datetime64[us]": 1e6, "datetime64[ms]": 1e3}.get(str(found[ts].dtype), 1e9)
-        keep = []
-        for t in at:
-            good = kept is None or t - kept > seconds
-            keep.append(good)
-            kept = t if good else kept
-        state.update((float(kept),))
-        state.setTimeoutTimestamp(max(int((kept + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield found[keep][names]
-
-    keyed = rows.withWatermark(ts, lateness).withColumn(f"{TMP}k", F.to_json(key(keys)))
-    return keyed.groupBy(f"{TMP}k").applyInPandasWithState(decide, schema, "kept double", "append", GroupStateTimeout.EventTimeTimeout)
+        for frame in frames:
+            at = frame[ts].to_numpy().astype("datetime64[us]").astype("int64")
+            if len(at) > 1 and order and len(np.unique(at)) < len(at):
+                frame = frame.sort_values([ts, *order], kind="stable")
+                at.sort()
+                by = np.arange(len(at))
+            else:
+                by = np.argsort(at, kind="stable")
+            keep = []
+            for n, t in zip(by.tolist(), at[by].tolist(), strict=True):
+                if kept is None or t - kept > limit:
+                    keep.append(n)
+                    kept = t
+            if keep:
+                yield frame[names] if len(keep) == len(at) == 1 else frame[names].take(keep)
+        state.update((kept,))
+        state.setTimeoutTimestamp(max((kept + limit) // 1000 + 2, state.getCurrentWatermarkMs() + 1))
+
+    names = rows.columns
+    keyed = rows.where(F.col(ts).isNotNull()).withWatermark(ts, lateness).withColumn(f"{TMP}k", F.to_json(key(keys)))
+    return keyed.groupBy(f"{TMP}k").applyInPandasWithState(decide, schema, "kept long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _bucket(keys: Sequence[str], buckets: int) -> Column:

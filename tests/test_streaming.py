@@ -79,3 +79,26 @@ def test_history_by_buckets(spark, files):
         keys = sorted((r.k or "", r.ts) for r in out.collect())
         assert all((b[1] - a[1]).total_seconds() > 3600 for a, b in zip(keys, keys[1:], strict=False) if a[0] == b[0])
         assert {k for k, _ in keys} == {"", "a", "b", "c"} and {"bucket", "batch"} <= set(out.columns)
+
+
+def test_state_is_bounded_and_frames_stream(spark, tmp_path):
+    """Slices in order give the batch rule; a hot key's rows pass in small frames; states are as many as keys within the period."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, "hot" if i % 2 else f"k{i // 50}", start + dt.timedelta(minutes=i)) for i in range(4000)]
+    (tmp_path / "in").mkdir()
+    live = streaming.stream_rows(spark, str(tmp_path / "in"), SCHEMA)
+    frames = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        sizes = []
+        for part in range(5):
+            some = spark.createDataFrame(rows[800 * part : 800 * part + 800], SCHEMA)
+            (some.union(some.limit(1).selectExpr("n", "k", "cast(null as timestamp)")) if part == 1 else some).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            query = streaming.stream_skip_within(live, ["k"], 1800, lateness="5 minutes", order=["n"]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", frames)
+    got = sorted(r.n for r in spark.read.schema(SCHEMA).parquet(str(tmp_path / "out")).collect())
+    want = sorted(r.n for r in skip.skip_within(spark.createDataFrame(rows, SCHEMA), ["k"], 1800, ["ts", "n"]).collect())
+    assert got == want and max(sizes) <= 4, sizes  # of 81 keys
