@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import micros
+from .base import TMP, micros
 
 
 def schedule_diff(current: DataFrame, active: DataFrame) -> DataFrame:
@@ -17,21 +17,39 @@ def schedule_diff(current: DataFrame, active: DataFrame) -> DataFrame:
     return a.join(b, on, "left_anti").withColumn("action", F.lit("start")).unionByName(b.join(a, on, "left_anti").withColumn("action", F.lit("cancel")))
 
 
-def overlapping_runs(runs: DataFrame, machine: Sequence[str] = ("machine",), run: str = "run_id", start: str = "start_ts", end: str = "end_ts", bucket_seconds: int = 3600) -> DataFrame:
+def overlapping_runs(runs: DataFrame, machine: Sequence[str] = ("machine",), run: str = "run_id", start: str = "start_ts", end: str = "end_ts", cell_seconds: float | None = None) -> DataFrame:
     """H2: pairs of runs (a < b) of one machine whose times overlap; ends are exclusive, empty runs overlap nothing.
 
-    An equi-join on machine and time bucket: a run is in each bucket that it touches, and a pair counts
-    in the bucket where the later of its starts lies, so it comes out once and no cross join is made.
+    Of two overlapping runs the later one starts within the other, so pairs are points in intervals. Time is cut into cells and cells are
+    paired up level by level; a run takes the fewest such pieces that cover it, two a level at most, and a start has one piece above it on each level.
+    The point is in the run iff they meet on exactly one piece: an equi-join on machine, level and piece, n log n rows whatever the
+    lengths of runs, and no pair twice. `cell_seconds` is the length of a cell, by default about that of the middle run: only runs within one cell of each
+    other are compared in vain.
     """
-    bucket = lambda c: F.floor(micros(c) / (bucket_seconds * 1_000_000))
-    last = F.floor((micros(end) - 1) / (bucket_seconds * 1_000_000))
-    spread = runs.where(F.col(start) < F.col(end)).select(*machine, run, start, end, F.explode(F.sequence(bucket(F.col(start)), last)).alias("_rl_bucket"))
-    a, b = spread.alias("a"), spread.alias("b")
-    on = (F.col("a._rl_bucket") == F.col("b._rl_bucket")) & (F.col(f"a.{run}") < F.col(f"b.{run}")) & (F.col(f"a.{start}") < F.col(f"b.{end}")) & (F.col(f"b.{start}") < F.col(f"a.{end}"))
+    a, b, cell = f"{TMP}a", f"{TMP}b", f"{TMP}cell"
+    timed = runs.where(F.col(start) < F.col(end)).select(*machine, run, start, end, micros(start).alias(a), micros(end).alias(b))
+    middle, longest = timed.agg(F.percentile_approx(F.col(b) - F.col(a), 0.5, 100), F.max(F.col(b) - F.col(a))).first()
+    size = max(1, round(cell_seconds * 1e6) if cell_seconds else middle or 1)
+    top = max(0, ((longest or 1) // size + 2).bit_length())
+    pieces = timed.withColumns({f"{TMP}l": F.floor(F.col(a) / size), f"{TMP}r": F.floor((F.col(b) - 1) / size) + 1})
+
+    def level(k: Column) -> Column:
+        """The pieces of level k: an odd one at the left, an odd one at the right."""
+        width = F.pow(F.lit(2.0), k).cast("long")
+        left, right = -F.floor(-F.col(f"{TMP}l") / width), F.floor(F.col(f"{TMP}r") / width)
+        piece = lambda ok, n: F.when((left < right) & ok, F.struct(k.cast("int").alias("level"), n.alias("piece")))
+        return F.array(piece(left % 2 != 0, left), piece(right % 2 != 0, right - 1))
+
+    covers = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(top)), level)), lambda x: x.isNotNull())
+    over = pieces.select("*", F.inline(covers)).alias("o")
+    levels = [r[0] for r in over.select("level").distinct().collect()]  # some sixty at most
+    path = F.transform(F.array(*[F.lit(k).cast("int") for k in sorted(levels)]), lambda k: F.struct(k.alias("level"), F.floor(F.col(cell) / F.pow(F.lit(2.0), k).cast("long")).alias("piece")))
+    points = timed.withColumn(cell, F.floor(F.col(a) / size)).select("*", F.inline(path)).alias("p")
+    o, p = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"p.{c}"))
+    on = (o("level") == p("level")) & (o("piece") == p("piece")) & (o(a) <= p(a)) & (p(a) < o(b)) & ((o(a) < p(a)) | (o(run) < p(run))) & (o(run) != p(run))
     for m in machine:
-        on = on & (F.col(f"a.{m}") == F.col(f"b.{m}"))
-    on = on & (F.col("a._rl_bucket") == bucket(F.greatest(f"a.{start}", f"b.{start}")))
-    return a.join(b, on).select(*[F.col(f"a.{m}") for m in machine], F.col(f"a.{run}").alias("run_a"), F.col(f"b.{run}").alias("run_b"), F.greatest(f"a.{start}", f"b.{start}").alias("from_ts"), F.least(f"a.{end}", f"b.{end}").alias("to_ts"))
+        on = on & (o(m) == p(m))
+    return over.join(points, on).select(*[o(m).alias(m) for m in machine], F.least(o(run), p(run)).alias("run_a"), F.greatest(o(run), p(run)).alias("run_b"), p(start).alias("from_ts"), F.least(o(end), p(end)).alias("to_ts"))
 
 
 def preempt(runs: DataFrame, machine: Sequence[str] = ("machine",), order: Sequence[str] = ("start_ts", "run_id"), start: str = "start_ts", end: str = "end_ts") -> DataFrame:

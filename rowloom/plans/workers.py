@@ -177,3 +177,16 @@ def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as candidate tables of each user, their whole values as lengths."""
     rows = table(spark, sf_dir, "events").select("user_id", F.floor("value").alias("n_rows"), F.col("event_id").alias("seq"))
     return relations.best_candidate(rows, ["user_id"])
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS machine, o_orderkey AS run_id, epoch_us(o_orderdate) AS a, epoch_us(o_orderdate) + 1000000 * CAST(floor(power(o_totalprice / 500000, 6) * 31536000) AS BIGINT) AS b FROM orders)
+SELECT x.machine, x.run_id AS run_a, y.run_id AS run_b, (least(x.b, y.b) - greatest(x.a, y.a)) // 1000000 AS seconds FROM r x JOIN r y ON x.machine = y.machine AND x.run_id < y.run_id AND x.a < y.b AND y.a < x.b AND x.a < x.b AND y.a < y.b
+""")
+def overlaps_of_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2: orders as runs on their customer's machine, from a second to years."""
+    length = F.floor(F.pow(F.col("o_totalprice") / 500000, 6) * 31536000).cast("long")
+    start = F.col("o_orderdate").cast("timestamp")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("machine"), F.col("o_orderkey").alias("run_id"), start.alias("start_ts"), F.timestamp_micros(F.unix_micros(start) + length * 1_000_000).alias("end_ts"))
+    found = schedules.overlapping_runs(rows)
+    return found.select("machine", "run_a", "run_b", F.floor((F.unix_micros("to_ts") - F.unix_micros("from_ts")) / 1_000_000).alias("seconds"))
