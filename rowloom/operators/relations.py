@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,122 @@ def find_relations(nodes: DataFrame, least: int = 2) -> DataFrame:
     return nodes.where("parent_id is not null").groupBy("page_id", parent.alias("parent_xpath"), "tag").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= least)
 
 
+_RECORDS = "array<struct<parent:int,rows:array<struct<n:int,cells:array<struct<name:string,n:int>>>>,names:array<string>>>"
+
+
+def _features(nodes: list[dict], children: list[list[int]], n: int) -> tuple:
+    """The shape of an element: the multiset of its children's kinds, with that of their children."""
+    found = Counter()
+    for c in children[n]:
+        kind = _kind(nodes[c])
+        found[kind] += 1
+        for d in children[c]:
+            found[f"{kind}/{_kind(nodes[d])}"] += 1
+    return tuple(sorted(found.items()))
+
+
+def _kind(node: dict) -> str:
+    names = (node["class"] or "").split()
+    return ".".join([node["tag"], *sorted(names)])
+
+
+def _overlap(a: Mapping[str, int], b: Mapping[str, int]) -> tuple[float, float]:
+    """The share of the smaller multiset that the other has too, and the shared part of both; 1 for two empty ones."""
+    small, every = sorted((sum(a.values()), sum(b.values())))
+    both = sum(min(k, b.get(x, 0)) for x, k in a.items())
+    return (both / small, both / (small + every - both)) if small else (float(not every),) * 2
+
+
+def _tables(nodes: list[dict], least: int, overlap: float) -> list[dict]:
+    """The tables of a page: siblings of like shape as rows, their parts with text or a link as cells."""
+    children: list[list[int]] = [[] for _ in nodes]
+    for k, n in enumerate(nodes):
+        if n["parent"] is not None:
+            children[n["parent"]].append(k)
+    found = []
+    for parent, below in enumerate(children):
+        if len(below) < least:
+            continue
+        shapes: dict[tuple, list[int]] = {}
+        for c in below:
+            shapes.setdefault((nodes[c]["tag"], _features(nodes, children, c)), []).append(c)
+        groups: list[tuple[str, Counter, list[int]]] = []
+        for (tag, shape), rows in sorted(shapes.items(), key=lambda x: (-len(x[1]), x[1][0])):
+            shape = Counter(dict(shape))
+            alike = [(x[1], -k) for k, g in enumerate(groups) if g[0] == tag and (x := _overlap(g[1], shape))[0] >= overlap]
+            group = groups[-max(alike)[1]] if alike else None
+            if group is None:
+                groups.append((tag, shape, [*rows]))
+            else:
+                group[1].update(shape - group[1])
+                group[2].extend(rows)
+        for _, _, rows in groups:
+            if len(rows) >= least:
+                cells = [_row_cells(nodes, children, r) for r in sorted(rows)]
+                order = dict.fromkeys(name for row in cells for name in row)
+                found.append({"parent": parent, "rows": [{"n": r, "cells": [{"name": a, "n": b} for a, b in row.items()]} for r, row in zip(sorted(rows), cells, strict=True)], "names": list(order)})
+    return found
+
+
+def _row_cells(nodes: list[dict], children: list[list[int]], row: int) -> dict[str, int]:
+    """The parts of a row by name: kinds of elements from the row down, numbered where a kind comes again; the row itself is \"\"."""
+    out: dict[str, int] = {}
+    stack = [(row, "")]
+    while stack:
+        n, name = stack.pop()
+        if nodes[n]["own"] or nodes[n]["href"] is not None:
+            out[name] = n
+        seen: Counter[str] = Counter()
+        below = []
+        for c in children[n]:
+            kind = _kind(nodes[c])
+            seen[kind] += 1
+            step = kind if seen[kind] == 1 else f"{kind}[{seen[kind]}]"
+            below.append((c, f"{name}/{step}" if name else step))
+        stack.extend(reversed(below))
+    return out
+
+
+def find_records(layout: DataFrame, least: int = 2, overlap: float = 0.5) -> DataFrame:
+    """R1 R2 by structure: tables whose rows may lack parts, have extra ones, or stand among siblings of another kind.
+
+    Each element has a shape, the multiset of the kinds (tag and classes) of its children and their children. Siblings of one tag are
+    put together if the smaller shape is at least `overlap` within the other, with the group most like it (shapes taken by frequency, a table's shape grows by what its rows add); groups of `least`
+    rows or more are tables. A row's cells are its elements with text or a link of their own, by the kinds of elements on the way down, so a part that is missing
+    does not move the others. Gives a row for each row of a table: page_id, parent_xpath, table_no (on the page), row_idx from 1, row_xpath,
+    text and link (maps from the table's column names to cells; missing cells are empty), n_missing. Pages are independent: no shuffle.
+    """
+    names = ["page_id", "page_text", "page_paths", "nodes"]
+    fields = ["parent", "tag", "class", "own", "href"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("nodes")
+            flat = column.flatten()
+            parts = [flat.field(f).to_pylist() for f in fields]
+            at, tables = 0, []
+            for size in column.value_lengths().to_pylist():
+                nodes = [dict(zip(fields, values, strict=True)) for values in zip(*(p[at : at + (size or 0)] for p in parts), strict=True)]
+                at += size or 0
+                tables.append(_tables(nodes, least, overlap))
+            cell = pa.struct([("name", pa.string()), ("n", pa.int32())])
+            kind = pa.list_(pa.struct([("parent", pa.int32()), ("rows", pa.list_(pa.struct([("n", pa.int32()), ("cells", pa.list_(cell))]))), ("names", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(tables, kind)], names=[*names, "tables"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in layout.schema.fields}
+    found = layout.select(*names).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in names), f"tables {_RECORDS}"]))
+
+    def row(table: Column, no: Column, r: Column, i: Column) -> Column:
+        value = lambda what: F.map_from_entries(F.transform(table["names"], lambda c: F.struct(c, F.coalesce(what(pages.element(F.get(F.filter(r["cells"], lambda x: x["name"] == c), F.lit(0))["n"])), F.lit("")))))
+        return F.struct(
+            pages.xpath_of(pages.element(table["parent"])).alias("parent_xpath"), (no + 1).alias("table_no"), (i + 1).cast("long").alias("row_idx"), pages.xpath_of(pages.element(r["n"])).alias("row_xpath"),
+            value(lambda e: e["own"]).alias("text"), value(pages.link_of).alias("link"), (F.size(table["names"]) - F.size(r["cells"])).alias("n_missing"),
+        )
+
+    rows = F.flatten(F.transform("tables", lambda t, no: F.transform(t["rows"], lambda r, i: row(t, no, r, i))))
+    return found.select("page_id", F.inline(rows))
+
+
 def row_selectors(cells: Sequence[str]) -> list[RelationSpec]:
     """The ways to make one step of the cells' common xpath general, outermost first."""
     steps = [c.strip("/").split("/") for c in cells]

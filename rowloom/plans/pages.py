@@ -64,6 +64,24 @@ def best_row_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.best_candidate(relations.infer_row_selector(found, ["/html[1]/body[1]/nav[1]/ul[1]/li[1]/a[1]"])).select("selector", "seq", "n_rows")
 
 
+@query("""
+WITH o AS (SELECT o_custkey AS page_id, o_orderkey, CASE WHEN o_orderpriority < '3' THEN o_orderpriority ELSE '' END AS priority, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE '' END AS status FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY o_orderkey) AS row_idx, count(*) OVER (PARTITION BY page_id) AS n FROM o)
+SELECT page_id, row_idx, 'Order ' || o_orderkey AS name, 'http://shop.test/order/' || o_orderkey AS link, priority, status FROM n WHERE n >= 2
+""")
+def records_by_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as a list on a page. Items have a priority or a status, both or none, and adverts of the same tag stand among them."""
+    order = F.struct(F.col("o_orderkey").alias("k"), F.concat(
+        F.lit('<li><a href="/order/'), F.col("o_orderkey"), F.lit('">Order '), F.col("o_orderkey"), F.lit("</a>"), F.when(F.col("o_orderpriority") < "3", F.concat(F.lit('<span class="priority">'), "o_orderpriority", F.lit("</span>"))).otherwise(""),
+        F.when(F.col("o_orderstatus") == "F", F.lit("<b>done</b>")).otherwise(""), F.lit("</li>"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("<li><em>Advert</em><i>buy</i></li>")).otherwise(""),
+    ).alias("li"))
+    lists = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda x: x.li), "").alias("items"))
+    stored = lists.select("page_id", F.lit("http://shop.test/").alias("url"), F.concat(F.lit("<html><body><h1>Orders</h1><ul>"), "items", F.lit("</ul></body></html>")).alias("html"))
+    rows = relations.find_records(nodes.page_layout(stored)).where(F.map_contains_key("text", "a"))
+    cell = lambda what, c: F.coalesce(F.col(what)[c], F.lit(""))
+    return rows.select("page_id", "row_idx", cell("text", "a").alias("name"), cell("link", "a").alias("link"), cell("text", "span.priority").alias("priority"), cell("text", "b").alias("status"))
+
+
 @query()
 def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N4-N10."""
