@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add, and_
 
@@ -49,6 +49,53 @@ def find_by_similarity(nodes: DataFrame, snapshot: Mapping[str, object], require
     return best.select("page_id", "n.*")
 
 
+def node_properties(layout: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(page_id, node_id, props): the elements of pages with some of their columns (`nodes.COLUMNS`) as a map of texts; nulls are left out."""
+    rows = select_nodes(layout, columns=["node_id", *[c for c in columns if c != "node_id"]])
+    return rows.select("page_id", "node_id", _map_of({c: F.col(c).cast("string") for c in columns}).alias("props"))
+
+
+def _map_of(cells: Mapping[str, Column]) -> Column:
+    return F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in cells.items()]), lambda e: e["v"].isNotNull()))
+
+
+def find_snapshots(nodes: DataFrame, snapshots: DataFrame, least: float = 0.5, k: int = 1) -> DataFrame:
+    """P3 for a table of snapshots: on each page the k nodes most like each recorded node: page_id, snapshot_id, node_id, score, rank.
+
+    `nodes` has page_id, node_id and props (a map of texts, see `node_properties`), `snapshots` has snapshot_id, props and, if wanted, required (names of
+    properties that have to be equal). An equal property counts by how rare its value is among the nodes, ln(1 + nodes / nodes with it); a node needs
+    `least` of the snapshot's whole weight (above 0); ties go to the smaller node_id.
+
+    Not every pair is scored. An index leads from (property, value) to snapshots, and holds of each only the rarest properties: as many as it takes
+    until the others together weigh too little for a hit (of a snapshot with required ones, the rarest of these alone). A node meets a snapshot at the
+    first of them that they share, so each pair comes up once. Null and empty maps match nothing.
+    """
+    pairs = F.map_entries
+    recorded = snapshots.select("snapshot_id", F.col("props").alias("own"), (F.coalesce("required", F.array()) if "required" in snapshots.columns else F.array()).cast("array<string>").alias("required"))
+    recorded = recorded.where(F.size("own") > 0)
+    wanted = recorded.select(F.explode(pairs("own")).alias("e")).select("e.*").distinct()
+    seen = nodes.select(F.explode(pairs("props")).alias("e")).select("e.*").groupBy("key", "value").agg(F.count("*").alias("n"))
+    weights = wanted.join(seen, ["key", "value"], "left").select("key", "value", F.log1p(F.lit(float(nodes.count())) / F.coalesce("n", F.lit(1))).alias("w"))
+    weighed = recorded.select("snapshot_id", "required", F.explode(pairs("own")).alias("e")).select("snapshot_id", "required", "e.*").join(weights, ["key", "value"])
+    each = weighed.groupBy("snapshot_id").agg(F.first("required").alias("required"), F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("w"), "key", "value"))).alias("p"))
+    # the rarest properties first
+    weight_of = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s - x["w"])
+    size = F.size("p")
+    kept = each.withColumns({"need": F.round(least * weight_of(F.col("p")), 9), "must": F.filter("p", lambda x: F.array_contains(F.col("required"), x["key"]))}).where(F.size("must") == F.size(F.array_distinct("required")))
+    enough = F.filter(F.sequence(F.lit(1), size), lambda n: weight_of(F.slice("p", n + 1, size)) < F.col("need") - 1e-9)
+    keyed = kept.withColumn("first", F.when(F.size("must") > 0, F.slice("must", 1, 1)).otherwise(F.slice("p", 1, F.coalesce(F.get(enough, F.lit(0)), size))))
+    facts = F.transform("p", lambda x: F.struct(x["key"], F.struct(x["value"], -x["w"], F.array_contains(F.col("required"), x["key"]), F.array_position("first", x)).cast("struct<value:string,w:double,must:boolean,at:long>")))
+    index = keyed.select("snapshot_id", "need", F.map_from_entries(facts).alias("facts"), F.posexplode("first").alias("at", "e")).select("snapshot_id", "need", "facts", (F.col("at") + 1).alias("at"), F.col("e.key").alias("key"), F.col("e.value").alias("value"))
+    rows = nodes.where(F.size("props") > 0).select("page_id", "node_id", "props", F.explode(pairs("props")).alias("e")).select("page_id", "node_id", "props", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
+    facts = F.map_values(F.map_zip_with("facts", "props", lambda k, a, b: F.struct(F.coalesce(a["value"] == b, F.lit(False)), a["w"], F.coalesce(a["must"], F.lit(False)), a["at"]).cast("struct<same:boolean,w:double,must:boolean,at:long>")))
+    met = rows.join(index, ["key", "value"]).select("page_id", "snapshot_id", "node_id", "need", "at", facts.alias("f"))
+    first = F.array_min(F.transform(F.filter("f", lambda x: x["same"] & (x["at"] > 0)), lambda x: x["at"]))
+    met = met.where((first == F.col("at")) & F.forall("f", lambda x: x["same"] | ~x["must"]))
+    scored = met.select("page_id", "snapshot_id", "node_id", F.round(F.aggregate(F.filter("f", lambda x: x["same"]), F.lit(0.0), lambda s, x: s + x["w"]), 9).alias("score"), "need").where((F.col("score") >= F.col("need")) & (F.col("score") > 0))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("page_id", "snapshot_id").orderBy(F.desc("score"), "node_id"))).where(F.col("rank") <= k)
+    return ranked.select("page_id", "snapshot_id", "node_id", "score", "rank")
+
+
 def text_contains(a: Column, b: Column | str) -> Column:
     """A substring test that minds case; a missing text contains nothing but the empty text."""
     return F.contains(F.coalesce(a, F.lit("")), b if isinstance(b, Column) else F.lit(b))
