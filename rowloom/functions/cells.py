@@ -262,3 +262,17 @@ def canonical_map(cells: Column) -> Column:
 def canonical_json(text: Column, schema: str) -> Column:
     """F21 for JSON text of a flat object: parsed as a map, then canonical; null if it is no object."""
     return canonical_map(F.from_json(text, F.lit(schema)))
+
+
+def canonical_text(text: Column) -> Column:
+    """F21 at any depth: JSON text with the keys of all objects sorted (by their bytes) and no white space, so that equal values have equal texts.
+
+    Lists keep their order and nulls; null for what is no JSON, and for an object that has a key twice. Decimals lose trailing zeros; numbers
+    with an exponent are doubles.
+    """
+    return F.to_json(F.try_parse_json(text))
+
+
+def canonical_value(value: Column) -> Column:
+    """F21 for a struct, map or array of any depth: its canonical text; missing values of objects are left out."""
+    return canonical_text(F.to_json(value))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells as c
+from ..operators import lists
 from .registry import query, table
 
 
@@ -75,3 +76,29 @@ def cell_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F21."""
     return table(spark, sf_dir, "events").select("event_id", c.canonical_json(F.col("props"), "map<string,int>").alias("canonical"))
+
+
+@query("""
+SELECT event_id, '{"a":{"list":[3,1,{"p":' || (props->>'k') || ',"q":null}],"u":' || user_id || '},"b":{"kind":"' || event_type || '"}}' AS from_text,
+  '{"kind":"' || event_type || '","more":{"ids":[' || user_id || ',' || event_id || ']' || CASE WHEN event_type = 'error' THEN ',"k":' || (props->>'k') ELSE '' END || '}}' AS from_value FROM events
+""")
+def canonical_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nested objects whose keys come in any order, as text and as values with missing fields."""
+    k, user = F.get_json_object("props", "$.k"), F.col("user_id")
+    text = F.concat(F.lit('{ "b": {"kind": "'), "event_type", F.lit('"}, "a": {"u": '), user, F.lit(', "list": [3, 1, {"q": null, "p": '), k, F.lit("}]}}"))
+    value = F.struct(F.struct(F.when(F.col("event_type") == "error", k.cast("int")).alias("k"), F.array(user, F.col("event_id")).alias("ids")).alias("more"), F.col("event_type").alias("kind"))
+    return table(spark, sf_dir, "events").select("event_id", c.canonical_text(text).alias("from_text"), c.canonical_value(value).alias("from_value"))
+
+
+@query("""
+WITH n AS (SELECT l_suppkey % 3 AS grp, l_quantity AS v, row_number() OVER (PARTITION BY l_suppkey % 3 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM lineitem),
+c AS (SELECT grp, v, count(*) AS n, min(seq) AS first FROM n GROUP BY grp, v), m AS (SELECT *, max(n) OVER (PARTITION BY grp) AS most FROM c)
+SELECT grp, count(*) AS n, sum(v) AS total, min(v) AS low, max(v) AS high, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS spread,
+  (SELECT string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY first) FROM m WHERE m.grp = n.grp AND m.n = m.most) AS modes FROM n GROUP BY grp
+""")
+def grouped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16 over three groups of all order lines."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = table(spark, sf_dir, "lineitem").withColumn("grp", F.col("l_suppkey") % 3)
+    found = lists.grouped_stats(rows, ["grp"], "l_quantity", order)
+    return found.select("grp", "n", "total", "low", "high", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.round("spread", 6).alias("spread"), F.array_join(F.transform("modes", lambda v: v.cast("long").cast("string")), ",").alias("modes"))

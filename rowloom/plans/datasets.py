@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -177,6 +179,18 @@ def key_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skip.key_report(table(spark, sf_dir, "documents"), {"text": ["text"], "source": ["source"], "source_length": ["source", "n_chars"]})
 
 
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+_SETS = [c for n in (1, 2, 3) for c in itertools.combinations(_LINE, n)]
+
+
+@query("WITH k AS (" + " UNION ALL ".join(f"SELECT {list(c)} AS key, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(c)} FROM lineitem)) = (SELECT count(*) FROM lineitem) AS good" for c in _SETS) + """)
+SELECT array_to_string(key, ',') AS key, (SELECT count(*) FROM lineitem) AS n_rows FROM k WHERE good AND NOT EXISTS (SELECT 1 FROM k s WHERE s.good AND len(s.key) < len(k.key) AND len(list_intersect(s.key, k.key)) = len(s.key))
+""")
+def minimal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which columns tell order lines apart."""
+    return skip.minimal_keys(table(spark, sf_dir, "lineitem"), _LINE, most=3).select(F.array_join("key", ",").alias("key"), "n_rows")
+
+
 @query("""
 SELECT (SELECT count(*) FROM (SELECT 1 FROM customer GROUP BY c_nationkey, c_mktsegment HAVING count(DISTINCT c_custkey) > 1)) AS false_merges,
   (SELECT count(*) FROM (SELECT 1 FROM (SELECT DISTINCT c_custkey, c_nationkey, c_mktsegment FROM customer) GROUP BY c_custkey HAVING count(*) > 1)) AS missed_merges
