@@ -77,3 +77,19 @@ def stream_skip_ever(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     streaming.stream_skip_ever(_events(spark, sf_dir), ["user_id", "event_type"], ["ts", "event_id"], f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "event_type")
+
+
+@query("""
+WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS row_idx FROM events)
+SELECT event_id, event_type, row_idx, (row_idx - 1) // 10 AS slice_no FROM r
+""")
+def stream_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of event as a run whose rows arrive in three batches and are delivered ten at a time."""
+    events, folder = table(spark, sf_dir, "events"), _folder(spark)
+    days = [None, "2024-01-11", "2024-01-21", None]
+    for a, b in zip(days, days[1:], strict=False):
+        part = events.where((F.lit(True) if a is None else F.col("ts") >= F.lit(a).cast("timestamp")) & (F.lit(True) if b is None else F.col("ts") < F.lit(b).cast("timestamp")))
+        part.write.mode("append").parquet(f"{folder}/in")
+        live = streaming.stream_rows(spark, f"{folder}/in", events.schema).select("event_id", "event_type", "ts")
+        streaming.stream_slices(live, ["ts", "event_id"], ["event_type"], f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out/rows").select("event_id", "event_type", "row_idx", "slice_no")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import cells
-from ..operators import nesting, nodes, paging, predicates, relations, runs, schedules, skip
+from ..operators import commits, nesting, nodes, paging, predicates, relations, runs, schedules, skip
 from ..operators.base import number_rows, shared_folder
 from .pages import NAV, _plain
 from .registry import query, table
@@ -80,6 +80,23 @@ def resumed_after_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.resume(events.where(F.col("ts") >= day), seen, keys, order).select("event_id", "user_id", "event_type")
 
 
+@query("""
+SELECT event_id, user_id, event_type, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 1 ELSE 2 END AS run_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1
+""")
+def committed_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output and keys of two runs, each of which breaks off once before it is published and is done again; one is published twice."""
+    path, events = _new_folder(spark), table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    keys, order, day = ["user_id", "event_type"], ["ts", "event_id"], F.lit("2024-01-10").cast("timestamp")
+    schema = "user_id string, event_type string, ts timestamp"
+    for run, rows in ((1, events.where(F.col("ts") < day)), (2, events.where(F.col("ts") >= day))):
+        for published in (False, True, run == 2):
+            seen = commits.committed_keys(spark, path, 7, schema).where(F.col("run_id") != run)
+            attempt = commits.write_attempt(skip.skip_ever(rows, seen, keys, order), keys, path, 7, run)
+            if published:
+                commits.publish(spark, path, 7, run, attempt)
+    return commits.committed_rows(spark, path, 7).select("event_id", "user_id", "event_type", F.col("run_id").cast("int").alias("run_id"))
+
+
 @query("SELECT event_id, user_id, event_type FROM events")
 def skip_never(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1."""

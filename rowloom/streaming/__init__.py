@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.base import TMP, blank, key
+from ..operators.base import TMP, blank, key, number_rows
 from ..operators.base import seconds as seconds_of
 from ..operators.skip import skip_ever, skip_within
 
@@ -114,6 +116,31 @@ def stream_skip_ever(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 
 
+def stream_slices(rows: DataFrame, order: Sequence[str], by: Sequence[str], out: str, checkpoint: str, batch_size: int = 10):
+    """Rows as they arrive, numbered within each run (`by`) across all batches, and delivered in slices of `batch_size`.
+
+    A batch's rows are numbered in `order` (as write_in_slices does, over ranges) and go on from the run's high mark. The rows and the new marks are kept by the
+    batch's number, and a batch reads the marks of the batch before it alone, so a batch that is run again writes the same slices again: out/rows has row_idx,
+    slice_no and batch, out/marks one row for each run and batch. When rows arrive in `order`, batch by batch, numbers are those of write_in_slices.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fields = [batch.schema[c] for c in by]
+        schema = T.StructType([*fields, T.StructField("high", T.LongType())])
+        before = spark.read.schema(schema).parquet(f"{out}/marks/batch={number - 1}") if number else spark.createDataFrame([], schema)
+        old = before.select(*[F.col(c).alias(f"{TMP}{i}") for i, c in enumerate(by)], F.col("high").alias(f"{TMP}high"))
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{TMP}{i}")) for i, c in enumerate(by)], F.lit(True))
+        high = F.coalesce(F.col(f"{TMP}high"), F.lit(0))
+        numbered = number_rows(batch, order, by).join(old, same, "left").withColumn("row_idx", F.col("row_idx") + high)
+        numbered = numbered.withColumn("slice_no", F.floor((F.col("row_idx") - 1) / batch_size).cast("long")).select(*[c for c in batch.columns if c not in ("row_idx", "slice_no")], "row_idx", "slice_no")
+        numbered.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        counts = batch.groupBy(*by).agg(F.count("*").alias("high")).unionByName(before)
+        counts.groupBy(*by).agg(F.sum("high").alias("high")).write.mode("overwrite").parquet(f"{out}/marks/batch={number}")
+
+    return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+
+
 def throughput(rows: DataFrame, width: str = "1 hour", run: str = "run_id", ts: str = "ts", lateness: str = "1 hour") -> DataFrame:
     """T5: rows of each run in each tumbling window."""
     counted = rows.withWatermark(ts, lateness).groupBy(F.window(ts, width), run).agg(F.count("*").alias("n_rows"))
