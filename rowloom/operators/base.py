@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Sequence
 
@@ -73,3 +74,30 @@ def first_by(rows: DataFrame, keys: Sequence[Column | str], order: Sequence[Colu
     """The first row of each key in `order` (total): ranks are cut off before the exchange, so a hot key sends one row a task."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn(f"{TMP}rank", rank).where(F.col(f"{TMP}rank") == 1).drop(f"{TMP}rank")
+
+
+def hub_keys(rows: DataFrame, key: str, share: float) -> list:
+    """The values of a column (not null) that at least about `share` of the rows have: 1 / share of them at most.
+
+    They come from a mergeable sketch of frequent items, one pass with partial aggregation; its counts are off by less than half of the share.
+    """
+    tracked = max(100, math.ceil(20 / share))
+    found = rows.where(F.col(key).isNotNull()).agg(F.count("*").alias("n"), F.expr(f"approx_top_k(`{key}`, {math.ceil(1 / share)}, {tracked})").alias("top")).first()
+    return [x[0] for x in found["top"] or [] if x[1] >= share * found["n"]]
+
+
+def hub_join(left: DataFrame, right: DataFrame, on_left: str, on_right: str, share: float = 0.02, copies: int | None = None) -> DataFrame:
+    """The inner join of `left` and `right` on one column each, with the rows of `left` that share a hub key spread over several tasks.
+
+    The rows of a hub are dealt by a hash of all their cells to `copies` parts (by default as many as shuffle partitions, 64 at most), and the right
+    side's rows of hubs are copied to each of them; other keys are joined as ever. A repeated computation deals the same way.
+    """
+    hubs = hub_keys(left, on_left, share)
+    if not hubs:
+        return left.join(right, F.col(on_left) == F.col(on_right))
+    copies = copies or min(64, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = [F.col(f"`{f.name}`") for f in left.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    salt = F.when(F.col(on_left).isin(hubs), F.pmod(F.xxhash64(*cells), F.lit(copies))).otherwise(0)
+    parts = F.when(F.col(on_right).isin(hubs), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
+    a, b = left.withColumn(f"{TMP}salt", salt), right.withColumn(f"{TMP}part", F.explode(parts))
+    return a.join(b, (F.col(on_left) == F.col(on_right)) & (F.col(f"{TMP}salt") == F.col(f"{TMP}part"))).drop(f"{TMP}salt", f"{TMP}part")

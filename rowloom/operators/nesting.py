@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import blank, first_by
+from .base import blank, first_by, hub_join
 
 
 def normal_url(url: Column) -> Column:
@@ -17,16 +17,18 @@ def normal_url(url: Column) -> Column:
     return F.regexp_replace(F.concat(F.lower(head), F.substring(bare, F.length(head) + 1, F.length(bare))), r"/(?=$|\?)", "")
 
 
-def nested_loop(parent: DataFrame, child: DataFrame, link: str, url: str, as_url: bool = True) -> DataFrame:
+def nested_loop(parent: DataFrame, child: DataFrame, link: str, url: str, as_url: bool = True, hub_share: float | None = None) -> DataFrame:
     """Each parent row with each row of the page that its link opens; parents without children give nothing.
 
-    An equi-join on one key made before the exchange; adaptive execution splits hub pages. `as_url`
+    An equi-join on one key made before the exchange; adaptive execution splits hub pages. With `hub_share`, pages that this share of all
+    parents or more link to are found first, by a pass over the links, and their parents spread over tasks (`hub_join`). `as_url`
     false compares the cells as they are (ids). Columns that both sides have keep the parent's value.
     """
     norm = normal_url if as_url else (lambda c: c)
     left = parent.withColumn("_rl_link", norm(F.col(link)))
     right = child.select(norm(F.col(url)).alias("_rl_url"), *[c for c in child.columns if c not in parent.columns])
-    return left.join(right, F.col("_rl_link") == F.col("_rl_url")).drop("_rl_link", "_rl_url")
+    joined = hub_join(left, right, "_rl_link", "_rl_url", hub_share) if hub_share else left.join(right, F.col("_rl_link") == F.col("_rl_url"))
+    return joined.drop("_rl_link", "_rl_url")
 
 
 def add_position(rows: DataFrame, idx: str, pos: str = "pos") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import TMP, blank, cut, first_by, key, micros
+from .base import TMP, blank, cut, first_by, hub_join, key, micros
 from .base import seconds as seconds_of
 
 
@@ -332,12 +332,14 @@ def key_quality(rows: DataFrame, keys: Sequence[str], truth: str) -> DataFrame:
     return false.withColumn("_rl_one", F.lit(1)).join(missed.withColumn("_rl_one", F.lit(1)), "_rl_one").drop("_rl_one")
 
 
-def recording_dedupe(events: DataFrame, seq: str = "seq") -> DataFrame:
+def recording_dedupe(events: DataFrame, seq: str = "seq", hub_share: float | None = None) -> DataFrame:
     """The items scraped in a recording, in order and with repeats; each shows the last value of its id.
 
-    The id is xpath, page and value (link or text, whichever was scraped).
+    The id is xpath, page and value (link or text, whichever was scraped). With `hub_share`, repeats of an item that makes up this share of all or more are spread over tasks.
     """
     value = F.when(F.col("link_scraping"), F.col("link")).otherwise(F.col("text"))
     named = events.withColumn("item_id", F.concat(blank("xpath"), F.lit("_"), blank("source_url"), blank(value))).withColumn("value", value)
     last = named.groupBy("item_id").agg(F.max_by("value", seq).alias("shown"))
+    if hub_share:
+        return hub_join(named, last.withColumnRenamed("item_id", f"{TMP}id"), "item_id", f"{TMP}id", hub_share).select(seq, "item_id", "shown")
     return named.join(last, "item_id").select(seq, "item_id", "shown")

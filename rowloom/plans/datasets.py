@@ -36,6 +36,16 @@ def nested_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nesting.output_row(third, ["c_custkey", "c_name", "o_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "order_idx", "line_idx", F.array_join(F.col("pos").cast("array<string>"), ",").alias("pos")])
 
 
+@query("""
+SELECT o_orderkey, n_nationkey, n_name FROM orders JOIN nation ON n_nationkey = CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_custkey % 25 END
+""")
+def nested_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 where a third of all parents and more link to one page."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.lit(0)).otherwise(F.col("o_custkey") % 25).cast("long").alias("nation"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    return nesting.nested_loop(orders, nations, "nation", "n_nationkey", as_url=False, hub_share=0.1).select("o_orderkey", F.col("nation").alias("n_nationkey"), "n_name")
+
+
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1
