@@ -102,3 +102,45 @@ def grouped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("grp", F.col("l_suppkey") % 3)
     found = lists.grouped_stats(rows, ["grp"], "l_quantity", order)
     return found.select("grp", "n", "total", "low", "high", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.round("spread", 6).alias("spread"), F.array_join(F.transform("modes", lambda v: v.cast("long").cast("string")), ",").alias("modes"))
+
+
+@query("""
+WITH t AS (SELECT event_id, value AS v, least(greatest(value / 100 - 0.2, -1.5), 1.5) AS u, event_type || ' o''neil 2nd  x' AS s FROM events)
+SELECT event_id, abs(u) AS a, -v AS minus, round(CASE WHEN v > 0 THEN ln(v) END, 6) AS log_e, round(CASE WHEN v > 0 THEN log10(v) END, 6) AS log_10, round(exp(u), 6) AS power_e, round(power(10, u), 6) AS power_10, floor(v + 0.5) AS nearest, ceil(v) AS above, floor(v) AS below,
+  round(cos(radians(v)), 6) AS cosine, round(tan(radians(u)), 6) AS tangent, round(CASE WHEN u BETWEEN -1 AND 1 THEN degrees(asin(u)) END, 6) AS arc_sine, round(CASE WHEN u BETWEEN -1 AND 1 THEN degrees(acos(u)) END, 6) AS arc_cosine, round(degrees(atan(v)), 6) AS arc_tangent,
+  CASE WHEN u >= 0 THEN round(sqrt(u), 6) END AS root, event_id % 2 = 1 AS is_odd, v > 20 AS is_above, u < 0 AS is_negative, floor(v) = v AS is_whole,
+  array_to_string(list_transform(regexp_split_to_array(s, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS titled, s[1] AS first_char, s[length(s) - 2] AS third_last, ltrim('   ' || s) AS left_trimmed, rtrim(s || '   ') AS right_trimmed, s[length(s) - 3:] AS tail
+FROM t
+""")
+def cell_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the queries above leave out."""
+    v = F.col("value")
+    u = F.least(F.greatest(v / 100 - 0.2, F.lit(-1.5)), F.lit(1.5))
+    s, six = F.concat("event_type", F.lit(" o'neil 2nd  x")), lambda x: F.round(x, 6)
+    return table(spark, sf_dir, "events").select(
+        "event_id", c.single("abs", u).alias("a"), c.single("neg", v).alias("minus"), six(c.single("ln", v)).alias("log_e"), six(c.single("log10", v)).alias("log_10"), six(c.single("exp", u)).alias("power_e"), six(c.single("pow10", u)).alias("power_10"),
+        c.single("round", v).alias("nearest"), c.single("up", v).alias("above"), c.single("down", v).alias("below"), six(c.single("cos", v)).alias("cosine"), six(c.single("tan", u)).alias("tangent"), six(c.single("asin", u)).alias("arc_sine"),
+        six(c.single("acos", u)).alias("arc_cosine"), six(c.single("atan", v)).alias("arc_tangent"), six(c.single("sqrt", u)).alias("root"), c.number_is(F.col("event_id"), "odd").alias("is_odd"), c.number_is(v - 20, "positive").alias("is_above"),
+        c.number_is(u, "negative").alias("is_negative"), c.number_is(v, "whole").alias("is_whole"), c.title(s).alias("titled"), c.text_char_at(s, "first").alias("first_char"), c.text_char_at(s, "from_end", 2).alias("third_last"),
+        c.trim(F.concat(F.lit(" \t\n"), s), "left").alias("left_trimmed"), c.trim(F.concat(s, F.lit(" \t\n")), "right").alias("right_trimmed"), c.text_substring(s, -4, -1).alias("tail"),
+    )
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, w, list_transform(w, lambda x, i: {'x': x, 'i': i, 'low': lower(x), 'num': coalesce(try_cast(x AS DOUBLE), 0)}) AS e FROM w)
+SELECT doc_id, coalesce(len(w), 0) = 0 AS nothing, array_to_string(w[1:3], ',') AS head, array_to_string(w[-2:], ',') AS tail, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 2 THEN 'NEW' ELSE x END), ',') AS replaced,
+  array_to_string(list_transform(list_sort(list_transform(e, lambda y: {'a': encode(y.x), 'b': y.i, 'x': y.x})), lambda y: y.x), ',') AS by_text, array_to_string(list_transform(list_sort(list_transform(e, lambda y: {'a': encode(y.low), 'b': y.i, 'x': y.x})), lambda y: y.x), ',') AS any_case,
+  array_to_string(list_reverse(list_transform(list_sort(list_transform(e, lambda y: {'a': y.num, 'b': -y.i, 'x': y.x})), lambda y: y.x)), ',') AS by_number_down,
+  CAST(coalesce(list_position(w, 'the'), 0) - 1 AS INTEGER) AS first_the, CAST(CASE WHEN list_contains(w, 'the') THEN len(w) - list_position(list_reverse(w), 'the') ELSE -1 END AS INTEGER) AS last_the, w[2] AS second, w[-2] AS last_but_one
+FROM k
+""")
+def list_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of words: empty ones, parts, replaced items, all orders and their ties."""
+    w, comma = F.col("w"), lambda x: c.list_join(x, ",")
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.filter(F.split("text", "[^A-Za-z0-9]+"), lambda x: x != "").alias("w"))
+    return rows.select(
+        "doc_id", c.lists_is_empty(w).alias("nothing"), comma(c.list_sublist(w, 0, 2)).alias("head"), comma(c.list_sublist(w, -2, -1)).alias("tail"), comma(c.list_set(w, 1, F.lit("NEW"))).alias("replaced"), comma(c.list_sort(w)).alias("by_text"),
+        comma(c.list_sort(w, "IGNORE_CASE")).alias("any_case"), comma(c.list_sort(w, "NUMERIC", descending=True)).alias("by_number_down"), c.list_index_of(w, F.lit("the")).alias("first_the"), c.list_index_of(w, F.lit("the"), last=True).alias("last_the"),
+        c.list_get(w, "from_start", 1).alias("second"), c.list_get(w, "from_end", 1).alias("last_but_one"),
+    )
