@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,6 +77,59 @@ def first_by(rows: DataFrame, keys: Sequence[Column | str], order: Sequence[Colu
     return rows.withColumn(f"{TMP}rank", rank).where(F.col(f"{TMP}rank") == 1).drop(f"{TMP}rank")
 
 
+def _dealt(rows: DataFrame, by: Sequence[str], order: Sequence[str], parts: int, more: dict[str, Column]) -> DataFrame:
+    """`rows` dealt out by ranges of `by` and `order`, with the number of their range."""
+    dealt = rows.withColumns(more).repartitionByRange(parts, *by, *order)
+    return cut(dealt.withColumn(f"{TMP}part", F.spark_partition_id()))
+
+
+def _joined_ends(dealt: DataFrame, ends: DataFrame, by: Sequence[str], taken: Sequence[str]) -> DataFrame:
+    """`dealt` with what the parts before hold of the same key: a row for each part of those keys that several parts share, twice the parts at most."""
+    part = f"{TMP}part"
+    found = F.broadcast(ends.select(*[F.col(c).alias(f"{TMP}b{i}") for i, c in enumerate(by)], F.col(part).alias(f"{TMP}p"), *taken))
+    same = F.col(part) == F.col(f"{TMP}p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"{TMP}b{i}"))
+    return dealt.join(found, same, "left")
+
+
+def running_sums(rows: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """`rows` with sums (of whole numbers) over the rows of their key up to each, in `order` (total).
+
+    With `parts`, keys of any number of rows are summed in so many ranges at once, and only the ranges' sums are added up; else a key's rows meet in a window.
+    """
+    if not parts:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({n: F.sum(x).over(w) for n, x in sums.items()})
+    part, each = f"{TMP}part", {f"{TMP}x{k}": x for k, x in enumerate(sums.values())}
+    dealt = _dealt(rows, by, order, parts, each)
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy(*by, part).agg(*[F.sum(x).alias(x) for x in each]).select(*by, part, *[F.sum(x).over(before).alias(f"{x}b") for x in each])
+    some = reduce(lambda a, b: a | b, [F.col(f"{x}b").isNotNull() for x in each])
+    w = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = _joined_ends(dealt, ends.where(some), by, [f"{x}b" for x in each])
+    return found.select(*[c for c in rows.columns if c not in sums], *[(F.sum(x).over(w) + F.coalesce(f"{x}b", F.lit(0))).alias(n) for n, x in zip(sums, each, strict=True)])
+
+
+def neighbour(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, out: str, following: bool = False, parts: int | None = None) -> DataFrame:
+    """`rows` with the value of the row of their key before (`following`: after) each, in `order` (total); null for the first (last).
+
+    With `parts`, keys of any number of rows are taken in so many ranges at once, and a range gets the last (first) value of the one beside it; else a key's rows meet in a window.
+    """
+    if not parts:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn(out, (F.lead(value) if following else F.lag(value)).over(w))
+    part, x = f"{TMP}part", f"{TMP}x"
+    dealt = _dealt(rows, by, order, parts, {x: F.struct(value.alias("v"))})
+    edge = (F.min_by if following else F.max_by)(x, F.struct(*order))
+    beside = Window.partitionBy(*by).orderBy(part)
+    ends = dealt.groupBy(*by, part).agg(edge.alias("e")).select(*by, part, (F.lead("e") if following else F.lag("e")).over(beside).alias(f"{TMP}e"))
+    w = Window.partitionBy(*by, part).orderBy(*order)
+    own = (F.lead(x) if following else F.lag(x)).over(w)
+    found = _joined_ends(dealt, ends.where(F.col(f"{TMP}e").isNotNull()), by, [f"{TMP}e"]).withColumn(f"{TMP}o", own)
+    return found.select(*[c for c in rows.columns if c != out], F.coalesce(f"{TMP}o", f"{TMP}e")["v"].alias(out))
+
+
 def hub_keys(rows: DataFrame, key: str, share: float) -> list:
     """The values of a column (not null) that at least about `share` of the rows have: 1 / share of them at most.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .base import first_by, running_sums
 from .base import seconds as seconds_of
 
 NEXT_NONE, NEXT_BUTTON, NEXT_MORE, NEXT_SCROLL = 1, 2, 3, 4
@@ -29,15 +30,11 @@ def stitch_cumulative(rows: DataFrame, relation: Sequence[str], page: str = "pag
     return rows.join(_before(rows, relation, page, F.max), [*relation, page]).where(F.col(idx) > F.col("_rl_before")).withColumn("position", F.col(idx)).drop("_rl_before")
 
 
-def list_ended(attempts: DataFrame, relation: Sequence[str], order: Sequence[str], has_new: str = "has_new", tries: int = 3) -> DataFrame:
-    """The attempt at which each list ended: the first that is the `tries`-th in a row without new rows."""
-    w = Window.partitionBy(*relation).orderBy(*order)
-    island = F.sum(F.col(has_new).cast("int")).over(w)
-    dry = attempts.withColumn("_rl_island", island).where(~F.col(has_new))
-    nth = F.row_number().over(Window.partitionBy(*relation, "_rl_island").orderBy(*order))
-    ends = dry.withColumn("_rl_nth", nth).where(F.col("_rl_nth") == tries)
-    first = F.row_number().over(w)
-    return ends.withColumn("_rl_first", first).where(F.col("_rl_first") == 1).drop("_rl_island", "_rl_nth", "_rl_first")
+def list_ended(attempts: DataFrame, relation: Sequence[str], order: Sequence[str], has_new: str = "has_new", tries: int = 3, parts: int | None = None) -> DataFrame:
+    """The attempt at which each list ended: the first that is the `tries`-th in a row without new rows. `parts` splits lists with very many attempts."""
+    islands = running_sums(attempts, list(relation), order, {"_rl_island": F.col(has_new).cast("int")}, parts)
+    dry = running_sums(islands.where(~F.col(has_new)), [*relation, "_rl_island"], order, {"_rl_nth": F.lit(1)}, parts)
+    return first_by(dry.where(F.col("_rl_nth") == tries), list(relation), order).drop("_rl_island", "_rl_nth")
 
 
 def attempt_timeout(attempts: DataFrame, seconds: float, clicked: str = "ts_click", arrived: str = "ts_rows") -> DataFrame:

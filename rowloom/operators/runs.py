@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import blank, first_by, key, micros
+from .base import blank, first_by, key, micros, running_sums
 from .base import seconds as seconds_of
 from .skip import skip_ever
 
@@ -54,13 +54,12 @@ def time_budget(runs: DataFrame, hours: float, machines: str = "machines", taken
     return runs.withColumns({"budget_s": share, "timed_out": F.col(taken) > share})
 
 
-def retry_status(attempts: DataFrame, worker: Sequence[str], order: Sequence[str], failed: str = "failed") -> DataFrame:
-    """Failures in a row up to each attempt, and what follows: ok, retry (below 3), new_driver (below 10), give_up."""
-    w = Window.partitionBy(*worker).orderBy(*order)
-    island = F.sum((~F.col(failed)).cast("int")).over(w)
-    n = F.sum(F.col(failed).cast("int")).over(Window.partitionBy(*worker, "_rl_island").orderBy(*order))
+def retry_status(attempts: DataFrame, worker: Sequence[str], order: Sequence[str], failed: str = "failed", parts: int | None = None) -> DataFrame:
+    """Failures in a row up to each attempt, and what follows: ok, retry (below 3), new_driver (below 10), give_up. `parts` splits workers with very many attempts."""
+    islands = running_sums(attempts, list(worker), order, {"_rl_island": (~F.col(failed)).cast("int")}, parts)
+    counted = running_sums(islands, [*worker, "_rl_island"], order, {"failures": F.col(failed).cast("int")}, parts)
     status = F.when(~F.col(failed), "ok").when(F.col("failures") < 3, "retry").when(F.col("failures") < 10, "new_driver").otherwise("give_up")
-    return attempts.withColumn("_rl_island", island).withColumn("failures", n).withColumn("status", status).drop("_rl_island")
+    return counted.withColumn("status", status).drop("_rl_island")
 
 
 def parse_run_name(name: Column) -> dict[str, Column]:

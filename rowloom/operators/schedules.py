@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import TMP, micros
+from .base import TMP, micros, neighbour
 
 
 def schedule_diff(current: DataFrame, active: DataFrame) -> DataFrame:
@@ -52,10 +52,11 @@ def overlapping_runs(runs: DataFrame, machine: Sequence[str] = ("machine",), run
     return over.join(points, on).select(*[o(m).alias(m) for m in machine], F.least(o(run), p(run)).alias("run_a"), F.greatest(o(run), p(run)).alias("run_b"), p(start).alias("from_ts"), F.least(o(end), p(end)).alias("to_ts"))
 
 
-def preempt(runs: DataFrame, machine: Sequence[str] = ("machine",), order: Sequence[str] = ("start_ts", "run_id"), start: str = "start_ts", end: str = "end_ts") -> DataFrame:
-    """H3: a later start halts the running one: stopped_at is the run's end or the next start, whichever is first."""
-    following = F.lead(start).over(Window.partitionBy(*machine).orderBy(*order))
-    return runs.withColumns({"stopped_at": F.least(F.col(end), following), "preempted": F.coalesce(following < F.col(end), F.lit(False))})
+def preempt(runs: DataFrame, machine: Sequence[str] = ("machine",), order: Sequence[str] = ("start_ts", "run_id"), start: str = "start_ts", end: str = "end_ts", parts: int | None = None) -> DataFrame:
+    """H3: a later start halts the running one: stopped_at is the run's end or the next start, whichever is first. `parts` splits machines with very many runs."""
+    following = F.col(f"{TMP}next")
+    found = neighbour(runs, list(machine), list(order), F.col(start), f"{TMP}next", following=True, parts=parts)
+    return found.withColumns({"stopped_at": F.least(F.col(end), following), "preempted": F.coalesce(following < F.col(end), F.lit(False))}).drop(f"{TMP}next")
 
 
 def add_scheduled_run(schedules: DataFrame, new: DataFrame) -> DataFrame:

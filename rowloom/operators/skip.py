@@ -14,11 +14,11 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import TMP, blank, cut, first_by, hub_join, key, micros
+from .base import TMP, blank, cut, first_by, hub_join, key, micros, neighbour
 from .base import seconds as seconds_of
 
 
@@ -231,21 +231,23 @@ def _next(at: np.ndarray, limit: float) -> np.ndarray:
 def skip_last_runs(rows: DataFrame, keys: Sequence[str], n: int, order: Sequence[str], run_no: str = "run_no", since: str = "commit", parts: int | None = None) -> DataFrame:
     """K4: skipped if the key was committed in this run or the n runs before; `since="sighting"` counts mere sightings."""
     if since == "sighting":
-        return _since_sighting(rows, keys, F.col(run_no).cast("double"), n, order)
+        return _since_sighting(rows, keys, F.col(run_no).cast("double"), n, order, parts)
     return greedy(rows, keys, F.col(run_no), n, order, parts=parts)
 
 
 def skip_within(rows: DataFrame, keys: Sequence[str], seconds: float, order: Sequence[str], ts: str = "ts", since: str = "commit", last_kept: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """K5: skipped if the key was committed within the period before; `since="sighting"` counts mere sightings. `kept_at` of `last_kept` is in seconds."""
     if since == "sighting":
-        return _since_sighting(rows, keys, seconds_of(ts), seconds, order)
+        return _since_sighting(rows, keys, seconds_of(ts), seconds, order, parts)
     before = None if last_kept is None else last_kept.withColumn("kept_at", F.round(F.col("kept_at") * 1e6))
     return greedy(rows, keys, micros(ts), round(seconds * 1e6), order, before, parts)  # whole microseconds are exact
 
 
-def _since_sighting(rows: DataFrame, keys: Sequence[str], at: Column, limit: float, order: Sequence[str]) -> DataFrame:
-    gap = at - F.lag(at).over(Window.partitionBy(*[blank(k) for k in keys]).orderBy(*order))
-    return rows.withColumn(f"{TMP}gap", gap).where(F.col(f"{TMP}gap").isNull() | (F.col(f"{TMP}gap") > limit)).drop(f"{TMP}gap")
+def _since_sighting(rows: DataFrame, keys: Sequence[str], at: Column, limit: float, order: Sequence[str], parts: int | None) -> DataFrame:
+    k, t, before = f"{TMP}k", f"{TMP}at", f"{TMP}before"
+    found = neighbour(rows.withColumns({k: F.to_json(key(keys)), t: at}), [k], order, F.col(t), before, parts=parts)
+    gap = F.col(t) - F.col(before)
+    return found.where(gap.isNull() | (gap > limit)).drop(k, t, before)
 
 
 def skip_hierarchical(parents: DataFrame, children: DataFrame, parent_id: str, child_parent: str, decide_parents, decide_children) -> tuple[DataFrame, DataFrame]:
@@ -265,11 +267,12 @@ def commit(kept: DataFrame, keys: Sequence[str], path: str, program_id: int, run
     found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("program_id", "run_id").parquet(path)
 
 
-def changed_rows(rows: DataFrame, ids: Sequence[str], values: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows whose values differ from the same object's row before; an object's first row counts as changed."""
-    w = Window.partitionBy(*[blank(c) for c in ids]).orderBy(*order)
-    before = F.lag(key(values)).over(w)
-    return rows.withColumn(f"{TMP}before", before).where(F.col(f"{TMP}before").isNull() | (F.col(f"{TMP}before") != key(values))).drop(f"{TMP}before")
+def changed_rows(rows: DataFrame, ids: Sequence[str], values: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Rows whose values differ from the same object's row before; an object's first row counts as changed. `parts` splits objects with very many rows."""
+    names = [f"{TMP}id{i}" for i in range(len(ids))]
+    before = f"{TMP}before"
+    found = neighbour(rows.withColumns({n: blank(c) for n, c in zip(names, ids, strict=True)}), names, order, key(values), before, parts=parts)
+    return found.where(F.col(before).isNull() | (F.col(before) != key(values))).drop(before, *names)
 
 
 def _digest(cells: Sequence[Column]) -> Column:
