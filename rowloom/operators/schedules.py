@@ -30,20 +30,17 @@ def overlapping_runs(runs: DataFrame, machine: Sequence[str] = ("machine",), run
     timed = runs.where(F.col(start) < F.col(end)).select(*machine, run, start, end, micros(start).alias(a), micros(end).alias(b))
     middle, longest = timed.agg(F.percentile_approx(F.col(b) - F.col(a), 0.5, 100), F.max(F.col(b) - F.col(a))).first()
     size = max(1, round(cell_seconds * 1e6) if cell_seconds else middle or 1)
-    top = max(0, ((longest or 1) // size + 2).bit_length())
+    top = max(1, (longest or 1) // size + 2).bit_length() - 1
     pieces = timed.withColumns({f"{TMP}l": F.floor(F.col(a) / size), f"{TMP}r": F.floor((F.col(b) - 1) / size) + 1})
 
-    def level(k: Column) -> Column:
+    def level(k: int) -> list[Column]:
         """The pieces of level k: an odd one at the left, an odd one at the right."""
-        width = F.pow(F.lit(2.0), k).cast("long")
-        left, right = -F.floor(-F.col(f"{TMP}l") / width), F.floor(F.col(f"{TMP}r") / width)
-        piece = lambda ok, n: F.when((left < right) & ok, F.struct(k.cast("int").alias("level"), n.alias("piece")))
-        return F.array(piece(left % 2 != 0, left), piece(right % 2 != 0, right - 1))
-
-    covers = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(top)), level)), lambda x: x.isNotNull())
-    over = pieces.select("*", F.inline(covers)).alias("o")
-    levels = [r[0] for r in over.select("level").distinct().collect()]  # some sixty at most
-    path = F.transform(F.array(*[F.lit(k).cast("int") for k in sorted(levels)]), lambda k: F.struct(k.alias("level"), F.floor(F.col(cell) / F.pow(F.lit(2.0), k).cast("long")).alias("piece")))
+        left, right = -F.shiftright(-F.col(f"{TMP}l"), k), F.shiftright(F.col(f"{TMP}r"), k)
+        piece = lambda ok, n: F.when((left < right) & ok, F.struct(F.lit(k).alias("level"), n.alias("piece")))
+        return [piece(left.bitwiseAND(1) == 1, left), piece(right.bitwiseAND(1) == 1, right - 1)]
+
+    over = pieces.select("*", F.inline(F.array(*[x for k in range(top + 1) for x in level(k)]))).where("piece is not null").alias("o")
+    path = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(cell), k).alias("piece")) for k in range(top + 1)])
     points = timed.withColumn(cell, F.floor(F.col(a) / size)).select("*", F.inline(path)).alias("p")
     o, p = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"p.{c}"))
     on = (o("level") == p("level")) & (o("piece") == p("piece")) & (o(a) <= p(a)) & (p(a) < o(b)) & ((o(a) < p(a)) | (o(run) < p(run))) & (o(run) != p(run))

@@ -99,13 +99,18 @@ def greedy(rows: DataFrame, keys: Sequence[str], at: Column, limit: float, order
     return dealt.mapInArrow(run, T.StructType([rows.schema[c] for c in names]))
 
 
+#: Groups of shared keys, in all, that are followed on the driver instead of by joins.
+FEW = 50_000
+
+
 def _entries(dealt: DataFrame, limit: float, before: DataFrame | None) -> list[tuple[str, int, float]]:
     """(key, part, last kept position before the part) of the keys that several parts share; infinity where nothing of the part is kept.
 
     Within a part every row leads to a next kept row, and so to the last one kept there (pointer doubling). Neighbouring rows with the same last one form a group: a
     part's map from entry to exit. An exit leads to one group of the part that holds the first position beyond the limit, so all groups
-    form a forest, and doubling of its pointers marks the groups that each key's first row leads to in log2(parts) rounds of joins. Shared keys are fewer
-    than parts, and only their parts' bounds and entries come to the driver: both are bounded by the number of partitions.
+    form a forest, and doubling of its pointers marks the groups that each key's first row leads to in log2(parts) rounds of joins (`FEW` groups or fewer are
+    followed on the driver, with the same result). Shared keys are fewer than parts, and beyond that only their parts' bounds and entries come to the driver: both are bounded by
+    the number of partitions.
     """
     k, t, part = (f"{TMP}{c}" for c in ("k", "at", "part"))
     spans = dealt.groupBy(k, part).agg(F.min(t).alias("low"), F.max(t).alias("high"))
@@ -163,7 +168,21 @@ def _entries(dealt: DataFrame, limit: float, before: DataFrame | None) -> list[t
                     held.setdefault((names[a], p[a]), []).append(at[a:b])
         yield from flush()
 
-    groups = cut(dealt.where(F.col(k).isin(list(bounds))).mapInArrow(maps, groups_schema))
+    groups = dealt.where(F.col(k).isin(list(bounds))).mapInArrow(maps, groups_schema)
+    few = groups.limit(FEW + 1).toArrow()
+    if few.num_rows <= FEW:  # so few that they are followed here, a step for each part
+        of: dict[tuple[str, int], list[tuple[float, float]]] = {}
+        for name, p, high, leaves in zip(*(few.column(c).to_pylist() for c in ("k", "part", "high", "leaves")), strict=True):
+            of.setdefault((name, p), []).append((high, leaves))
+        last = {}
+        for name, (p, leaves) in first.items():
+            while p is not None:
+                last[name, p] = leaves
+                own = sorted(of[name, p])
+                leaves = own[bisect.bisect_left(own, True, key=lambda g, v=leaves: g[0] - v > limit)][1]
+                p = target(name, leaves)
+        return [(name, p, last.get((name, p), float("inf"))) for name, (parts, _) in bounds.items() for p in parts]
+    groups = cut(groups)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups to the pairs (part they are left from, part they are entered in): as exits where they lead, as entries from wherever exits may come."""

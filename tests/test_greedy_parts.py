@@ -20,8 +20,10 @@ def loop(rows, limit, before):
     return sorted(want)
 
 
+@pytest.mark.parametrize("few", [0, skip.FEW])
 @pytest.mark.parametrize("case", range(8))
-def test_against_a_loop(spark, case):
+def test_against_a_loop(spark, case, few, monkeypatch):
+    monkeypatch.setattr(skip, "FEW", few)  # 0: by joins, whatever the number of groups
     rng = random.Random(case)
     n, limit, span = [(3000, 10, 5000), (3000, 100, 5000), (2000, 0.1, 100), (2000, 1000, 5000), (1500, 3, 200), (1500, 0, 50), (5, 3, 50), (2500, 40, 1000)][case]
     rows = [(rng.choice(["a"] * 5 + ["b", "", None, "c"]), None if rng.random() < 0.02 else rng.randrange(span) / (10 if limit == 0.1 else 1)) for _ in range(n)]
