@@ -61,3 +61,21 @@ def test_pages_as_nodes(spark):
     snaps = spark.createDataFrame([(1, {"tag": "h1", "text": "Head 2"}, None), (2, {"tag": "p", "class": "x"}, ["class"])], SNAPSHOTS)
     got = {(r.page_id, r.snapshot_id): r.node_id for r in predicates.find_snapshots(found, snaps, 0.3).collect()}
     assert got == {**{(k, 1): 0 for k in range(4)}, **{(k, 2): 1 for k in range(4)}}
+
+
+@pytest.mark.parametrize("most", [0, 2])
+def test_sets_by_their_rarest_property(spark, monkeypatch, most):
+    monkeypatch.setattr(predicates, "MOST_SETS", most)
+    test_against_every_pair(spark, 0.5, 3)
+    test_against_every_pair(spark, 0.9, 1)
+
+
+def test_copies_are_scored_once(spark):
+    """300 copies of a node on two pages and 300 copies of it as snapshots: their 180,000 pairs are one of each page, not rows of a join."""
+    rows = [(n % 2, n, {"tag": "a", "id": "x"}) for n in range(600)] + [(0, 1000 + n, {"tag": "b", "id": str(n)}) for n in range(50)]
+    snaps = [(n, {"id": "x", "tag": "a"}, ["tag"]) for n in range(300)]
+    found = predicates.find_snapshots(spark.createDataFrame(rows, NODES).repartition(3), spark.createDataFrame(snaps, SNAPSHOTS), 0.9)
+    assert {(r.page_id, r.snapshot_id, r.node_id) for r in found.collect()} == {(p, s, p) for p in (0, 1) for s in range(300)}
+    plan = found._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert "own" in text and text.count("Window") >= 2
