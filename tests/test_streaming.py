@@ -1,6 +1,7 @@
 """Streams over several files give what the batch rules give."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -102,3 +103,21 @@ def test_state_is_bounded_and_frames_stream(spark, tmp_path):
     got = sorted(r.n for r in spark.read.schema(SCHEMA).parquet(str(tmp_path / "out")).collect())
     want = sorted(r.n for r in skip.skip_within(spark.createDataFrame(rows, SCHEMA), ["k"], 1800, ["ts", "n"]).collect())
     assert got == want and max(sizes) <= 4, sizes  # of 81 keys
+
+
+def test_keys_in_several_frames_and_no_order(spark, tmp_path):
+    """Rows of a key come in any order, with equal times, and frames end in the middle of keys: still the batch rule."""
+    start = dt.datetime(2024, 1, 1)
+    rng = random.Random(3)
+    rows = [(i, f"k{i % 7}" if i % 3 else "hot", start + dt.timedelta(minutes=rng.randrange(900))) for i in range(3000)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "in"))
+    frames = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        out = run(spark, streaming.stream_skip_within(streaming.stream_rows(spark, str(tmp_path / "in"), SCHEMA), ["k"], 1800, order=["n"]), str(tmp_path))
+        got = sorted(r.n for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", frames)
+    want = sorted(r.n for r in skip.skip_within(spark.createDataFrame(rows, SCHEMA), ["k"], 1800, ["ts", "n"]).collect())
+    assert got == want and len(want) > 100
