@@ -316,13 +316,71 @@ def key_report(rows: DataFrame, key_sets: Mapping[str, Sequence[str]]) -> DataFr
     return every.select("key_name", n["n_rows"].alias("n_rows"), n["n_keys"].alias("n_keys"), (n["n_rows"] - n["n_keys"]).alias("n_dropped"), n["n_empty"].alias("n_empty"), n["largest"].alias("largest"))
 
 
-def minimal_keys(rows: DataFrame, columns: Sequence[str], most: int = 4, at_once: int = 100) -> DataFrame:
+#: Rows of a table for each range of digests that `_repeated` compares in one piece.
+PIECE = 100_000
+
+
+def _repeated(rows: DataFrame, sets: Sequence[Sequence[str]], n: int) -> set[int]:
+    """The numbers of the sets of columns whose cells two of the n rows share.
+
+    Each row has a digest of 38 to 48 bits for each set, more for more rows. Tasks sort them and hand them on by range, four bytes each, and each range looks for
+    equal ones. Only rows with such a digest are then grouped by 128 bits. Pieces are bounded by `PIECE` rows or so for each range.
+    """
+    bits = min(16, max(6, math.ceil(math.log2(max(1, n / PIECE)))))
+    low = np.uint64(2**32 - 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            ks, ranges, data = [], [], []
+            for k in range(len(sets)):
+                every = np.sort(np.concatenate([b.column(k).to_numpy().view(np.uint64) for b in held]) >> np.uint64(32 - bits))
+                at, of = (every >> np.uint64(32)).astype(np.int64), (every & low).astype("<u4")
+                cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                    ks.append(k)
+                    ranges.append(int(at[a]))
+                    data.append(of[a:b].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(ranges, pa.int64()), pa.array(data, pa.binary())], names=["k", "range", "data"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 1_000_000:
+                yield flush()
+                held.clear()
+                size = 0
+        if size:
+            yield flush()
+
+    def meet(table: pa.Table) -> pa.Table:
+        every = np.sort(np.concatenate([np.frombuffer(x, "<u4") for x in table.column("data").to_pylist()]))
+        same = np.unique(every[1:][every[1:] == every[:-1]]).astype(np.int64)
+        k, at = table.column("k")[0].as_py(), table.column("range")[0].as_py()
+        return pa.table({"k": pa.array(np.full(len(same), k, np.int32)), "short": pa.array(same + (at << 32))})
+
+    digests = [F.xxhash64(*[blank(x) for x in c]) for c in sets]
+    dealt = rows.select(*[d.alias(f"h{i}") for i, d in enumerate(digests)]).mapInArrow(deal, "k int, range long, data binary")
+    shared = cut(dealt.groupBy("k", "range").applyInArrow(meet, "k int, short long"))
+    many = shared.count()
+    if not many:
+        return set()
+    if many <= 1_000_000:  # chance ones, and those that a slice did not show
+        shared = F.broadcast(shared)
+    each = F.array(*[F.struct(F.lit(i).alias("k"), F.shiftrightunsigned(d, 32 - bits).alias("short"), _digest([blank(x) for x in c]).alias("key")) for i, (c, d) in enumerate(zip(sets, digests, strict=True))])
+    twice = rows.select(F.inline(each)).join(shared, ["k", "short"], "left_semi").groupBy("k", "key").count().where("count > 1")
+    return {r.k for r in twice.select("k").distinct().collect()}
+
+
+def minimal_keys(rows: DataFrame, columns: Sequence[str], most: int = 4, at_once: int = 100, slices: int = 64) -> DataFrame:
     """All minimal keys among `columns` with up to `most` of them: key (its columns, in the given order), n_rows. Without rows, the empty key.
 
     A key tells all rows apart, missing and empty cells being equal. Sets of columns are taken by size. A pass over the rows sketches the number of
-    distinct cells of all sets of one size (HyperLogLog, 4,096 registers: a standard error of 1.6 %), a second one counts exactly those that come within
-    four standard errors of the number of rows. Sets that hold a key are passed over, and sets that cannot be keys as their columns' numbers multiply to too few. So there are two
-    passes for each size, whatever the number of sets (`at_once` share a pass); every reported key is counted exactly, and a key is missed only if
+    distinct cells of all sets of one size (HyperLogLog, 4,096 registers: a standard error of 1.6 %); those that come within four standard errors of the number
+    of rows go on. Of these, one slice of the digests (`slices` make up all) is grouped: two equal ones prove a set no key. All rows are compared for the few sets that are left, by
+    `_repeated`, which exchanges four bytes a row and set. Sets that hold a key are passed over, and sets that cannot be keys as their columns' numbers multiply to too few. So
+    the passes are a few for each size, whatever the number of sets (`at_once` share a pass); every reported key is compared on all rows, and a key is missed only if
     its sketch is off by more than four standard errors (about once in 15,000).
     """
     spark, n = rows.sparkSession, rows.count()
@@ -340,9 +398,14 @@ def minimal_keys(rows: DataFrame, columns: Sequence[str], most: int = 4, at_once
             estimates |= {c: max(1.0, float(x)) for c, x in zip(part, sketched, strict=True)}
             likely += [c for c in part if estimates[c] >= near * n]
         for k in range(0, len(likely), at_once):
-            report = key_report(rows, {str(i): c for i, c in enumerate(likely[k : k + at_once])})
-            exact = {int(r.key_name): r.n_keys for r in report.collect()}
-            found += [c for i, c in enumerate(likely[k : k + at_once]) if exact[i] == n]
+            part = likely[k : k + at_once]
+            each = F.array(*[F.struct(F.lit(i).alias("k"), _digest([blank(x) for x in c]).alias("key")) for i, c in enumerate(part)])
+            slice_of = F.filter(each, lambda e: F.pmod(e["key"]["a"], F.lit(slices)) == 0)
+            twice = rows.select(F.inline(slice_of)).groupBy("k", "key").count().where("count > 1")
+            out = {r.k for r in twice.select("k").distinct().collect()}
+            part = [c for i, c in enumerate(part) if i not in out]
+            again = _repeated(rows, part, n) if part else set()
+            found += [c for i, c in enumerate(part) if i not in again]
     return spark.createDataFrame([(list(c), n) for c in found], "key array<string>, n_rows long")
 
 
