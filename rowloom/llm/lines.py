@@ -506,14 +506,12 @@ def _gram_links(lines: DataFrame, similarity: float, min_words: int) -> DataFram
     width = 1 << WORDS_LOG2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(width, np.uint32)
+        found = np.zeros(width, np.uint64)
         for batch in batches:
-            found += np.bincount(_flat(batch.column(0))[0] >> np.uint32(32 - WORDS_LOG2), minlength=width).astype(np.uint32)
+            found += np.bincount(_flat(batch.column(0))[0] >> np.uint32(32 - WORDS_LOG2), minlength=width).astype(np.uint64)
         yield from pieces_of(found, 1 << 14)
 
-    # the order comes from some 200,000 lines; it changes the cost, never the result
-    sample = lines.where(F.pmod(F.xxhash64("h"), F.lit(max(1, total // 200_000))) == 0).select("seq")
-    order = share(spark, merged_pieces(sample.mapInArrow(tidy(count), "piece int, data binary"), width, np.uint32, lambda a, b: a.astype(np.uint64) + b, lambda x: np.round(8 * np.log2(np.maximum(x, 1))).clip(0, 255).astype(np.uint8)))
+    order = share(spark, merged_pieces(lines.select("seq").mapInArrow(tidy(count), "piece int, data binary"), width, np.uint64, np.add, lambda x: np.round(8 * np.log2(np.maximum(x, 1))).clip(0, 255).astype(np.uint8)))
     buckets = max(64, total // 8_000)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

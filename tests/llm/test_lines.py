@@ -45,3 +45,12 @@ def test_all_similar_lines_go(spark, tmp_path, monkeypatch, group):
 
 def test_gram_size():
     assert lines.gram_size(0.8, 5) == 2 and lines.gram_size(0.5, 5) == 1
+
+
+def test_order_of_words_counts_all_lines(spark, monkeypatch):
+    seq = np.array([7 << 14, 9 << 14], "<u4").tobytes().hex()
+    df = spark.range(600_000).selectExpr("id * 1048576 AS h", f"unhex('{seq}') AS seq")
+    monkeypatch.setattr(lines, "share", lambda _, order: (_ for _ in ()).throw(LookupError(order[7], order[9], order[8])))
+    with pytest.raises(LookupError) as found:
+        lines._gram_links(df, 0.8, 5)
+    assert found.value.args == (round(8 * np.log2(600_000)),) * 2 + (0,)
