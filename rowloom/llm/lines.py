@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import TMP, attach, connected_components, cut, discard, may_be_in, merge_sets, merged_pieces, mix, pieces_of, ragged, reclaim, run_hashes, share, slices, stored, text_words, tidy
 
 DISTANCE = 3
-#: Block values with more lines become pairs of chunks of about that size.
+#: Block values and groups of keys with more lines become pairs of chunks of about that size.
 CHUNK = 20_000
 #: Letters, digits and all beyond ASCII are words; newlines part lines; the rest is space.
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b == 10 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -499,7 +499,7 @@ def _gram_links(lines: DataFrame, similarity: float, min_words: int) -> DataFram
     """(a, b): links that connect all lines (h, seq; repeats allowed) whose word sequences are similar enough.
 
     Lines that share a key and may be similar by length and parities are pairs; their edit similarity decides. A key of
-    many lines first gives links to one of them, and pairs only between lines that are not connected by then.
+    many lines first gives links to one of them; lines that are not connected by then are compared where they are (`_group_links`).
     Entries of keys name a line by 40 bits of its hash; what these bits have in common is told apart when lines are fetched.
     """
     spark, size, total = lines.sparkSession, gram_size(similarity, min_words), max(1, lines.count())
@@ -544,11 +544,11 @@ def _gram_links(lines: DataFrame, similarity: float, min_words: int) -> DataFram
         yield from _key_pairs(held, now, buckets, similarity)
 
     dealt = lines.mapInArrow(tidy(keys), "bucket long, data binary").repartition("bucket").sortWithinPartitions("bucket")
-    found = stored(dealt.mapInArrow(tidy(pairs), "key long, a long, b long, n int"))
+    found = stored(dealt.mapInArrow(tidy(pairs), "key long, a long, b long"))
     del dealt
     reclaim(spark)
     first = _verified(found.where("key is null").select("a", "b").distinct(), lines, similarity)
-    many = found.where("key is not null").select("key", F.col("a").alias("low"), "n")
+    many = found.where("key is not null").select("key", F.col("a").alias("low"))
     if many.isEmpty():
         return first
     nodes = connected_components(first).select((F.col("node").bitwiseAND(F.lit(_LOW))).alias("low"), F.col("root").alias("label"))
@@ -556,25 +556,117 @@ def _gram_links(lines: DataFrame, similarity: float, min_words: int) -> DataFram
     labelled = cut(many.join(labels.hint("merge"), "low", "left").withColumn("label", F.coalesce("label", "low")))
     discard(found)
 
-    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2_000):
-                flat, at = _flat(batch.column(1).slice(k, 2_000))
-                cells = np.repeat(np.arange(len(at) - 1), np.diff(at)) * 256 + (flat & np.uint32(255))
-                sums = np.packbits((np.bincount(cells, minlength=256 * (len(at) - 1)) & 1).astype(bool)).view(np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 2_000), *(pa.array(np.ascontiguousarray(sums[:, c])) for c in range(4))], names=["low", "s0", "s1", "s2", "s3"])
-
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = cut(labelled.join(mixed.hint("merge"), "key", "left_semi"))
+    # keys of many lines that are not all connected; those with the same smallest line are one group, so a pair of lines mostly meets in one place
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("low").alias("g")).where("lo < hi").select("key", "g")
+    rest = cut(labelled.join(mixed.hint("merge"), "key").groupBy("g", "low").agg(F.collect_list("key").alias("keys"), F.first("label").alias("label")))
     if rest.isEmpty():
         return first
-    sums = _wanted(lines, rest.select("low").distinct()).select("low", "seq").mapInArrow(tidy(parities), "low long, s0 long, s1 long, s2 long, s3 long")
-    rest = cut(rest.join(sums.hint("merge"), "low"))
-    x, y = (rest.select(*[F.col(c).alias(f"{p}_{c}") for c in rest.columns]) for p in "xy")
-    most = F.floor(F.greatest("x_n", "y_n") * (1 - similarity) + 1e-9)
-    near = (F.col("x_low") < F.col("y_low")) & (F.col("x_label") != F.col("y_label")) & (F.abs(F.col("x_n") - F.col("y_n")) <= most) & (sum(F.bit_count(F.col(f"x_s{c}").bitwiseXOR(F.col(f"y_s{c}"))) for c in range(4)) <= 2 * most - F.abs(F.col("x_n") - F.col("y_n")))
-    others = x.join(y, (F.col("x_key") == F.col("y_key")) & near).select(F.col("x_low").alias("a"), F.col("y_low").alias("b")).distinct()
-    return first.union(_verified(others, lines, similarity))
+    hot = cut(rest.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("g", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    if hot.isEmpty():
+        rest = rest.select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("chunk"), "low", "label", "keys")
+    else:
+        rest = rest.join(hot.hint("merge"), "g", "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("low"), F.col("chunks")).cast("int")).otherwise(0))
+        sides = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
+        rest = rest.select("g", F.explode(sides).alias("p"), "chunk", "low", "label", "keys").select("g", "p.i", "p.j", "chunk", "low", "label", "keys")
+    texts = _wanted(lines, rest.select("low").distinct())
+    whole = rest.join(texts.hint("merge"), "low").select("g", "i", "j", "chunk", "low", "label", "keys", "h", "seq")
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK or sum(b.nbytes for b in held) >= 32 << 20:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                name = np.stack([rows.column(c).to_numpy() for c in ("g", "i", "j")])
+                ends = np.flatnonzero((name[:, 1:] != name[:, :-1]).any(axis=0)) + 1
+                if len(ends):  # all but the last group, which may go on
+                    yield _group_links(rows.slice(0, int(ends[-1])), similarity)
+                    held = rows.slice(int(ends[-1])).to_batches()
+        if held:
+            yield _group_links(pa.Table.from_batches(held), similarity)
+
+    return first.union(cut(whole.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(tidy(connect), "a long, b long")))
+
+
+def _group_links(rows: pa.Table, similarity: float) -> pa.RecordBatch:
+    """(a, b): links that connect what is similar among the lines of each key, for whole groups (g, i, j) of keys, in order.
+
+    By turns the shortest line of each key is compared with all others of its keys that are not connected with it by then, and leaves them;
+    keys of connected lines are done. So each pair of lines of a key is compared or connected, and copies of a line in many variants take few turns.
+    """
+    rows = rows.combine_chunks()
+    g, i, j, chunk, low, label, h = (rows.column(c).to_numpy() for c in ("g", "i", "j", "chunk", "low", "label", "h"))
+    count = len(h)
+    block = np.cumsum(np.concatenate([[0], (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    flat, at = _flat(pa.concat_arrays(rows.column("seq").chunks))
+    n, sums = np.diff(at), _sums(flat, at)
+    # lines of one label are connected; where 40 bits name several lines, a label may be that of another one
+    by = np.lexsort((low, block))
+    twice = np.zeros(count, bool)
+    same = (block[by][1:] == block[by][:-1]) & (low[by][1:] == low[by][:-1])
+    twice[by[1:][same]] = twice[by[:-1][same]] = True
+    of = _numbered(block, twice, np.where(twice, np.arange(count), label))
+    smallest = np.full(count, count)
+    np.minimum.at(smallest, of, np.arange(count))
+    root = smallest[of]
+    lists = pa.concat_arrays(rows.column("keys").chunks)
+    line = np.repeat(np.arange(count), lists.value_lengths().to_numpy())
+    key = _numbered(block[line], lists.flatten().to_numpy())
+    by = np.lexsort((line, n[line], key))
+    key, line = key[by], line[by]
+    a, b = [], []
+    while len(line):
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        hub = np.zeros(count, bool)
+        hub[line[starts]] = True
+        hubs = np.flatnonzero(hub[line])
+        of = (np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])))[hubs]
+        p, q = np.repeat(line[hubs], sizes[of]), line[ragged(starts[of], sizes[of])]
+        some = (root[p] != root[q]) & ((i[p] == j[p]) | (chunk[p] != chunk[q]))
+        pairs = np.unique(np.minimum(p[some], q[some]) * count + np.maximum(p[some], q[some]))
+        near = np.zeros(len(pairs), bool)
+        for k in range(0, len(pairs), 100_000):
+            p, q = pairs[k : k + 100_000] // count, pairs[k : k + 100_000] % count
+            most, apart = _limits(np.maximum(n[p], n[q]), similarity), np.abs(n[p] - n[q])
+            near[k : k + 100_000] = (apart <= most) & (np.bitwise_count(sums[p] ^ sums[q]).sum(axis=1, dtype=np.int64) <= 2 * most - apart)
+        pairs = pairs[near]
+        for k in range(0, len(pairs), 2_000):
+            p, q = pairs[k : k + 2_000] // count, pairs[k : k + 2_000] % count
+            some = root[p] != root[q]
+            p, q = p[some], q[some]
+            good = _similar(flat[ragged(at[p], n[p])], np.concatenate([[0], np.cumsum(n[p])]), flat[ragged(at[q], n[q])], np.concatenate([[0], np.cumsum(n[q])]), similarity)
+            a.append(h[p[good]])
+            b.append(h[q[good]])
+            merge_sets(root, p[good], q[good])
+        left = ~hub[line]
+        key, line = key[left], line[left]
+        if len(line):
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            left = np.repeat(np.minimum.reduceat(root[line], starts) != np.maximum.reduceat(root[line], starts), sizes)
+            key, line = key[left], line[left]
+    none = [np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none)) for x in (a, b)], names=["a", "b"])
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """For each row a number that equal rows share."""
+    order = np.lexsort(columns)
+    new = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    out = np.zeros(len(order), np.int64)
+    out[order[1:]] = np.cumsum(new)
+    return out
+
+
+def _sums(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each line 256 parities of its words, as four numbers (see `_parities`)."""
+    out = np.zeros((len(at) - 1, 4), np.uint64)
+    for k in range(0, len(out), 2_000):
+        ends = at[k : k + 2_001]
+        cells = np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * 256 + (flat[ends[0] : ends[-1]] & np.uint32(255))
+        out[k : k + 2_000] = np.packbits((np.bincount(cells, minlength=256 * (len(ends) - 1)) & 1).astype(bool)).view(np.uint64).reshape(-1, 4)
+    return out
 
 
 def _pack(key: np.ndarray, h: np.ndarray, n: np.ndarray, sig: np.ndarray) -> bytes:
@@ -601,7 +693,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def _key_pairs(held: list[tuple], bucket: int | None, buckets: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(null, a, b, ..) for pairs of a bucket that share a key and may be similar; (key, line, null, n) for lines of keys of many lines."""
+    """(null, a, b) for pairs of a bucket that share a key and may be similar; (key, line, null) for lines of keys of many lines."""
     if not held:
         return
     key, h, n, sig = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -631,14 +723,14 @@ def _key_pairs(held: list[tuple], bucket: int | None, buckets: int, similarity:
     most = _limits(np.maximum(n[a], n[b]), similarity)
     good = (h[a] != h[b]) & (np.abs(n[a] - n[b]) <= most) & ((np.bitwise_count(sig[a] ^ sig[b]) <= 2 * most - np.abs(n[a] - n[b])) | (np.maximum(n[a], n[b]) > PARITIES))
     ends = np.unique(np.stack([np.minimum(h[a[good]], h[b[good]]), np.maximum(h[a[good]], h[b[good]])], axis=1), axis=0)
-    names, none = ["key", "a", "b", "n"], pa.nulls
+    names, none = ["key", "a", "b"], pa.nulls
     for k in range(0, len(ends), 100_000):
         p = ends[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([none(len(p), pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), none(len(p), pa.int32())], names=names)
+        yield pa.RecordBatch.from_arrays([none(len(p), pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1])], names=names)
     some = np.flatnonzero(hot)
     for k in range(0, len(some), 100_000):
         x = some[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array((key[x] * np.uint64(buckets) + np.uint64(bucket)).view(np.int64)), pa.array(h[x]), none(len(x), pa.int64()), pa.array(n[x].astype(np.int32))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array((key[x] * np.uint64(buckets) + np.uint64(bucket)).view(np.int64)), pa.array(h[x]), none(len(x), pa.int64())], names=names)
 
 
 def _wanted(lines: DataFrame, low: DataFrame) -> DataFrame:

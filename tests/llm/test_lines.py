@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from rowloom.llm import lines, queries
+from rowloom.llm.common import word_hashes
 
 
 def made(rng):
@@ -43,6 +44,30 @@ def test_all_similar_lines_go(spark, tmp_path, monkeypatch, group):
     assert got == {i for i, r in enumerate(root) if r != i} and len(got) > 60
 
 
+@pytest.mark.parametrize("chunk", [20_000, 30])
+def test_lines_of_one_key_meet_in_no_join(spark, monkeypatch, chunk):
+    """A long passage in very many lines: its lines are compared where they are, and connected ones are not compared again."""
+    monkeypatch.setattr(lines, "CHUNK", chunk)
+    rng = np.random.default_rng(5)
+    passage, words = [f"p{x}" for x in range(9)], []
+    for k in range(150):
+        own = [f"v{k % 5}.{x}" for x in range(11)] if k % 3 else [f"o{k}.{x}" for x in range(rng.integers(2, 14))]
+        for at in rng.integers(0, len(own), k % 4):
+            own[at] = f"n{rng.integers(0, 9999)}"
+        words.append(passage + own)
+    root = groups_of(words)
+    hashed = [(word_hashes(" ".join(w).encode())[1] >> np.uint64(32)).astype("<u4").tobytes() for w in words]
+    df = spark.createDataFrame([(k * (1 << 20) + 7, bytearray(x)) for k, x in enumerate(hashed)], "h long, seq binary").repartition(3)
+    joins = []
+    monkeypatch.setattr(lines, "_verified", (lambda old: lambda pairs, *rest: joins.append(pairs.count()) or old(pairs, *rest))(lines._verified))
+    links = [((r.a - 7) >> 20, (r.b - 7) >> 20) for r in lines._gram_links(df, 0.8, 5).collect()]
+    got = list(range(len(words)))
+    for a, b in links:
+        got = [min(got[a], got[b]) if r in (got[a], got[b]) else r for r in got]
+    assert got == root and len(set(root)) < 120
+    assert len(joins) == 1  # only the pairs with a key's first line and those of keys of few lines are joined
+
+
 def test_gram_size():
     assert lines.gram_size(0.8, 5) == 2 and lines.gram_size(0.5, 5) == 1
 
