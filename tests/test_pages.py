@@ -1,5 +1,6 @@
 """Nodes, tables, nesting and paging on small pages."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,17 @@ def test_uploaded_first_row(spark):
     assert nesting.drive_by_uploaded_table(table, stored(spark), "u", "http://tv.test/cast?id=1", ["n"]).count() == 2
     with pytest.raises(ValueError):
         nesting.drive_by_uploaded_table(table, stored(spark), "u", "other", ["n"])
+
+
+def test_page_layout_holds_few_pages(spark):
+    class Pages:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    html = "<ul>" + "<li><b>x</b></li>" * 99 + "</ul>"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(["http://a.test/"] * 300), pa.array([html] * 300)], names=["page_id", "url", "html"])
+    sizes = [b.num_rows for b in nodes.page_layout(Pages())(iter([batch]))]
+    assert max(sizes) <= 11 and sum(sizes) == 300
