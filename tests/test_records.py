@@ -40,3 +40,11 @@ def test_plain_rows_and_no_rows(spark):
     assert [dict(r.text) for r in rows(spark, "<ul><li>a<li>b<li><b>c</b></ul>")] == [{"": "a"}, {"": "b"}]
     assert rows(spark, "") == [] and rows(spark, None) == [] and rows(spark, "<p>one") == []
     assert len(rows(spark, "<ul><li>a<li>b</ul>", least=3)) == 0
+
+
+def test_records_of_stored_pages(spark):
+    """Parsed and searched in one step, pages give the rows that their layouts give."""
+    html = '<ul><li><a href="/1">One</a><b>x</b></li><li><em>Advert</em></li><li><a href="/2">Two</a></li></ul>'
+    df = spark.createDataFrame([(1, "http://a.test/", html), (2, None, None), (3, "http://a.test/", html * 2)], "page_id long, url string, html string")
+    rows = [sorted(map(repr, relations.find_records(x).collect())) for x in (df, nodes.page_layout(df))]
+    assert rows[0] == rows[1] and len(rows[0]) == 6
