@@ -88,3 +88,15 @@ def test_nested_canonical_texts(spark):
     assert {r.k: r.c for r in odd.collect()} == {1: None, 2: None, 3: None, 4: "[1.5,2]"}
     nested = spark.range(1).select(cells.canonical_value(F.struct(F.lit(None).cast("int").alias("z"), F.array(F.struct(F.lit(2).alias("y"), F.lit(None).cast("string").alias("b"), F.lit("t").alias("a"))).alias("m"))).alias("c"))
     assert nested.first().c == '{"m":[{"a":"t","y":2}]}'
+
+
+def test_sorting_lists_compares_in_no_lambda(spark, capsys):
+    from pyspark.sql import functions as F
+
+    from rowloom.functions import cells
+
+    df = spark.createDataFrame([(["b", "2", "B", "a", "10", "b", "x"],)], "w array<string>")
+    out = df.select(*[cells.list_sort(F.col("w"), kind, descending=down).alias(f"{kind}_{down}") for kind in ("TEXT", "IGNORE_CASE", "NUMERIC") for down in (False, True)])
+    assert [",".join(x) for x in out.first()] == ["10,2,B,a,b,b,x", "x,b,b,a,B,2,10", "10,2,a,b,B,b,x", "x,b,B,b,a,2,10", "b,B,a,b,x,2,10", "10,2,b,B,a,b,x"]
+    out.explain()
+    assert "array_sort" not in capsys.readouterr().out
