@@ -375,6 +375,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50, limit: int = 20
     don't meet in one task (`attach`). Nulls and self-loops are ignored.
     """
     edges = cut(local_forest(edges.where("a is not null and b is not null and a != b")))
+    edges = edges.coalesce(max(1, edges.count() // 50_000))
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -77,10 +77,10 @@ def _similar(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, least:
     out = np.zeros(len(n), bool)
     todo = np.flatnonzero(longer - shorter <= limit)
     # parities of the words of both: as many words differ at least, and of lines of different length one more each
-    for k in range(0, len(todo), 2_000):
-        part = todo[k : k + 2_000]
-        cells = [np.repeat(np.arange(len(part)), size[part]) * 512 + (z[ragged(at[part], size[part])] & np.uint32(511)) for z, at, size in ((x, p, n), (y, q, m))]
-        odd = (np.bincount(np.concatenate(cells), minlength=512 * len(part)).reshape(-1, 512) & 1).sum(axis=1)
+    for k in range(0, len(todo), 1_000):
+        part = todo[k : k + 1_000]
+        cells = [np.repeat(np.arange(len(part)), size[part]) * 1024 + (z[ragged(at[part], size[part])] & np.uint32(1023)) for z, at, size in ((x, p, n), (y, q, m))]
+        odd = (np.bincount(np.concatenate(cells), minlength=1024 * len(part)).reshape(-1, 1024) & 1).sum(axis=1)
         out[part] = odd <= 2 * limit[part] - (longer - shorter)[part]
     todo = np.flatnonzero(out)
     if not len(todo):
@@ -444,6 +444,8 @@ def _clusters(cols: list[np.ndarray], starts: np.ndarray, masks: list[int]) -> I
 WORDS_LOG2, GROUP = 18, 8
 #: Lines of more words have no parities in their entries: 64 of them would tell little.
 PARITIES = 64
+#: The place of a key that a line has more than once; those of others are below it.
+ANYWHERE = 255
 #: Bits of a line's hash in its entries.
 _LOW = (1 << 40) - 1
 
@@ -465,12 +467,13 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", "<u4")[at[0] : at[-1]], at - at[0]
 
 
-def _gram_keys(flat: np.ndarray, at: np.ndarray, counts: np.ndarray, similarity: float, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key): the first keys of each line, at most 65,536 lines, in an order of all grams that puts rare words first.
+def _gram_keys(flat: np.ndarray, at: np.ndarray, counts: np.ndarray, similarity: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, place): the first keys of each line, at most 65,536 lines, in an order of all grams that puts rare words first.
 
     An edit destroys at most `size` grams of a line, an insertion one less. A line of n words and a longer one of m with
     at most d edits thus lack at most size * d - (m - n) of the grams of the shorter one and size * d of the longer one;
-    so they share one among the first (that number + 1) of each.
+    so they share one among the first (that number + 1) of each. Of word pairs fewer do where they lie apart (`_fewest`). One of the
+    grams shared is kept by the edits, so its places in the two lines are as near as `_near` has it.
     """
     n = np.diff(at)
     m = n[:, None] + np.arange(int(1 / max(1 - similarity, 1e-9)) + 2 if similarity < 1 else 1)
@@ -478,14 +481,57 @@ def _gram_keys(flat: np.ndarray, at: np.ndarray, counts: np.ndarray, similarity:
     of = np.repeat(np.arange(len(n)), n)
     cost = counts[flat >> np.uint32(32 - WORDS_LOG2)].astype(np.uint64)
     grams = flat.astype(np.uint64)
+    where = np.arange(len(flat))
     if size == 2:
-        inside = of[1:] == of[:-1]
-        grams, cost, of = ((grams[:-1] << np.uint64(32)) | grams[1:])[inside], (cost[:-1] + cost[1:])[inside], of[1:][inside]
-    order = np.unique((of.astype(np.uint64) << np.uint64(48)) | (cost << np.uint64(39)) | (mix(grams) >> np.uint64(25)))
+        where = np.flatnonzero(of[1:] == of[:-1])
+        grams, cost = (grams[where] << np.uint64(32)) | grams[where + 1], cost[where] + cost[where + 1]
+    order = (of[where].astype(np.uint64) << np.uint64(48)) | (cost << np.uint64(39)) | (mix(grams) >> np.uint64(25))
+    by = np.argsort(order)
+    order, where = order[by], where[by]
+    new = np.concatenate([[True], order[1:] != order[:-1]])[: len(order)]
+    single = new & np.concatenate([new[1:], [True]])[: len(order)]
+    order, where, single = order[new], where[new], single[new]
     line = (order >> np.uint64(48)).astype(np.int64)
     rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(n)))[line]
+    if size == 2 and 0.5 < similarity < 1:
+        ranks = np.full(len(flat), 1 << 30, np.int32)
+        ranks[where] = rank
+        prefix = _fewest(ranks, at, prefix, similarity)
     first = rank < prefix[line]
-    return line[first], order[first] & np.uint64((1 << 39) - 1)
+    line, where, single = line[first], where[first], single[first]
+    place = np.where(single, (where - at[line]) * ANYWHERE // n[line], ANYWHERE).astype(np.uint8)
+    return line, order[first] & np.uint64((1 << 39) - 1), place
+
+
+def _fewest(ranks: np.ndarray, at: np.ndarray, prefix: np.ndarray, similarity: float) -> np.ndarray:
+    """For each line how many of its first word pairs are enough; ranks: of the pair that starts at each word, large where none does.
+
+    An edit destroys two pairs only if they are neighbours, so runs of pairs take half their length (rounded up) each: s edits for the first t pairs.
+    With at most d edits, of which m - n are insertions that destroy one pair, all t go only if s <= d and t <= 2 d - (m - n). A longer line of
+    m words with d edits has d / (1 - similarity) words at least, so d <= (n - t) / (1 / (1 - similarity) - 2) wherever t is small enough.
+    """
+    n = np.diff(at)
+    some = np.flatnonzero(n)
+    low, high, of = np.zeros(len(n), np.int64), prefix.copy(), np.repeat(np.arange(len(n)), n)
+    index = np.arange(len(ranks), dtype=np.int32)
+    for _ in range(5):
+        t = (low + high) // 2
+        taken = ranks < t.astype(np.int32)[of]
+        odd = taken & ((index - np.maximum.accumulate(np.where(taken, np.int32(-1), index))) & 1).astype(bool)
+        edits = np.zeros(len(n), np.int64)
+        edits[some] = np.add.reduceat(odd, at[:-1][some], dtype=np.int64)
+        enough = edits > np.maximum(_limits(n, similarity), np.floor((n - t) / (1 / (1 - similarity) - 2) + 1e-6).astype(np.int64))
+        low, high = np.where(enough, low, t), np.where(enough, t, high)
+    return high
+
+
+def _near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """May a gram at places x and y of lines of n and m words be one that at most `most` edits keep? What is before it and behind it differs by as many words at most."""
+    a, b = x.astype(np.int64), y.astype(np.int64)
+    i, j = -(-a * n // ANYWHERE), -(-b * m // ANYWHERE)  # the first words with these places; the last ones are `more` behind at most
+    more = np.maximum(n, m) // ANYWHERE
+    before, behind = np.maximum(np.abs(i - j) - more, 0), np.maximum(np.abs((n - i) - (m - j)) - more, 0)
+    return (a == ANYWHERE) | (b == ANYWHERE) | (before + behind <= most)
 
 
 def _parities(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -522,15 +568,15 @@ def _gram_links(lines: DataFrame, similarity: float, min_words: int) -> DataFram
                 h, (flat, at) = part.column(0).to_numpy(), _flat(part.column(1))
                 if not len(flat):
                     continue
-                line, key = _gram_keys(flat, at, counts, similarity, size)
+                line, key, place = _gram_keys(flat, at, counts, similarity, size)
                 bucket = (key % np.uint64(buckets)).astype(np.int64)
                 key //= np.uint64(buckets)
                 by = np.lexsort((key, bucket))
-                line, key, bucket = line[by], key[by], bucket[by]
+                line, key, bucket, place = line[by], key[by], bucket[by], place[by]
                 n, sig, h = np.diff(at)[line], _parities(flat, at)[line], (h & _LOW)[line]
                 starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
                 ends = np.append(starts[1:], len(line))
-                data = [_pack(key[a:b], h[a:b], n[a:b], sig[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                data = [_pack(key[a:b], h[a:b], n[a:b], sig[a:b], place[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -557,8 +603,8 @@ def _gram_links(lines: DataFrame, similarity: float, min_words: int) -> DataFram
     discard(found)
 
     # keys of many lines that are not all connected; those with the same smallest line are one group, so a pair of lines mostly meets in one place
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("low").alias("g")).where("lo < hi").select("key", "g")
-    rest = cut(labelled.join(mixed.hint("merge"), "key").groupBy("g", "low").agg(F.collect_list("key").alias("keys"), F.first("label").alias("label")))
+    mixed = labelled.groupBy(F.shiftright("key", 8).alias("name")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("low").alias("g")).where("lo < hi").select("name", "g")
+    rest = cut(labelled.withColumn("name", F.shiftright("key", 8)).join(mixed.hint("merge"), "name").groupBy("g", "low").agg(F.collect_list("key").alias("keys"), F.first("label").alias("label")))
     if rest.isEmpty():
         return first
     hot = cut(rest.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("g", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
@@ -568,6 +614,7 @@ def _gram_links(lines: DataFrame, similarity: float, min_words: int) -> DataFram
         rest = rest.join(hot.hint("merge"), "g", "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("low"), F.col("chunks")).cast("int")).otherwise(0))
         sides = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
         rest = rest.select("g", F.explode(sides).alias("p"), "chunk", "low", "label", "keys").select("g", "p.i", "p.j", "chunk", "low", "label", "keys")
+    reclaim(spark)
     texts = _wanted(lines, rest.select("low").distinct())
     whole = rest.join(texts.hint("merge"), "low").select("g", "i", "j", "chunk", "low", "label", "keys", "h", "seq")
 
@@ -591,8 +638,8 @@ def _gram_links(lines: DataFrame, similarity: float, min_words: int) -> DataFram
 def _group_links(rows: pa.Table, similarity: float) -> pa.RecordBatch:
     """(a, b): links that connect what is similar among the lines of each key, for whole groups (g, i, j) of keys, in order.
 
-    By turns the shortest line of each key is compared with all others of its keys that are not connected with it by then, and leaves them;
-    keys of connected lines are done. So each pair of lines of a key is compared or connected, and copies of a line in many variants take few turns.
+    Each pair of lines of a key is connected by then, or compared if lengths and places of the key allow it; lines connected with most lines of
+    a key are not paired among themselves. So copies of a line in many variants take few comparisons.
     """
     rows = rows.combine_chunks()
     g, i, j, chunk, low, label, h = (rows.column(c).to_numpy() for c in ("g", "i", "j", "chunk", "low", "label", "h"))
@@ -611,26 +658,30 @@ def _group_links(rows: pa.Table, similarity: float) -> pa.RecordBatch:
     root = smallest[of]
     lists = pa.concat_arrays(rows.column("keys").chunks)
     line = np.repeat(np.arange(count), lists.value_lengths().to_numpy())
-    key = _numbered(block[line], lists.flatten().to_numpy())
-    by = np.lexsort((line, n[line], key))
-    key, line = key[by], line[by]
-    a, b = [], []
-    while len(line):
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(starts, len(key)))
-        hub = np.zeros(count, bool)
-        hub[line[starts]] = True
-        hubs = np.flatnonzero(hub[line])
-        of = (np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])))[hubs]
-        p, q = np.repeat(line[hubs], sizes[of]), line[ragged(starts[of], sizes[of])]
-        some = (root[p] != root[q]) & ((i[p] == j[p]) | (chunk[p] != chunk[q]))
-        pairs = np.unique(np.minimum(p[some], q[some]) * count + np.maximum(p[some], q[some]))
+    names = lists.flatten().to_numpy()
+    key, place = _numbered(block[line], names >> 8), (names & 255).astype(np.uint8)
+    # entries in order of key, class of length (similar lines are in the same or in neighbouring ones), and words before the key
+    kind = np.minimum(np.log(np.maximum(n, 1)) / math.log(max(1.001 / similarity, 1.25)), 63).astype(np.int64)
+    before = np.minimum(-(-place.astype(np.int64) * n[line] // ANYWHERE), (1 << 20) - 1)
+    name = (((key * 64 + kind[line]) * 2 + (place == ANYWHERE)) << 20) + np.where(place == ANYWHERE, 0, before)
+    by = np.argsort(name, kind="stable")
+    name, key, line, place, before = name[by], key[by], line[by], place[by], before[by]
+    a, b, tried = [], [], np.zeros(0, np.int64)
+
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal tried
+        p, q = line[x], line[y]
+        some = np.flatnonzero((root[p] != root[q]) & ((i[p] == j[p]) | (chunk[p] != chunk[q])))
+        x, y, p, q = x[some], y[some], p[some], q[some]
+        most = _limits(np.maximum(n[p], n[q]), similarity)
+        some = np.flatnonzero((np.abs(n[p] - n[q]) <= most) & _near(place[x], place[y], n[p], n[q], most))
+        pairs = np.setdiff1d(np.minimum(p[some], q[some]) * count + np.maximum(p[some], q[some]), tried)
         near = np.zeros(len(pairs), bool)
-        for k in range(0, len(pairs), 100_000):
-            p, q = pairs[k : k + 100_000] // count, pairs[k : k + 100_000] % count
+        for k in range(0, len(pairs), 20_000):
+            p, q = pairs[k : k + 20_000] // count, pairs[k : k + 20_000] % count
             most, apart = _limits(np.maximum(n[p], n[q]), similarity), np.abs(n[p] - n[q])
-            near[k : k + 100_000] = (apart <= most) & (np.bitwise_count(sums[p] ^ sums[q]).sum(axis=1, dtype=np.int64) <= 2 * most - apart)
-        pairs = pairs[near]
+            near[k : k + 20_000] = np.bitwise_count(sums[p] ^ sums[q]).sum(axis=1, dtype=np.int64) <= 2 * most - apart
+        pairs, unlike = pairs[near], []
         for k in range(0, len(pairs), 2_000):
             p, q = pairs[k : k + 2_000] // count, pairs[k : k + 2_000] % count
             some = root[p] != root[q]
@@ -639,13 +690,40 @@ def _group_links(rows: pa.Table, similarity: float) -> pa.RecordBatch:
             a.append(h[p[good]])
             b.append(h[q[good]])
             merge_sets(root, p[good], q[good])
-        left = ~hub[line]
-        key, line = key[left], line[left]
-        if len(line):
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(starts, len(key)))
-            left = np.repeat(np.minimum.reduceat(root[line], starts) != np.maximum.reduceat(root[line], starts), sizes)
-            key, line = key[left], line[left]
+            unlike.append(p[~good] * count + q[~good])
+        if unlike and len(tried) < 1_000_000:
+            tried = np.concatenate([tried, *unlike])
+
+    def by_parts(x: np.ndarray, low: np.ndarray, high: np.ndarray, one: np.ndarray) -> None:
+        """Compares entries x with the entries [low, high) of each, some 500,000 pairs at once; those that are both not `one` only once."""
+        size = np.maximum(high - low, 0)
+        many, begin = np.concatenate([[0], np.cumsum(size)]), 0
+        while begin < len(x):
+            end = max(begin + 1, int(np.searchsorted(many, many[begin] + 500_000, "right")) - 1)
+            p, q = np.repeat(x[begin:end], size[begin:end]), ragged(low[begin:end], size[begin:end])
+            some = one[q] | (p < q)
+            compare(p[some], q[some])
+            begin = end
+
+    # the first line of each class is compared with all of it, which connects copies
+    starts = np.flatnonzero(np.concatenate([[True], name[1:] >> 21 != name[:-1] >> 21]))
+    by_parts(starts, starts, np.append(starts[1:], len(key)), np.zeros(len(key), bool))
+    # lines connected with most lines of a key have to meet the others only; all others meet those of like length and place
+    parts, of, sizes = np.unique(key * count + root[line], return_inverse=True, return_counts=True)
+    order = np.lexsort((sizes, parts // count))
+    largest = np.zeros(len(parts), bool)
+    largest[order[np.append(np.flatnonzero(np.diff(parts[order] // count)), len(order) - 1)]] = True
+    one = largest[of]
+    x = np.flatnonzero(~one)
+    wide = _limits(np.ceil(n[line[x]] / similarity), similarity) + np.ceil(n[line[x]] / similarity).astype(np.int64) // ANYWHERE + 1
+    anywhere = place[x] == ANYWHERE
+    for step in (-1, 0, 1):
+        there = (kind[line[x]] + step >= 0) & (kind[line[x]] + step <= 63)
+        base = (key[x] * 64 + kind[line[x]] + step) << 21
+        low, high = base + np.where(anywhere, 0, np.maximum(before[x] - wide, 0)), base + np.where(anywhere, 1 << 21, np.minimum(before[x] + wide + 1, 1 << 20))
+        by_parts(x[there], np.searchsorted(name, low[there]), np.searchsorted(name, high[there]), one)
+        there &= ~anywhere
+        by_parts(x[there], np.searchsorted(name, base[there] + (1 << 20)), np.searchsorted(name, base[there] + (1 << 21)), one)
     none = [np.zeros(0, np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none)) for x in (a, b)], names=["a", "b"])
 
@@ -660,27 +738,27 @@ def _numbered(*columns: np.ndarray) -> np.ndarray:
 
 
 def _sums(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each line 256 parities of its words, as four numbers (see `_parities`)."""
-    out = np.zeros((len(at) - 1, 4), np.uint64)
-    for k in range(0, len(out), 2_000):
-        ends = at[k : k + 2_001]
-        cells = np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * 256 + (flat[ends[0] : ends[-1]] & np.uint32(255))
-        out[k : k + 2_000] = np.packbits((np.bincount(cells, minlength=256 * (len(ends) - 1)) & 1).astype(bool)).view(np.uint64).reshape(-1, 4)
+    """For each line 1,024 parities of its words, as sixteen numbers (see `_parities`)."""
+    out = np.zeros((len(at) - 1, 16), np.uint64)
+    for k in range(0, len(out), 1_000):
+        ends = at[k : k + 1_001]
+        cells = np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * 1024 + (flat[ends[0] : ends[-1]] & np.uint32(1023))
+        out[k : k + 1_000] = np.packbits((np.bincount(cells, minlength=1024 * (len(ends) - 1)) & 1).astype(bool)).view(np.uint64).reshape(-1, 16)
     return out
 
 
-def _pack(key: np.ndarray, h: np.ndarray, n: np.ndarray, sig: np.ndarray) -> bytes:
+def _pack(key: np.ndarray, h: np.ndarray, n: np.ndarray, sig: np.ndarray, place: np.ndarray) -> bytes:
     """Entries in order of key, column by column: steps of the keys and lengths by their bytes and compressed, the rest as it is."""
     count = len(key).to_bytes(4, "little")
     steps = np.diff(key, prepend=np.uint64(0)).astype("<u8")
     planes = np.concatenate([steps.view(np.uint8).reshape(-1, 8).T.ravel(), np.minimum(n, 65_535).astype("<u2").view(np.uint8).reshape(-1, 2).T.ravel()])
     squeezed = zstandard.compress(planes.tobytes(), 1)
     low = np.ascontiguousarray(h.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5])
-    return b"".join([count, len(squeezed).to_bytes(4, "little"), squeezed, low.tobytes(), sig[n <= PARITIES].astype("<u8").tobytes()])
+    return b"".join([count, len(squeezed).to_bytes(4, "little"), squeezed, low.tobytes(), place.tobytes(), sig[n <= PARITIES].astype("<u8").tobytes()])
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entries as arrays (key, h, n, sig); sig is 0 for lines without parities."""
+def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    """Entries as arrays (key, h, n, sig, place); sig is 0 for lines without parities."""
     count, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
     planes = np.frombuffer(zstandard.decompress(data[8 : 8 + size]), np.uint8)
     key = np.cumsum(np.ascontiguousarray(planes[: 8 * count].reshape(8, count).T).view("<u8").ravel(), dtype=np.uint64)
@@ -688,15 +766,15 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     low = np.zeros((count, 8), np.uint8)
     low[:, :5] = np.frombuffer(data, np.uint8, 5 * count, 8 + size).reshape(count, 5)
     sig = np.zeros(count, np.uint64)
-    sig[n <= PARITIES] = np.frombuffer(data, "<u8", offset=8 + size + 5 * count)
-    return key, low.view("<i8").ravel(), n, sig
+    sig[n <= PARITIES] = np.frombuffer(data, "<u8", offset=8 + size + 6 * count)
+    return key, low.view("<i8").ravel(), n, sig, np.frombuffer(data, np.uint8, count, 8 + size + 5 * count)
 
 
 def _key_pairs(held: list[tuple], bucket: int | None, buckets: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(null, a, b) for pairs of a bucket that share a key and may be similar; (key, line, null) for lines of keys of many lines."""
+    """(null, a, b) for pairs of a bucket that share a key and may be similar; (key and place in 8 bits, line, null) for lines of keys of many lines."""
     if not held:
         return
-    key, h, n, sig = (np.concatenate(c) for c in zip(*held, strict=True))
+    key, h, n, sig, place = (np.concatenate(c) for c in zip(*held, strict=True))
     by = np.lexsort((h, n, key))  # the shortest line of a key comes first: it has least of its own
     key, h = key[by], h[by]
     first = np.concatenate([[True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])])  # a line that several tasks have given counts once
@@ -707,7 +785,7 @@ def _key_pairs(held: list[tuple], bucket: int | None, buckets: int, similarity:
     by, key, h, sizes = by[several], key[several], h[several], sizes[sizes > 1]
     if not len(key):
         return
-    n, sig = n[by], sig[by]
+    n, sig, place = n[by], sig[by], place[by]
     starts = np.cumsum(sizes) - sizes
     hot = np.repeat(sizes > GROUP, sizes)
     left, right = [np.repeat(starts, sizes)[hot]], [np.flatnonzero(hot)]
@@ -722,6 +800,7 @@ def _key_pairs(held: list[tuple], bucket: int | None, buckets: int, similarity:
     a, b = np.concatenate(left), np.concatenate(right)
     most = _limits(np.maximum(n[a], n[b]), similarity)
     good = (h[a] != h[b]) & (np.abs(n[a] - n[b]) <= most) & ((np.bitwise_count(sig[a] ^ sig[b]) <= 2 * most - np.abs(n[a] - n[b])) | (np.maximum(n[a], n[b]) > PARITIES))
+    good &= (np.maximum(n[a], n[b]) >= 65_535) | _near(place[a], place[b], n[a], n[b], most)
     ends = np.unique(np.stack([np.minimum(h[a[good]], h[b[good]]), np.maximum(h[a[good]], h[b[good]])], axis=1), axis=0)
     names, none = ["key", "a", "b"], pa.nulls
     for k in range(0, len(ends), 100_000):
@@ -730,7 +809,7 @@ def _key_pairs(held: list[tuple], bucket: int | None, buckets: int, similarity:
     some = np.flatnonzero(hot)
     for k in range(0, len(some), 100_000):
         x = some[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array((key[x] * np.uint64(buckets) + np.uint64(bucket)).view(np.int64)), pa.array(h[x]), none(len(x), pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array((((key[x] * np.uint64(buckets) + np.uint64(bucket)) << np.uint64(8)) | place[x]).view(np.int64)), pa.array(h[x]), none(len(x), pa.int64())], names=names)
 
 
 def _wanted(lines: DataFrame, low: DataFrame) -> DataFrame:

@@ -79,3 +79,32 @@ def test_order_of_words_counts_all_lines(spark, monkeypatch):
     with pytest.raises(LookupError) as found:
         lines._gram_links(df, 0.8, 5)
     assert found.value.args == (round(8 * np.log2(600_000)),) * 2 + (0,)
+
+
+@pytest.mark.parametrize("vocabulary", [8, 60, 3000])
+def test_similar_lines_share_a_key_at_near_places(vocabulary):
+    """Fewer keys than twice the edits where rare pairs lie apart, and still one in common for all similar lines."""
+    rng = np.random.default_rng(vocabulary)
+    counts, texts, pairs = rng.integers(0, 200, 1 << lines.WORDS_LOG2).astype(np.uint8), [], 0
+    numbers = rng.integers(0, 1 << 32, vocabulary).astype(np.uint32)
+    for _ in range(400):
+        base = list(numbers[rng.integers(0, vocabulary, rng.integers(5, 700 if len(texts) % 30 == 0 else 90))])
+        new, kind = list(base), rng.integers(0, 4)
+        for at in sorted(rng.choice(len(base), len(base) // 5, replace=False).tolist(), reverse=True):
+            what = kind if kind < 3 else rng.integers(0, 3)
+            new[at : at + (what != 1)] = [] if what == 2 else [numbers[rng.integers(0, vocabulary)]]
+        texts += [base, new]
+    n = np.array([len(x) for x in texts])
+    at = np.concatenate([[0], np.cumsum(n)])
+    line, key, place = lines._gram_keys(np.concatenate(texts).astype(np.uint32), at, counts, 0.8, 2)
+    for k in range(0, len(texts), 2):
+        a, b = ({int(x): p for x, p in zip(key[line == j], place[line == j], strict=True)} for j in (k, k + 1))
+        longest = np.array([max(n[k], n[k + 1])])
+        if abs(n[k] - n[k + 1]) <= lines._limits(longest, 0.8)[0] and lines.edit_similarity(texts[k], texts[k + 1]) >= 0.8:
+            pairs += 1
+            shared = [(a[x], b[x]) for x in a.keys() & b.keys()]
+            assert any(lines._near(*(np.array([z]) for z in (x, y, n[k], n[k + 1])), lines._limits(longest, 0.8))[0] for x, y in shared), (n[k], n[k + 1])
+    assert pairs > 150
+    if vocabulary == 3000:
+        full = (2 * lines._limits(n, 0.8) + 1).sum()
+        assert len(line) < 0.9 * full
