@@ -107,8 +107,8 @@ class Filters:
             found = found & masks[(hashes >> np.uint64(k * 64 // HASHES)) & cut]
         return found
 
-    def predict(self, texts: list[str | None], letters: np.ndarray, piece: int = 1_000_000) -> tuple[list[str], list[float]]:
-        """Languages and scores."""
+    def predict(self, texts: list[str | None], letters: np.ndarray, piece: int = 200_000) -> tuple[list[str], list[float]]:
+        """Languages and scores. Some 40 bytes a character of `piece` are held, whatever the texts' length; it changes no result."""
         hits, grams, some = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
         bits = 8 * self.masks.itemsize
         for of, hashes, n, letter in pieces_of_texts(texts, letters, piece):
