@@ -39,7 +39,7 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
 
     def get() -> object:
         if not hasattr(shared, "unpacked"):
-            shared.unpacked = pickle.loads(shared.value)
+            shared.unpacked = pickle.loads(shared.load_from_path(shared._path) if shared._path else shared.value)  # the packed form is not kept
         return shared.unpacked
 
     return get
@@ -162,10 +162,11 @@ def members(values: DataFrame) -> np.ndarray:
     return merged_pieces(values.mapInArrow(tidy(mark), "piece int, data binary"), width, np.uint8, np.bitwise_or, lambda x: x)
 
 
-def may_be_in(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
+def may_be_in(rows: DataFrame, key: str, values: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str | None = None) -> DataFrame:
     """`rows` (key a long, not null) without most of those whose key is not in the one column of `values`; none of the others is lost.
 
     A filter before an exact join, which spares rows the exchange; it has a bounded size, so it lets more rows pass as `values` grow.
+    `then` (to rows of `schema`) takes the rest on in the same Python worker.
     """
     shared, at = share(rows.sparkSession, members(values)), rows.columns.index(key)
 
@@ -175,7 +176,7 @@ def may_be_in(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
             x = mix(batch.column(at).to_numpy().view(np.uint64)) & np.uint64(8 * len(bits) - 1)
             yield batch.filter(pa.array(((bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)))
 
-    return rows.mapInArrow(tidy(run), rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema) if then is None else rows.mapInArrow(tidy(lambda batches: then(run(batches))), schema)
 
 
 def to_arrow(kind: T.DataType) -> pa.DataType:
@@ -206,12 +207,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _P = 0x9E3779B97F4A7C15
-_KEPT = 1 << 20
+_KEPT = 1 << 17
 _POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number modulo 2^64 and their inverses; the first 2^20 are kept by the worker."""
+    """The first n powers of an odd number modulo 2^64 and their inverses; the first 2^17 are kept by the worker."""
     if not _POWERS or len(_POWERS[0]) < n:
         found = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, _KEPT) - 1, b, np.uint64)]), dtype=np.uint64) for b in (_P, pow(_P, -1, 1 << 64))]
         if n > _KEPT:
@@ -242,7 +243,7 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
-def word_hashes(data: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, piece: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of every word of bytes in which words are parted by spaces and newlines.
 
     Long data is taken in pieces that end between words, so memory follows the piece (or a longer word).
@@ -264,7 +265,7 @@ def word_hashes(data: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(found_starts), np.concatenate(found)
 
 
-def text_words(texts: list[str], table: bytes, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
+def text_words(texts: list[str], table: bytes, limit: int = 1 << 18) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
     """Runs of texts as bytes translated by `table` and joined by newlines: (first, last + 1, the bytes of each, word starts, word hashes)."""
     first, held, size = 0, [], 0
     for k, t in enumerate(texts):

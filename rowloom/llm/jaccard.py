@@ -90,7 +90,7 @@ def index(docs: DataFrame, size: int, percent: int) -> DataFrame:
         counts = order()
         noise = float(np.median(2.0 ** (counts.astype(float) / 8)))
         seen: set[int] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             cols: list[list] = [[] for _ in range(4)]
             tokens: list[np.ndarray | None] = []
             for found in shingle_sets(batch.column(2).to_pylist(), size):
@@ -181,7 +181,7 @@ def sketch(texts: DataFrame, size: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.uint32)
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             sets = shingle_sets(batch.column(0).to_pylist(), size)
             if sets:
                 total += np.bincount((np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint32)
@@ -197,11 +197,10 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, size: int, per
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     # one text of each set; most texts are in no pair, the filter spares them the shingles, the join below is exact
     texts = cut(known.select("sig", "t").join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.min("t").alias("t")))
-    some = may_be_in(docs.select("t", "text"), "t", texts.select("t"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             rows = []
             for found in shingle_sets(batch.column(1).to_pylist(), size):
                 if len(found) and (sig := digest(found)) not in seen:
@@ -212,7 +211,8 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, size: int, per
                 flat = pa.array(np.concatenate([s for _, s in rows]))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s) for _, s in rows)]), pa.int32()), flat)], names=["sig", "found"])
 
-    whole = stored(some.mapInArrow(tidy(sets), "sig long, found array<long>").join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.first("found").alias("found")))
+    some = may_be_in(docs.select("t", "text"), "t", texts.select("t"), sets, "sig long, found array<long>")
+    whole = stored(some.join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.first("found").alias("found")))
     both = pairs.join(whole.select(F.col("sig").alias("a"), F.col("found").alias("x")).hint("merge"), "a").join(whole.select(F.col("sig").alias("b"), F.col("found").alias("y")).hint("merge"), "b")
     overlap = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("s"))
     return overlap.where(F.col("o") * 100 >= (F.col("s") - F.col("o")) * percent).select("a", "b")
