@@ -37,6 +37,8 @@ DISTANCE = 3
 CHUNK = 20_000
 #: Letters, digits and all beyond ASCII are words; newlines part lines; the rest is space.
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b == 10 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+#: Cells for the counts of the words of long lines; long are those of more words than `LONG`.
+CELLS, LONG = 2_048, 64
 #: For each byte, its bits as eight bytes.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -69,15 +71,16 @@ def edit_similar(a: list[np.ndarray], b: list[np.ndarray], least: float) -> np.n
     return _similar(x, p, y, q, least)
 
 
-def _similar(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
-    """`edit_similar` of the runs x[p[k]:p[k+1]] and y[q[k]:q[k+1]]: by bounds where they decide, by the distance where not."""
+def _similar(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, least: float, alike: bool = False) -> np.ndarray:
+    """`edit_similar` of the runs x[p[k]:p[k+1]] and y[q[k]:q[k+1]]: by bounds where they decide, by the distance where not. `alike`: lengths and parities were compared before."""
     n, m = np.diff(p), np.diff(q)
     longer, shorter = np.maximum(n, m), np.minimum(n, m)
     limit = _limits(longer, least)
     out = np.zeros(len(n), bool)
     todo = np.flatnonzero(longer - shorter <= limit)
+    out[todo] = alike
     # parities of the words of both: as many words differ at least, and of lines of different length one more each
-    for k in range(0, len(todo), 1_000):
+    for k in range(0, 0 if alike else len(todo), 1_000):
         part = todo[k : k + 1_000]
         cells = [np.repeat(np.arange(len(part)), size[part]) * 1024 + (z[ragged(at[part], size[part])] & np.uint32(1023)) for z, at, size in ((x, p, n), (y, q, m))]
         odd = (np.bincount(np.concatenate(cells), minlength=1024 * len(part)).reshape(-1, 1024) & 1).sum(axis=1)
@@ -113,6 +116,9 @@ def _similar(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, least:
         part = at[j : j + 4_000]
         good[part] = _bit_distances(both, pa_[part], pb[part], ta[part], tb[part]) <= limit[k[part]]
     rest = np.flatnonzero(~small)
+    if not alike:
+        whole = k[rest]
+        rest = rest[_may_share(both, np.concatenate([p, len(x) + q[1:]]), whole, len(n) + whole, longer[whole] - limit[whole])]
     if len(rest):
         good[rest] = _long_similar([both[a:b] for a, b in zip(pa_[rest], pb[rest], strict=True)], [both[a:b] for a, b in zip(ta[rest], tb[rest], strict=True)], limit[k[rest]])
     out[k] = good
@@ -173,6 +179,26 @@ def _long_similar(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -
     return out
 
 
+def _may_share(flat: np.ndarray, at: np.ndarray, p: np.ndarray, q: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """May the lines p and q (flat[at[k]:at[k+1]]) have `least` words in common, counted as often as both have them? By counts of words in `CELLS` cells,
+    which are never less in common than the words; lines of 65,536 words or more may always."""
+    out = np.ones(len(p), bool)
+    size = np.diff(at)
+    known = np.flatnonzero(np.maximum(size[p], size[q]) < 65_536)
+    for k in range(0, len(known), 1_000):
+        part = known[k : k + 1_000]
+        some, of = np.unique(np.concatenate([p[part], q[part]]), return_inverse=True)
+        counts = np.empty((len(some), CELLS), np.uint16)
+        for j in range(0, len(some), 200):
+            lines = some[j : j + 200]
+            cells = np.repeat(np.arange(len(lines)) * CELLS, size[lines]) + (flat[ragged(at[lines], size[lines])] & np.uint32(CELLS - 1))
+            counts[j : j + 200] = np.bincount(cells, minlength=CELLS * len(lines)).reshape(-1, CELLS)
+        for j in range(0, len(part), 100):
+            x, y = of[: len(part)][j : j + 100], of[len(part) :][j : j + 100]
+            out[part[j : j + 100]] = np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.uint32) >= least[part[j : j + 100]]
+    return out
+
+
 def _distances(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.ndarray:
     """Edit distances, exact up to `band`, above it only known to be above."""
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -265,7 +291,7 @@ def _splitter(min_words: int, sims: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             texts = [t.lower() for t in batch.column(2).to_pylist()]
             for first, _, data, starts, hashes in text_words(texts, _TABLE):
                 breaks = np.flatnonzero(np.frombuffer(b"\n".join(data), np.uint8) == 10)
@@ -681,12 +707,16 @@ def _group_links(rows: pa.Table, similarity: float) -> pa.RecordBatch:
             p, q = pairs[k : k + 20_000] // count, pairs[k : k + 20_000] % count
             most, apart = _limits(np.maximum(n[p], n[q]), similarity), np.abs(n[p] - n[q])
             near[k : k + 20_000] = np.bitwise_count(sums[p] ^ sums[q]).sum(axis=1, dtype=np.int64) <= 2 * most - apart
+            some = k + np.flatnonzero(near[k : k + 20_000] & (np.maximum(n[p], n[q]) > LONG))
+            p, q = pairs[some] // count, pairs[some] % count
+            longest = np.maximum(n[p], n[q])
+            near[some] = _may_share(flat, at, p, q, longest - _limits(longest, similarity))
         pairs, unlike = pairs[near], []
         for k in range(0, len(pairs), 2_000):
             p, q = pairs[k : k + 2_000] // count, pairs[k : k + 2_000] % count
             some = root[p] != root[q]
             p, q = p[some], q[some]
-            good = _similar(flat[ragged(at[p], n[p])], np.concatenate([[0], np.cumsum(n[p])]), flat[ragged(at[q], n[q])], np.concatenate([[0], np.cumsum(n[q])]), similarity)
+            good = _similar(flat[ragged(at[p], n[p])], np.concatenate([[0], np.cumsum(n[p])]), flat[ragged(at[q], n[q])], np.concatenate([[0], np.cumsum(n[q])]), similarity, alike=True)
             a.append(h[p[good]])
             b.append(h[q[good]])
             merge_sets(root, p[good], q[good])
@@ -695,11 +725,11 @@ def _group_links(rows: pa.Table, similarity: float) -> pa.RecordBatch:
             tried = np.concatenate([tried, *unlike])
 
     def by_parts(x: np.ndarray, low: np.ndarray, high: np.ndarray, one: np.ndarray) -> None:
-        """Compares entries x with the entries [low, high) of each, some 500,000 pairs at once; those that are both not `one` only once."""
+        """Compares entries x with the entries [low, high) of each, some 200,000 pairs at once; those that are both not `one` only once."""
         size = np.maximum(high - low, 0)
         many, begin = np.concatenate([[0], np.cumsum(size)]), 0
         while begin < len(x):
-            end = max(begin + 1, int(np.searchsorted(many, many[begin] + 500_000, "right")) - 1)
+            end = max(begin + 1, int(np.searchsorted(many, many[begin] + 200_000, "right")) - 1)
             p, q = np.repeat(x[begin:end], size[begin:end]), ragged(low[begin:end], size[begin:end])
             some = one[q] | (p < q)
             compare(p[some], q[some])

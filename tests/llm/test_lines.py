@@ -108,3 +108,19 @@ def test_similar_lines_share_a_key_at_near_places(vocabulary):
     if vocabulary == 3000:
         full = (2 * lines._limits(n, 0.8) + 1).sum()
         assert len(line) < 0.9 * full
+
+
+def test_unlike_long_lines_are_told_apart_by_counts(monkeypatch):
+    """Long lines whose parities say nothing are not compared one by one; counts never say less than what two lines share."""
+    rng = np.random.default_rng(9)
+    texts = [(rng.zipf(1.3, rng.integers(1900, 2100)) % 30_000 * 2_654_435_761 % (1 << 32)).astype(np.uint32) for _ in range(40)]
+    texts += [np.concatenate([t[:900], t[950:]]) for t in texts[:5]]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    p, q = np.triu_indices(len(texts), 1)
+    shared = np.array([np.minimum(*(np.bincount(np.searchsorted(np.unique(np.concatenate([texts[a], texts[b]])), t), minlength=len(np.union1d(texts[a], texts[b]))) for t in (texts[a], texts[b]))).sum() for a, b in zip(p, q, strict=True)])
+    assert lines._may_share(np.concatenate(texts), at, p, q, shared).all()
+    seen = []
+    monkeypatch.setattr(lines, "_long_similar", (lambda old: lambda a, b, limit: seen.append(len(a)) or old(a, b, limit))(lines._long_similar))
+    good = lines.edit_similar([texts[a] for a in p], [texts[b] for b in q], 0.8)
+    assert {(a, b) for a, b in zip(p[good].tolist(), q[good].tolist(), strict=True)} == {(k, 40 + k) for k in range(5)}
+    assert sum(seen) <= 5, seen
