@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from rowloom import plans
 from rowloom.operators import nodes, predicates
 
 NODES, SNAPSHOTS = "page_id long, node_id long, props map<string,string>", "snapshot_id long, props map<string,string>, required array<string>"
@@ -79,3 +80,20 @@ def test_copies_are_scored_once(spark):
     plan = found._jdf.queryExecution().executedPlan()
     text = plan.toString()
     assert "own" in text and text.count("Window") >= 2
+
+
+@pytest.mark.parametrize(("free", "least", "k"), [(-1, 0.5, 3), (-1, 0.0, 2), (8, 0.0, 1), (8, 0.3, 4)])
+def test_by_sets_and_by_index(spark, monkeypatch, free, least, k):
+    monkeypatch.setattr(predicates, "MOST_FREE", free)
+    test_against_every_pair(spark, least, k)
+
+
+def test_parts_little_alike_are_found(spark, tmp_path):
+    """Every part is looked for on every page that has its thing, however unlike the likest node is there."""
+    rng = random.Random(5)
+    parts = [(k, f"{rng.choice(['red', 'blue', 'hot'])} {rng.choice(['ring', 'bolt', 'nut'])}", f"Brand#{rng.randrange(4)}", rng.choice(["LARGE", "SMALL"]), rng.randrange(30)) for k in range(90)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    props = lambda p: {"colour": p[1].split()[0], "thing": p[1].split()[1], "type": p[3], "size": str(p[4])}
+    want = {key[:4] for key in brute([(p[2], p[0], props(p)) for p in parts], [(p[0], props(p), ["thing"]) for p in parts], 0.0, 1)}
+    got = {(r.page_id, r.snapshot_id, r.node_id, r.score) for r in plans.queries()["similar_to_snapshots"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == 4 * 90
