@@ -121,3 +121,24 @@ def test_keys_in_several_frames_and_no_order(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", frames)
     want = sorted(r.n for r in skip.skip_within(spark.createDataFrame(rows, SCHEMA), ["k"], 1800, ["ts", "n"]).collect())
     assert got == want and len(want) > 100
+
+
+def test_many_keys_are_decided_by_buckets(spark, tmp_path):
+    """3,000 keys in three slices with equal times: the batch rule, from fewer states (and calls of Python) than keys."""
+    start = dt.datetime(2024, 1, 1)
+    rng = random.Random(4)
+    rows = [(i, f"k{rng.randrange(3000)}", start + dt.timedelta(minutes=i // 20)) for i in range(12_000)]
+    rows += [(i + len(rows), k, t) for i, k, t in rng.sample(rows, 2000)]
+    (tmp_path / "in").mkdir()
+    live = streaming.stream_rows(spark, str(tmp_path / "in"), SCHEMA)
+    sizes = []
+    for part in range(3):
+        some = [r for r in rows if (r[2] - start).total_seconds() // 12_000 == part]
+        spark.createDataFrame(some, SCHEMA).repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        query = streaming.stream_skip_within(live, ["k"], 9000, order=["n"]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted(r.n for r in spark.read.schema(SCHEMA).parquet(str(tmp_path / "out")).collect())
+    want = sorted(r.n for r in skip.skip_within(spark.createDataFrame(rows, SCHEMA), ["k"], 9000, ["ts", "n"]).collect())
+    assert got == want and len(want) > 3000
+    assert max(sizes) <= 1024
